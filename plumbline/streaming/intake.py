@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from plumbline import schema
 from plumbline.plans import lifecycle
+from plumbline.plans.merge import in_arrival_order
 
 
 def read_drop_folder(spark: SparkSession, path: str, row_schema: str, fmt: str = "parquet", files_per_batch: int = 1000,
@@ -38,25 +39,30 @@ def append_stream(rows: DataFrame, out: str, checkpoint: str, fmt: str = "parque
     )
 
 
-def read_or_empty(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+def _read_or_empty(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     try:
         return spark.read.schema(ddl).parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], ddl)
 
 
-def merge_stream(rows: DataFrame, out: str, checkpoint: str, merge: Callable[[DataFrame, DataFrame], DataFrame],
-                 ddl: str) -> StreamingQuery:
-    """Merge each micro-batch with the model so far and write it as the next version.
+def merge_stream(rows: DataFrame, out: str, checkpoint: str, merge: Callable[[DataFrame], DataFrame], ddl: str) -> StreamingQuery:
+    """Merge each micro-batch into the projects it touches and write those as a new version.
 
-    Version n is a folder of its own and comes from version n - 1 and one batch. A batch
-    that is run again after a failure overwrites its own folder only.
+    A batch writes the folder of its own number, and the ledger says which projects it
+    holds. The active rows of a project are those of its newest batch. A batch that is
+    run again reads only older batches and overwrites its own folder.
     """
     spark = rows.sparkSession
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        before = read_or_empty(spark, f"{out}/version={batch_id}", ddl)
-        merge(before, batch).write.mode("overwrite").parquet(f"{out}/version={batch_id + 1}")
+        batch = batch.persist()
+        touched = batch.select("project_id").distinct()
+        old = active_rows(spark, out, ddl, before=batch_id).join(touched, "project_id", "left_semi").drop("batch")
+        merged = merge(in_arrival_order(old, batch))
+        merged.write.mode("overwrite").parquet(f"{out}/model/batch={batch_id}")
+        touched.write.mode("overwrite").parquet(f"{out}/ledger/batch={batch_id}")
+        batch.unpersist()
 
     return (
         rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
@@ -64,6 +70,22 @@ def merge_stream(rows: DataFrame, out: str, checkpoint: str, merge: Callable[[Da
     )
 
 
+def active_rows(spark: SparkSession, out: str, ddl: str, before: int | None = None) -> DataFrame:
+    """Rows of the newest version of each project; `before` looks only at older batches."""
+    ledger = _read_or_empty(spark, f"{out}/ledger", "project_id bigint, batch bigint")
+    model = _read_or_empty(spark, f"{out}/model", f"{ddl}, batch bigint")
+    if before is not None:
+        ledger, model = ledger.filter(F.col("batch") < before), model.filter(F.col("batch") < before)
+    newest = ledger.groupBy("project_id").agg(F.max("batch").alias("batch"))
+    return model.join(newest, ["project_id", "batch"])
+
+
+def versions(spark: SparkSession, out: str) -> DataFrame:
+    """Version number of each project: how many batches have touched it."""
+    ledger = _read_or_empty(spark, f"{out}/ledger", "project_id bigint, batch bigint")
+    return ledger.groupBy("project_id").agg(F.count(F.lit(1)).alias("version"))
+
+
 def quarantine_stream(files: DataFrame, process: Callable[[DataFrame], DataFrame], out: str, failed: str,
                       checkpoint: str) -> StreamingQuery:
     """Route results and failures of each batch to two tables. `process` adds an `error` column."""
