@@ -1 +1,172 @@
-from contract import query  # noqa: F401
+"""Sources, sinks and incremental jobs, on data that Spark derives from the given tables."""
+
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from contract import query
+from contract import standins as S
+from contract.housekeeping import LOG
+from contract.scalars import EXT, TYPE_SQL
+from plumbline import schema
+from plumbline.functions import vocabulary as V
+from plumbline.session import scratch_path
+from plumbline.sources import files as SF
+from plumbline.sources import tables as ST
+from plumbline.streaming import intake as I
+
+
+@query(f"""WITH {S.FILES}, e AS (SELECT *, {EXT} AS ext FROM files),
+  t AS (SELECT *, {TYPE_SQL.split(' WHEN mime')[0]} ELSE 'Unknown' END AS file_type, ext IN ({', '.join(repr(x) for x in V.ALLOWED_EXTENSIONS)}) AS ok FROM e)
+  SELECT 'up/' || name AS path, name, ext AS extension, file_type, size, ok AND size <= 524288000 AS accepted, CASE WHEN NOT ok THEN 'extension' WHEN size > 524288000 THEN 'size' END AS reason FROM t""")
+def file_inventory(spark, sf):
+    listing = S.file_register(spark, sf).select(F.concat(F.lit("up/"), "name").alias("path"), F.col("size").alias("length"))
+    return SF.inventory(listing)
+
+
+def archives(spark, sf):
+    """Each document zipped: its text, a folder, and an inner archive that holds it again."""
+    def pack(batches):
+        for batch in batches:
+            out = []
+            for k, text in zip(batch["doc_id"], batch["text"]):
+                inner = io.BytesIO()
+                with zipfile.ZipFile(inner, "w") as z:
+                    z.writestr(f"kopie_{k}.docx", text)
+                outer = io.BytesIO()
+                with zipfile.ZipFile(outer, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr(f"ordner/text_{k}.pdf", text)
+                    z.writestr("ordner/", "")
+                    z.writestr("innen.zip", inner.getvalue())
+                    z.writestr("defekt.gz", b"no archive")
+                out.append((f"a{k}.zip", outer.getvalue() if k % 9 else b"broken"))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return S.read(spark, sf, "documents").select("doc_id", "text").mapInPandas(pack, "path string, content binary")
+
+
+@query("""SELECT 'a' || doc_id || '.zip' AS archive, 'text_' || doc_id || '.pdf' AS member, strlen(text) AS size, 'PDF' AS file_type, false AS failed FROM documents WHERE doc_id % 9 <> 0 UNION ALL
+  SELECT 'a' || doc_id || '.zip', 'kopie_' || doc_id || '.docx', strlen(text), 'Word', false FROM documents WHERE doc_id % 9 <> 0 UNION ALL
+  SELECT 'a' || doc_id || '.zip', NULL, NULL, 'Unknown', true FROM documents WHERE doc_id % 9 = 0""")
+def archive_expansion(spark, sf):
+    return SF.member_types(SF.expand_archives(archives(spark, sf))).select("archive", "member", "size", "file_type", F.col("error").isNotNull().alias("failed"))
+
+
+@query("""SELECT 'a' || doc_id || '.zip' AS archive, 3::BIGINT AS file_count, 'defekt.gz|innen.zip|ordner/text_' || doc_id || '.pdf' AS files FROM documents WHERE doc_id % 9 <> 0""")
+def archive_listing(spark, sf):
+    return SF.archive_summary(SF.archive_members(archives(spark, sf))).select("archive", "file_count", F.concat_ws("|", "files").alias("files"))
+
+
+@query("""WITH i AS (SELECT doc_id, lang, CASE doc_id % 5 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' WHEN 2 THEN 'gif' WHEN 3 THEN 'bmp' ELSE 'unknown' END AS format,
+    CASE doc_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 8 WHEN 2 THEN 6 WHEN 3 THEN 2 ELSE 1 END + strlen(text) AS size_bytes FROM documents)
+  SELECT doc_id % 3 AS file_id, lang AS sheet, doc_id AS position, 'IMG_' || (doc_id % 3) || '_' || lang || '_' || doc_id AS id, format, size_bytes FROM i""")
+def image_inventory(spark, sf):
+    k = F.col("doc_id")
+    magic = (F.when(k % 5 == 0, "FFD8").when(k % 5 == 1, "89504E470D0A1A0A").when(k % 5 == 2, "474946383961").when(k % 5 == 3, "424D").otherwise("00"))
+    images = S.read(spark, sf, "documents").select((k % 3).alias("file_id"), F.col("lang").alias("sheet"), k.alias("position"),
+                                                   F.concat(F.unhex(magic), F.encode("text", "UTF-8")).alias("content"))
+    return SF.image_inventory(images, per_sheet=None).drop("preview")
+
+
+@query(f"""WITH {S.spaces_sql()} SELECT project_id, pos, id, name, area_m2, file FROM spaces WHERE pos % 2 = 0""")
+def snapshot_json_round_trip(spark, sf):
+    """Snapshots written as JSON lines and read back with the declared schema; only active ones count."""
+    s = S.spaces(spark, sf)
+    path = scratch_path(spark, "snapshots")
+    s.select(F.col("pos").alias("project_id"), F.lit(1).alias("version"), (F.col("pos") % 2 == 0).alias("is_active"),
+             F.struct(F.array(F.struct(*s.columns)).alias("spaces")).alias("data")).write.json(path)
+    return ST.entity_rows(ST.read_snapshots(spark, path), "spaces").select("project_id", "pos", "id", "name", "area_m2", F.col("sources")[0]["file"].alias("file"))
+
+
+@query("""SELECT user_id AS file_id, event_id AS idx, event_type AS message, props AS data FROM events""")
+def event_log_source(spark, sf):
+    """Events as nested log documents, one per event, written and read as JSON."""
+    e = S.read(spark, sf, "events")
+    path = scratch_path(spark, "logs")
+    entry = F.struct(F.col("ts").cast("string").alias("timestamp"), F.col("event_type").alias("message"), F.col("props").alias("data"))
+    e.select(F.col("user_id").alias("fileId"), F.col("event_id").cast("string").alias("filename"), F.array(entry).alias("logs")).write.json(path)
+    logs = spark.read.schema(schema.EVENT_LOG).json(path)
+    return ST.log_entries(logs).select(F.col("fileId").alias("file_id"), F.col("filename").cast("long").alias("idx"), "message", "data")
+
+
+@query("""SELECT l_returnflag AS flag, count(*) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT o_orderstatus, count(*) FROM orders GROUP BY 1""")
+def json_lines_append(spark, sf):
+    path = scratch_path(spark, "ndjson")
+    ST.append_json_lines(S.read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag")), path)
+    ST.append_json_lines(S.read(spark, sf, "orders").select(F.col("o_orderstatus").alias("flag")), path)
+    return spark.read.schema("flag string").json(path).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey, p_name, p_size::BIGINT AS p_size FROM part")
+def report_sink(spark, sf):
+    """A report written as csv and read back."""
+    path = scratch_path(spark, "report")
+    ST.write_report(S.read(spark, sf, "part").select("p_partkey", "p_name", F.col("p_size").cast("long").alias("p_size")), path, "csv")
+    return spark.read.schema("p_partkey bigint, p_name string, p_size bigint").option("header", True).csv(path)
+
+
+# --- incremental jobs ---------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id AS file_id, para_idx, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(0, len(string_split(text, chr(10))))) AS para_idx FROM documents)")
+def incremental_intake(spark, sf):
+    """Documents as a drop folder: a stream takes what is new and appends its paragraphs."""
+    out = scratch_path(spark, "intake")
+    docs = I.read_drop_folder(spark, sf, "doc_id bigint, text string", name_filter="documents.parquet")
+    rows = ST.paragraphs_of_text(docs.withColumnRenamed("doc_id", "file_id"))
+    I.append_stream(rows, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("file_id", F.col("para_idx").cast("long").alias("para_idx"), "text")
+
+
+@query("""SELECT p_partkey % 25 AS project_id, count(DISTINCT p_name) AS spaces, 1::BIGINT AS version FROM part GROUP BY 1""")
+def incremental_merge(spark, sf):
+    """Parts arrive as a stream; each batch merges by equal name into the next version of its projects."""
+    out = scratch_path(spark, "merge")
+    parts = I.read_drop_folder(spark, sf, "p_partkey bigint, p_name string", name_filter="part.parquet")
+    rows = parts.select((F.col("p_partkey") % 25).alias("project_id"), F.col("p_partkey").alias("pos"), F.lit(0).cast("long").alias("file_id"), F.col("p_name").alias("name"))
+    ddl = "project_id bigint, pos bigint, file_id bigint, name string"
+
+    def merge(both):
+        return both.groupBy("project_id", "name").agg(F.min("pos").alias("pos"), F.min_by("file_id", "pos").alias("file_id")).select("project_id", "pos", "file_id", "name")
+
+    I.merge_stream(rows, out, f"{out}/checkpoint", merge, ddl).awaitTermination()
+    counts = I.active_rows(spark, out, ddl).groupBy("project_id").agg(F.count(F.lit(1)).alias("spaces"))
+    return counts.join(I.versions(spark, out), "project_id")
+
+
+@query("""SELECT doc_id AS file_id, 'unbekannter Typ' AS error FROM documents WHERE lang = 'de' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""")
+def failed_files_to_retry(spark, sf):
+    """A stream routes failures to a quarantine table; files that a later run took are not retried."""
+    out = scratch_path(spark, "quarantine")
+    docs = I.read_drop_folder(spark, sf, "doc_id bigint, lang string, text string", name_filter="documents.parquet")
+
+    def process(batch):
+        return batch.select(F.col("doc_id").alias("file_id"), F.lit(1).alias("attempt"), F.length("text").alias("n"),
+                            F.when(F.col("lang") == "de", "unbekannter Typ").alias("error"))
+
+    I.quarantine_stream(docs, process, f"{out}/ok", f"{out}/failed", f"{out}/checkpoint").awaitTermination()
+    later = S.read(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").alias("file_id"))
+    done = spark.read.parquet(f"{out}/ok").select("file_id").unionByName(later)
+    return I.to_retry(spark.read.parquet(f"{out}/failed"), done).select("file_id", "error")
+
+
+@query(f"""WITH {LOG} SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, user_id, count(*) AS total,
+  count(*) FILTER (contains(lower(message), 'error') OR contains(lower(message), 'failed')) AS errors, count(*) FILTER (contains(lower(message), 'warn')) AS warnings FROM log GROUP BY 1, 2""")
+def event_log_stream(spark, sf):
+    """Windowed counts over the event stream. The watermark closes every window but the last ones,
+    which a final empty-data batch does not reach, so the sink keeps all windows (update mode, last value)."""
+    out = scratch_path(spark, "eventlog")
+    events = I.read_drop_folder(spark, sf, "event_id bigint, ts timestamp, user_id bigint, event_type string", name_filter="events.parquet")
+    t = F.col("event_type")
+    message = F.when(t == "error", "Request FAILED").when(t == "view", "Warning: slow").when(t == "click", "error and warn").otherwise(t)
+    counts = I.log_counts(events.withColumn("message", message), "ts", ["user_id"], "1 hour", "2 hours")
+
+    def step(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+
+    counts.writeStream.outputMode("update").option("checkpointLocation", f"{out}/checkpoint").foreachBatch(step).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{out}/rows")
+    last = rows.groupBy("window_start", "user_id").agg(F.max_by(F.struct("total", "errors", "warnings"), "batch").alias("v"))
+    return last.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "user_id", "v.*")

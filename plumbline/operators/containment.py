@@ -29,12 +29,11 @@ def _inner(c: Column) -> Column:
 
 def _short_pieces(word: Column) -> Column:
     """All distinct substrings of up to PIECE characters."""
-    every = [
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - (n - 1), F.lit(1))),
-                    lambda i, n=n: F.substr(word, i, F.lit(n)))
-        for n in range(1, PIECE + 1)
-    ]
-    return F.array_distinct(F.concat(*every))
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(word) - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.substr(word, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(*[of_size(n) for n in range(1, PIECE + 1)]))
 
 
 def contained(

@@ -72,9 +72,10 @@ def role_columns(header_cells: Column, roles: Mapping[str, Sequence[str]]) -> Co
     labelled = F.transform(
         F.filter(F.map_entries(header_cells), lambda e: (e["value"]["dtype"] == "s") & has_text(e["value"]["value"])),
         lambda e: F.struct(e["key"].alias("col"), first_label(e["value"]["value"], roles).alias("role")))
-    return F.struct(*[
-        F.array_max(F.transform(F.filter(labelled, lambda x, r=role: x["role"] == r), lambda x: x["col"])).alias(role)
-        for role in roles])
+    def last_column(role: str) -> Column:
+        return F.array_max(F.transform(F.filter(labelled, lambda x: x["role"] == role), lambda x: x["col"]))
+
+    return F.struct(*[last_column(role).alias(role) for role in roles])
 
 
 def _value(role: str) -> Column:

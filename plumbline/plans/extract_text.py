@@ -138,12 +138,12 @@ def matches_with_position(text: Column, pattern: str) -> Column:
 
 def plan_symbols(pages: DataFrame) -> DataFrame:
     """Symbol words as equipment or systems, with their position in the text."""
-    hits = [
-        F.transform(matches_with_position(F.col("text"), pattern), lambda m, symbol=symbol, entity=entity: F.struct(
+    def found(symbol: str, entity: str, pattern: str) -> Column:
+        return F.transform(matches_with_position(F.col("text"), pattern), lambda m: F.struct(
             F.lit(symbol).alias("kind"), F.lit(entity).alias("entity"), m["match"].alias("name"),
             m["position"].alias("position")))
-        for symbol, (entity, pattern) in V.PLAN_SYMBOLS.items()
-    ]
+
+    hits = [found(symbol, entity, pattern) for symbol, (entity, pattern) in V.PLAN_SYMBOLS.items()]
     return pages.select("file_id", "page", F.inline(F.flatten(F.array(*hits)))).select(
         "file_id", "page",
         F.concat_ws("_", F.upper("entity"), "kind", F.col("page").cast("string"), F.col("position").cast("string")).alias("id"),
@@ -152,16 +152,16 @@ def plan_symbols(pages: DataFrame) -> DataFrame:
 
 def plan_areas(pages: DataFrame) -> DataFrame:
     """Each area with the nearest space label before it in the text of the page."""
-    space = F.flatten(F.array(*[
-        F.transform(matches_with_position(F.col("text"), p.replace("(\\d", "(?:\\d")), lambda m, p=p: F.struct(
+    def found(pattern: str, is_area: bool) -> Column:
+        group = lambda m: F.regexp_extract(m["match"], "(?iu)" + pattern, 1)
+        # the whole match is needed for positions, so its own group does not capture
+        return F.transform(matches_with_position(F.col("text"), pattern.replace("(\\d", "(?:\\d")), lambda m: F.struct(
             m["position"].alias("position"),
-            F.regexp_extract(m["match"], "(?iu)" + p, 1).alias("label"), F.lit(None).cast("double").alias("area")))
-        for p in V.SPACE_LABEL_PATTERNS[:3]]))
-    area = F.flatten(F.array(*[
-        F.transform(matches_with_position(F.col("text"), p.replace("(\\d", "(?:\\d")), lambda m, p=p: F.struct(
-            m["position"].alias("position"), F.lit(None).cast("string").alias("label"),
-            F.translate(F.regexp_extract(m["match"], "(?iu)" + p, 1), ",", ".").try_cast("double").alias("area")))
-        for p in V.AREA_PATTERNS]))
+            (F.lit(None).cast("string") if is_area else group(m)).alias("label"),
+            (F.translate(group(m), ",", ".").try_cast("double") if is_area else F.lit(None).cast("double")).alias("area")))
+
+    space = F.flatten(F.array(*[found(p, False) for p in V.SPACE_LABEL_PATTERNS[:3]]))
+    area = F.flatten(F.array(*[found(p, True) for p in V.AREA_PATTERNS]))
     # one page is one row of the input, so this window stays inside what one row held
     tokens = pages.select("file_id", "page", F.inline(F.concat(space, area)))
     w = Window.partitionBy("file_id", "page").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)

@@ -173,7 +173,7 @@ def report_rows(projects: DataFrame, kinds: list[str], at: Column, versions: Dat
     last = versions.groupBy("project_id", "report").agg(F.max("version").alias("_v"))
     return made.join(last, ["project_id", "report"], "left").select(
         "project_id", "report", (F.coalesce("_v", F.lit(0)) + 1).alias("version"),
-        F.concat_ws("_", "report", F.col("project_id").cast("string"), F.date_format(at, "yyyyMMdd_HHmmss")).alias("file_name"),
+        F.concat_ws("_", F.col("report"), F.col("project_id").cast("string"), F.date_format(at, "yyyyMMdd_HHmmss")).alias("file_name"),
         at.alias("created_at"))
 
 
