@@ -155,17 +155,17 @@ def _findings(spark, sf):
 @query(f"""WITH {S.PASSAGES}, n AS (SELECT *, lead(marked) OVER (PARTITION BY project_id ORDER BY pos) AS nxt FROM corpus),
   f AS (SELECT project_id, pos AS fpos, coalesce(CASE pos % 5 WHEN 0 THEN substr(content, 5, 40) WHEN 1 THEN right(content, 8) || chr(10) || chr(10) || left(nxt, 40)
       WHEN 2 THEN 'xx ' || content || ' yy' WHEN 3 THEN 'kein Treffer ' || pos ELSE '' END, '') AS quote, CASE WHEN pos % 7 = 0 THEN 'bekannt.pdf' ELSE '' END AS known FROM n),
-  one AS (SELECT f.project_id, fpos, min(c.pos) AS at FROM f JOIN corpus c ON c.project_id = f.project_id AND (contains(lower(c.content), lower(quote)) OR contains(lower(quote), lower(c.content)))
+  one AS (SELECT f.project_id, fpos, min(c.pos) AS p FROM f JOIN corpus c ON c.project_id = f.project_id AND (contains(lower(c.content), lower(quote)) OR contains(lower(quote), lower(c.content)))
     WHERE known = '' GROUP BY 1, 2),
   ft AS (SELECT project_id, string_agg(marked, chr(10) || chr(10) ORDER BY pos) AS full_text FROM corpus GROUP BY 1),
   o AS (SELECT project_id, pos, coalesce(sum(length(marked) + 2) OVER (PARTITION BY project_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT
       + length(marked) - length(content) - 1 AS marker_end FROM corpus),
   win AS (SELECT o.project_id, o.pos, lower(substr(full_text, marker_end + 1, 2000)) AS w FROM o JOIN ft USING (project_id)),
-  two AS (SELECT f.project_id, fpos, min(win.pos) AS at FROM f JOIN win ON win.project_id = f.project_id AND contains(w, lower(quote))
+  two AS (SELECT f.project_id, fpos, min(win.pos) AS p FROM f JOIN win ON win.project_id = f.project_id AND contains(w, lower(quote))
     WHERE known = '' AND NOT EXISTS (SELECT 1 FROM one WHERE one.project_id = f.project_id AND one.fpos = f.fpos) GROUP BY 1, 2),
-  at AS (SELECT * FROM one UNION ALL SELECT * FROM two)
+  hit AS (SELECT * FROM one UNION ALL SELECT * FROM two)
   SELECT f.project_id, f.fpos AS pos, coalesce(nullif(known, ''), c.file) AS source_file, c.para + 1 AS source_para
-  FROM f LEFT JOIN at ON at.project_id = f.project_id AND at.fpos = f.fpos LEFT JOIN corpus c ON c.project_id = at.project_id AND c.pos = at.at""")
+  FROM f LEFT JOIN hit ON hit.project_id = f.project_id AND hit.fpos = f.fpos LEFT JOIN corpus c ON c.project_id = hit.project_id AND c.pos = hit.p""")
 def quote_attribution(spark, sf):
     corpus, findings = _findings(spark, sf)
     return L.attribute(findings, corpus).select("project_id", "pos", "source_file", F.col("source_para").cast("long").alias("source_para"))

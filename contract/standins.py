@@ -102,7 +102,7 @@ def spaces(spark, sf, id_column: str = "p_partkey", projects: int = 25) -> DataF
         F.when(F.col("p_partkey") % 11 == 0, "").otherwise(F.col("p_brand")).alias("number"),
         F.when(F.col("p_partkey") % 17 != 0, area).alias("area_m2"),
         (area * height + (F.col("p_partkey") % 3)).alias("volume_m3"), height.alias("height_m"),
-        F.col("p_type").alias("usage"), F.lit(None).cast("string").alias("guid"),
+        F.col("p_type").alias("usage"), F.lit(None).cast("string").alias("storey"), F.lit(None).cast("string").alias("zone"), F.lit(None).cast("string").alias("guid"),
         F.array(F.concat(F.lit("S"), (F.col("p_partkey") % 120).cast("string"))).alias("system_ids"),
         F.array(F.concat(F.lit("G"), F.col("p_partkey").cast("string")), F.lit(None).cast("string")).alias("equipment_ids"),
         one_source(F.col("p_type"), F.col("p_partkey") % 7).alias("sources"))

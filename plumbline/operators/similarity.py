@@ -44,14 +44,11 @@ def ratio_above(new: Column, old: Column, threshold: float) -> Column:
 
 # --- blocks ------------------------------------------------------------------------
 
-def numbered_grams(c: Column, size: int) -> Column:
-    """Character n-grams; the k-th equal gram of one string gets the number k."""
+def grams_of(c: Column, size: int) -> Column:
+    """Character n-grams, equal ones included."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(c) - (size - 1), F.lit(1)))
-    grams = F.when(F.length(c) >= size, F.transform(starts, lambda i: F.substr(c, i, F.lit(size)))).otherwise(
+    return F.when(F.length(c) >= size, F.transform(starts, lambda i: F.substr(c, i, F.lit(size)))).otherwise(
         F.array().cast("array<string>"))
-    return F.transform(grams, lambda g, i: F.concat(
-        g, F.lit("#"),
-        F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
 
 
 def words(c: Column) -> Column:
@@ -59,17 +56,25 @@ def words(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
 
 
-def rarest_tokens(rows: DataFrame, scope: Sequence[str], item: str, tokens: Column, keep: Column) -> DataFrame:
-    """(scope, item, token): the `keep` rarest tokens of each item, by count within the scope."""
+def rarest_tokens(rows: DataFrame, scope: Sequence[str], item: str, tokens: Column, keep: Column,
+                  numbered: bool = False) -> DataFrame:
+    """(scope, item, token): the `keep` rarest tokens of each item, by count within the scope.
+
+    numbered: the k-th equal token of one item counts as a token of its own.
+    """
     scope = list(scope)
-    flat = rows.select(*scope, item, keep.alias("_keep"), F.explode(tokens).alias("token"))
+    # both lists are made before the explode, once per item and not once per token
+    ready = rows.select(*scope, item, keep.alias("_keep"), tokens.alias("_tokens")).filter("_keep > 0")
+    flat = ready.select(*scope, item, "_keep", F.explode("_tokens").alias("token"))
+    if numbered:
+        times = flat.groupBy(*scope, item, "_keep", "token").agg(F.count(F.lit(1)).cast("int").alias("_c"))
+        flat = times.select(*scope, item, "_keep", "token", F.explode(F.sequence(F.lit(1), F.col("_c"))).alias("_k")).select(
+            *scope, item, "_keep", F.concat("token", F.lit("#"), F.col("_k").cast("string")).alias("token"))
     counts = flat.groupBy(*scope, "token").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = flat.join(counts, [*scope, "token"]).groupBy(*scope, item).agg(
-        F.first("_keep").alias("_keep"),
+    ranked = flat.join(counts, [*scope, "token"]).groupBy(*scope, item, "_keep").agg(
         F.array_sort(F.collect_list(F.struct("_n", "token"))).alias("_t"))
-    return ranked.filter("_keep > 0").select(
-        *scope, item, F.explode(F.slice("_t", F.lit(1), F.col("_keep"))).alias("_t")).select(
-        *scope, item, F.col("_t.token").alias("token"))
+    cut = ranked.select(*scope, item, F.slice("_t", F.lit(1), F.col("_keep")).alias("_t"))
+    return cut.select(*scope, item, F.explode("_t.token").alias("token"))
 
 
 def _least_partner(n: Column, t: float) -> Column:
@@ -90,17 +95,15 @@ def name_blocks(rows: DataFrame, scope: Sequence[str], item: str, name: str, thr
     total = n + _least_partner(n, t)
     most_total = n + F.floor(n * F.lit((2 - t) / t)) + 1
 
-    grams = numbered_grams(F.col(name), 2)
     wide = F.greatest(total.cast("double"), F.lit(least_total))
     shared = F.greatest(F.floor(wide * F.lit(1.5 * t - 1) - 1 - F.lit(1e-9)) + 1, F.lit(1))
     keep_grams = F.when(most_total >= least_total, F.greatest(n - 1 - shared + 1, F.lit(0))).otherwise(0).cast("int")
-    by_gram = rarest_tokens(rows, scope, item, grams, keep_grams)
+    by_gram = rarest_tokens(rows, scope, item, grams_of(F.col(name), 2), keep_grams, numbered=True)
 
-    chars = numbered_grams(F.col(name), 1)
     common = F.greatest(F.floor(total * F.lit(t / 2) - F.lit(1e-9)) + 1, F.lit(1))
     keep_chars = (n - common + 1).cast("int")
     short = rows.filter((total < least_total) & (n > 0))
-    by_char = rarest_tokens(short, scope, item, chars, keep_chars)
+    by_char = rarest_tokens(short, scope, item, grams_of(F.col(name), 1), keep_chars, numbered=True)
     return by_gram.withColumn("token", F.concat(F.lit("g:"), "token")).unionByName(
         by_char.withColumn("token", F.concat(F.lit("c:"), "token")))
 
@@ -144,7 +147,9 @@ def greedy_leaders(
     scope = list(scope)
     key = [*scope, pos]
     rows = cut_lineage(items.select(*key, *fields))
-    blocks = cut_lineage(blocks.select(*scope, "token", pos).distinct())
+    blocks = blocks.select(*scope, "token", pos).distinct()
+    shared = blocks.groupBy(*scope, "token").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*scope, "token")
+    blocks = cut_lineage(blocks.join(shared, [*scope, "token"], "left_semi"))
 
     def pairs(early: DataFrame, late: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
         """Distinct (old, new) positions with a common block that match."""
