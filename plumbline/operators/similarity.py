@@ -130,7 +130,7 @@ def greedy_leaders(
     pos: str,
     fields: Sequence[str],
     matches: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
-    heads: int = 8,
+    heads: int = 32,
     most_heads: int = 1000,
 ) -> DataFrame:
     """(scope, pos, leader): each item joins the earliest leader it matches, else it leads itself.
