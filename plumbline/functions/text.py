@@ -264,22 +264,30 @@ def drafters(team: Column) -> Column:
     return F.greatest(F.lit(1).cast("long"), floor_div(team, 2))
 
 
-def overview_bullets(c: Column | str, longest: int = 400, points: int = 5, point_chars: int = 200) -> Column:
-    """Short list of points from an assessment; an existing list is kept as it is."""
-    whole = strip(F.coalesce(col(c), F.lit("")))
-    head = F.substring(whole, 1, longest)
-    upto = F.length(F.regexp_extract(head, r"(?s)\A.*[.!?]", 0))
-    text = F.when(F.length(whole) <= longest, whole).otherwise(
-        F.when(upto - 1 > longest * 0.7, F.left(head, upto)).otherwise(F.concat(head, F.lit("..."))))
-
-    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda s: s != "")
-    bulleted = F.exists(lines, lambda s: s.rlike(r"^[-•*·]") | ((F.length(s) > 2) & s.rlike(r"^\d[.):]")))
-    kept = F.filter(
-        F.transform(lines, lambda s: F.regexp_replace(F.regexp_replace(s, r"^[-•*·]\s*", ""), r"^\d+[.)]\s*", "")),
-        lambda s: s != "")
+def let(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often `use` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _shortened(c: Column, longest: int) -> Column:
+    """Cut at the last sentence end if that keeps most of the text, else with dots."""
+    def cut(whole: Column) -> Column:
+        head = F.substring(whole, 1, longest)
+        upto = F.length(F.regexp_extract(head, r"(?s)\A.*[.!?]", 0))
+        return F.when(F.length(whole) <= longest, whole).otherwise(let(upto, lambda n: F.when(
+            n - 1 > longest * 0.7, F.left(head, n)).otherwise(F.concat(head, F.lit("...")))))
+
+    return let(strip(F.coalesce(c, F.lit(""))), cut)
+
+
+def _bullet_points(lines: Column) -> Column:
+    plain = F.transform(lines, lambda s: F.regexp_replace(F.regexp_replace(s, r"^[-•*·]\s*", ""), r"^\d+[.)]\s*", ""))
+    return F.filter(plain, lambda s: s != "")
+
 
+def _sentence_groups(text: Column, points: int) -> Column:
+    """Sentences, short ones joined to the one before; what is too much goes into the last group."""
     sentences = F.filter(F.transform(F.split(text, r"[.!?]+\s+"), strip), lambda s: s != "")
-    empty = F.array().cast("array<string>")
 
     def fold(groups: Column, s: Column) -> Column:
         joined = F.concat(
@@ -287,14 +295,23 @@ def overview_bullets(c: Column | str, longest: int = 400, points: int = 5, point
             F.array(F.concat(F.try_element_at(groups, F.lit(-1)), F.lit(" "), s)))
         return F.when((F.length(s) < 30) & (F.size(groups) > 0), joined).otherwise(F.concat(groups, F.array(s)))
 
-    groups = F.aggregate(sentences, empty, fold)
-    rest = F.array_join(F.slice(groups, F.lit(points), F.greatest(F.size(groups), F.lit(1))), " ")
-    grouped = F.when(F.size(groups) > points, F.concat(F.slice(groups, 1, points - 1), F.array(rest))).otherwise(groups)
+    def limit(groups: Column) -> Column:
+        rest = F.array_join(F.slice(groups, F.lit(points), F.greatest(F.size(groups), F.lit(1))), " ")
+        return F.when(F.size(groups) > points, F.concat(F.slice(groups, 1, points - 1), F.array(rest))).otherwise(groups)
 
-    chosen = F.when(bulleted, F.slice(kept, 1, points)).otherwise(grouped)
-    tidy = F.transform(chosen, lambda s: F.regexp_replace(strip(s), r"\s+", " "))
+    return let(F.aggregate(sentences, F.array().cast("array<string>"), fold), limit)
+
+
+def overview_bullets(c: Column | str, longest: int = 400, points: int = 5, point_chars: int = 200) -> Column:
+    """Short list of points from an assessment; an existing list is kept as it is."""
+    def choose(text: Column) -> Column:
+        def pick(lines: Column) -> Column:
+            bulleted = F.exists(lines, lambda s: s.rlike(r"^[-•*·]") | ((F.length(s) > 2) & s.rlike(r"^\d[.):]")))
+            return F.when(bulleted, F.slice(_bullet_points(lines), 1, points)).otherwise(_sentence_groups(text, points))
+
+        return let(F.filter(F.transform(F.split(text, "\n"), strip), lambda s: s != ""), pick)
+
+    tidy = F.transform(let(_shortened(col(c), longest), choose), lambda s: F.regexp_replace(strip(s), r"\s+", " "))
     short = F.transform(tidy, lambda s: F.when(
         F.length(s) > point_chars, F.concat(F.substring(s, 1, point_chars - 3), F.lit("..."))).otherwise(s))
     return F.filter(short, lambda s: s != "")
-
-

@@ -58,8 +58,9 @@ def words(c: Column) -> Column:
 
 def rarest_tokens(rows: DataFrame, scope: Sequence[str], item: str, tokens: Column, keep: Column,
                   numbered: bool = False) -> DataFrame:
-    """(scope, item, token): the `keep` rarest tokens of each item, by count within the scope.
+    """(scope, item, token, size): the `keep` rarest tokens of each item, by count within the scope.
 
+    size is the number of tokens of the item.
     numbered: the k-th equal token of one item counts as a token of its own.
     """
     scope = list(scope)
@@ -73,8 +74,8 @@ def rarest_tokens(rows: DataFrame, scope: Sequence[str], item: str, tokens: Colu
     counts = flat.groupBy(*scope, "token").agg(F.count(F.lit(1)).alias("_n"))
     ranked = flat.join(counts, [*scope, "token"]).groupBy(*scope, item, "_keep").agg(
         F.array_sort(F.collect_list(F.struct("_n", "token"))).alias("_t"))
-    cut = ranked.select(*scope, item, F.slice("_t", F.lit(1), F.col("_keep")).alias("_t"))
-    return cut.select(*scope, item, F.explode("_t.token").alias("token"))
+    cut = ranked.select(*scope, item, F.size("_t").alias("size"), F.slice("_t", F.lit(1), F.col("_keep")).alias("_t"))
+    return cut.select(*scope, item, "size", F.explode("_t.token").alias("token"))
 
 
 def _least_partner(n: Column, t: float) -> Column:
@@ -104,19 +105,24 @@ def name_blocks(rows: DataFrame, scope: Sequence[str], item: str, name: str, thr
     keep_chars = (n - common + 1).cast("int")
     short = rows.filter((total < least_total) & (n > 0))
     by_char = rarest_tokens(short, scope, item, grams_of(F.col(name), 1), keep_chars, numbered=True)
-    return by_gram.withColumn("token", F.concat(F.lit("g:"), "token")).unionByName(
+    # a name has one bigram less than characters
+    return by_gram.withColumns({"token": F.concat(F.lit("g:"), "token"), "size": F.col("size") + 1}).unionByName(
         by_char.withColumn("token", F.concat(F.lit("c:"), "token")))
 
 
-def word_blocks(rows: DataFrame, scope: Sequence[str], item: str, text: str) -> DataFrame:
+def name_size_ratio(threshold: float) -> float:
+    """Two names above the threshold differ in length by less than this factor."""
+    return threshold / (2 - threshold)
+
+
+def word_blocks(rows: DataFrame, scope: Sequence[str], item: str, bag: str) -> DataFrame:
     """Blocks for shared words / larger word count > 0.8: one of the first n - floor(0.8n) words is shared."""
-    bag = words(F.col(text))
     n = F.size(bag)
-    return rarest_tokens(rows, scope, item, bag, (n - F.floor(n * 4 / 5)).cast("int"))
+    return rarest_tokens(rows, scope, item, F.col(bag), (n - F.floor(n * 4 / 5)).cast("int"))
 
 
-def word_overlap(a: Column, b: Column) -> Column:
-    x, y = words(a), words(b)
+def word_overlap(x: Column, y: Column) -> Column:
+    """Shared words over the larger number of words, of two lists of distinct words."""
     return F.when((F.size(x) > 0) & (F.size(y) > 0),
                   F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y))).otherwise(0.0)
 
@@ -130,6 +136,7 @@ def greedy_leaders(
     pos: str,
     fields: Sequence[str],
     matches: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
+    size_ratio: float = 0.0,
     heads: int = 32,
     most_heads: int = 1000,
 ) -> DataFrame:
@@ -143,19 +150,23 @@ def greedy_leaders(
     per item and block, not one per pair. `heads` doubles from round to round.
 
     matches(new, old) gets two accessors for the columns of the later and the earlier row.
+    blocks: scope, token, pos, size. Rows of one block whose sizes differ by more than
+    `size_ratio` cannot match and are not compared; no size fits every size.
     """
     scope = list(scope)
     key = [*scope, pos]
     rows = cut_lineage(items.select(*key, *fields))
-    blocks = blocks.select(*scope, "token", pos).distinct()
+    blocks = blocks.select(*scope, "token", pos, F.col("size").cast("int").alias("size")).dropDuplicates([*scope, "token", pos])
     shared = blocks.groupBy(*scope, "token").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*scope, "token")
     blocks = cut_lineage(blocks.join(shared, [*scope, "token"], "left_semi"))
 
     def pairs(early: DataFrame, late: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
         """Distinct (old, new) positions with a common block that match."""
-        e = early.select(*scope, "token", F.col(pos).alias("_old"))
-        l = late.select(*scope, "token", F.col(pos).alias("_new"), *extra)
-        cond = F.col("_old") < F.col("_new")
+        e = early.select(*scope, "token", F.col(pos).alias("_old"), F.col("size").alias("_osize"))
+        l = late.select(*scope, "token", F.col(pos).alias("_new"), F.col("size").alias("_nsize"), *extra)
+        fits = F.least("_osize", "_nsize") > F.lit(size_ratio) * F.greatest("_osize", "_nsize") - F.lit(1e-9)
+        cond = (F.col("_old") < F.col("_new")) & (
+            F.col("_osize").isNull() | F.col("_nsize").isNull() | fits)
         if extra:
             cond = cond & (F.col("_best").isNull() | (F.col("_old") < F.col("_best")))
         near = e.join(l, [*scope, "token"]).filter(cond).select(*scope, "_old", "_new").distinct()

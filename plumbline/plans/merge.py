@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.predicates import has_text
-from plumbline.operators.similarity import greedy_leaders, name_blocks, ratio_above
+from plumbline.operators.similarity import greedy_leaders, name_blocks, name_size_ratio, ratio_above
 
 PROJECT = ["project_id"]
 
@@ -23,7 +23,8 @@ def _tag(prefix: str, c: Column) -> Column:
 
 def _equal_blocks(rows: DataFrame, tokens: Sequence[Column]) -> DataFrame:
     """One block per key value; null tokens make none."""
-    return rows.select("project_id", "pos", F.explode(F.filter(F.array(*tokens), lambda x: x.isNotNull())).alias("token"))
+    kept = F.filter(F.array(*tokens), lambda x: x.isNotNull())
+    return rows.select("project_id", "pos", F.lit(None).cast("int").alias("size"), F.explode(kept).alias("token"))
 
 
 def _text_blocks(rows: DataFrame, name: str, threshold: float, within: str | None = None) -> DataFrame:
@@ -32,14 +33,14 @@ def _text_blocks(rows: DataFrame, name: str, threshold: float, within: str | Non
     names = rows.filter(F.length(name) > 0).select(*scope, name).distinct()
     found = name_blocks(names, scope, name, name, threshold)
     token = _tag("t:", F.col("token")) if within is None else F.concat_ws("|", F.lit("t"), within, "token")
-    return found.select(*scope, name, token.alias("token")).join(
-        rows.select(*scope, name, "pos"), [*scope, name]).select("project_id", "pos", "token")
+    return found.select(*scope, name, "size", token.alias("token")).join(
+        rows.select(*scope, name, "pos"), [*scope, name]).select("project_id", "pos", "size", "token")
 
 
-def _clusters(rows: DataFrame, keys: Sequence[str], make_blocks, matches) -> DataFrame:
+def _clusters(rows: DataFrame, keys: Sequence[str], make_blocks, matches, threshold: float) -> DataFrame:
     """(project_id, pos, leader). Rows with equal keys count once: the first stands for all."""
     distinct = rows.groupBy("project_id", *keys).agg(F.min("pos").alias("pos"))
-    led = greedy_leaders(distinct, make_blocks(distinct), PROJECT, "pos", keys, matches)
+    led = greedy_leaders(distinct, make_blocks(distinct), PROJECT, "pos", keys, matches, name_size_ratio(threshold))
     cond = [F.col("a.project_id").eqNullSafe(F.col("b.project_id"))] + [
         F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     named = distinct.join(led, ["project_id", "pos"]).drop("pos")
@@ -65,7 +66,7 @@ def space_clusters(spaces: DataFrame) -> DataFrame:
             | (has_text(new("name")) & has_text(old("name")) & ratio_above(new("name"), old("name"), 0.8))
         )
 
-    return _clusters(rows, ["id", "guid", "name", "number"], blocks, matches)
+    return _clusters(rows, ["id", "guid", "name", "number"], blocks, matches, 0.8)
 
 
 def system_clusters(systems: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def system_clusters(systems: DataFrame) -> DataFrame:
             | (has_text(new("name")) & has_text(old("name")) & ratio_above(new("name"), old("name"), 0.8))
         )
 
-    return _clusters(rows, ["id", "guid", "system_guid", "name"], blocks, matches)
+    return _clusters(rows, ["id", "guid", "system_guid", "name"], blocks, matches, 0.8)
 
 
 def equipment_clusters(equipment: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def equipment_clusters(equipment: DataFrame) -> DataFrame:
             | (has_text(new("kind")) & (new("kind") == old("kind")) & ratio_above(new("name"), old("name"), 0.7))
         )
 
-    return _clusters(rows, ["id", "guid", "name", "kind"], blocks, matches)
+    return _clusters(rows, ["id", "guid", "name", "kind"], blocks, matches, 0.7)
 
 
 def milestone_clusters(milestones: DataFrame) -> DataFrame:
@@ -124,7 +125,7 @@ def milestone_clusters(milestones: DataFrame) -> DataFrame:
         return (new("due") == old("due")) & has_text(new("text")) & has_text(old("text")) & ratio_above(
             new("text"), old("text"), 0.9)
 
-    return _clusters(rows, ["text", "due", "own"], lambda r: _text_blocks(r, "text", 0.9, within="due"), matches)
+    return _clusters(rows, ["text", "due", "own"], lambda r: _text_blocks(r, "text", 0.9, within="due"), matches, 0.9)
 
 
 # --- merge of matched rows --------------------------------------------------------

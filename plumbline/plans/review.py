@@ -13,8 +13,9 @@ from plumbline.functions import text as X
 from plumbline.functions import vocabulary as V
 from plumbline.functions.predicates import has_text, matching_labels, or_null
 from plumbline.operators.containment import contained
-from plumbline.operators.ordered import islands, joined_text, keep_first, newest, renumber
-from plumbline.operators.similarity import greedy_leaders, word_blocks, word_overlap
+from plumbline.operators.ordered import islands, joined_text, newest, renumber
+from plumbline.operators.similarity import greedy_leaders, word_blocks, word_overlap, words
+from plumbline.session import cut_lineage
 
 # --- corpus -----------------------------------------------------------------------
 
@@ -166,12 +167,13 @@ def overall_assessment(answers: DataFrame, keys: list[str], order: str) -> DataF
 def distinct_findings(findings: DataFrame, scope: list[str], pos: str = "pos") -> DataFrame:
     """Drop findings whose quote equals, or shares over 0.8 of its words with, a kept one; renumber."""
     rows = findings.withColumn("_q", F.lower(X.strip(F.coalesce("quote", F.lit("")))))
-    first = keep_first(rows, [*scope, "_q"], pos)
-    blocks = word_blocks(first, scope, pos, "_q")
-    led = greedy_leaders(first, blocks, scope, pos, ["_q"],
-                         lambda new, old: word_overlap(new("_q"), old("_q")) > 0.8)
-    kept = first.join(led.filter(F.col(pos) == F.col("leader")).select(*scope, pos), [*scope, pos], "left_semi").drop("_q")
-    return renumber(kept, scope, pos, "number")
+    # only keys and words go through the comparison, the findings themselves join at the end
+    first = rows.groupBy(*scope, "_q").agg(F.min(pos).alias(pos))
+    bags = cut_lineage(first.select(*scope, pos, words(F.col("_q")).alias("_w")))
+    led = greedy_leaders(bags, word_blocks(bags, scope, pos, "_w"), scope, pos, ["_w"],
+                         lambda new, old: word_overlap(new("_w"), old("_w")) > 0.8, size_ratio=0.8)
+    kept = led.filter(F.col(pos) == F.col("leader")).select(*scope, pos)
+    return renumber(rows.drop("_q", "number").join(kept, [*scope, pos], "left_semi"), scope, pos, "number")
 
 
 # --- attribution ----------------------------------------------------------------------
