@@ -141,14 +141,14 @@ def documents_holding_quote(spark, sf):
 
 def _findings(spark, sf):
     """Quotes from inside a passage, across two passages, around a passage, and from nowhere."""
-    from pyspark.sql import Window
+    from plumbline.operators.ordered import previous
     c = L.corpus(S.passages(spark, sf))
-    w = Window.partitionBy("project_id").orderBy("pos")
-    across = F.concat(F.right("content", F.lit(8)), F.lit("\n\n"), F.left(F.lead("marked").over(w), F.lit(40)))
+    following = previous(c.withColumn("_back", -F.col("pos")), ["project_id"], "_back", F.col("marked"), "_next")
+    across = F.concat(F.right("content", F.lit(8)), F.lit("\n\n"), F.left("_next", F.lit(40)))
     t = F.col("pos") % 5
     quote = (F.when(t == 0, F.substring("content", 5, 40)).when(t == 1, across).when(t == 2, F.concat(F.lit("xx "), "content", F.lit(" yy")))
              .when(t == 3, F.concat(F.lit("kein Treffer "), F.col("pos").cast("string"))).otherwise(""))
-    return c, c.select("project_id", "pos", quote.alias("quote"), F.when(F.col("pos") % 7 == 0, "bekannt.pdf").otherwise("").alias("source_file"),
+    return c, following.select("project_id", "pos", quote.alias("quote"), F.when(F.col("pos") % 7 == 0, "bekannt.pdf").otherwise("").alias("source_file"),
                        F.lit(None).cast("int").alias("source_para"))
 
 

@@ -3,7 +3,9 @@
 A running window puts a whole group into one task. Here a group is cut into
 stretches of `width` positions. Each stretch is one window partition; what flows
 from one stretch into the next (the last value, a sum) is summarised to one row
-per stretch, carried over the few summary rows, and joined back.
+per stretch, carried over the summary rows, and joined back. The summary rows are
+cut into stretches in the same way, so sparse positions make no large window either:
+with the default width no window is larger than 65 536 rows for positions below 2^48.
 Positions are integers within the group, e.g. row or paragraph numbers.
 """
 
@@ -17,12 +19,50 @@ from pyspark.sql import functions as F
 WIDTH = 65_536
 
 
+def _join_on(left: DataFrame, right: DataFrame, by: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Left join in which no key equals no key."""
+    same = [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in by]
+    return left.alias("l").join(right.alias("r"), same, "left").select("l.*", *[F.col(f"r.`{f}`") for f in fields])
+
+
+def _carried(summaries: DataFrame, keys: Sequence[str], order: str, kinds: Mapping[str, str], width: int, levels: int) -> DataFrame:
+    """(keys, order, _carry_*): the last value or the sum over all earlier summaries."""
+    def over(name: str, kind: str, window) -> Column:
+        value = F.col(f"`_sum_{name}`")
+        return (F.last(value, ignorenulls=True) if kind == "last" else F.sum(value)).over(window)
+
+    if levels == 1:
+        earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return summaries.select(*keys, order, *[over(n, k, earlier).alias(f"_carry_{n}") for n, k in kinds.items()])
+
+    upper = f"{order}_"
+    cut = summaries.withColumn(upper, F.floor(F.col(order) / F.lit(width)))
+    by = [*keys, upper]
+    earlier = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = cut.select(*by, order, *[over(n, k, earlier).alias(f"_near_{n}") for n, k in kinds.items()])
+
+    def total(name: str, kind: str) -> Column:
+        value = F.col(f"`_sum_{name}`")
+        return F.max_by(value, F.when(value.isNotNull(), F.col(order))) if kind == "last" else F.sum(value)
+
+    totals = cut.groupBy(*by).agg(*[total(n, k).alias(f"_sum_{n}") for n, k in kinds.items()])
+    far = _carried(totals, keys, upper, kinds, width, levels - 1)
+    both = _join_on(local, far, by, [f"_carry_{n}" for n in kinds])
+
+    def merged(name: str, kind: str) -> Column:
+        near, before = F.col(f"`_near_{name}`"), F.col(f"`_carry_{name}`")
+        return F.coalesce(near, before) if kind == "last" else F.coalesce(near, F.lit(0)) + F.coalesce(before, F.lit(0))
+
+    return both.select(*keys, order, *[merged(n, k).alias(f"_carry_{n}") for n, k in kinds.items()])
+
+
 def with_carry(
     df: DataFrame,
     keys: Sequence[str],
     pos: str,
     columns: Mapping[str, tuple[Column, Column, str, Column]],
     width: int = WIDTH,
+    levels: int = 2,
 ) -> DataFrame:
     """Add running columns.
 
@@ -39,16 +79,8 @@ def with_carry(
         for n, spec in columns.items()})
 
     summaries = cut.groupBy(*by).agg(*[spec[1].alias(f"_sum_{n}") for n, spec in columns.items()])
-    earlier = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    carry = {
-        n: (F.last(f"_sum_{n}", ignorenulls=True) if spec[2] == "last" else F.sum(f"_sum_{n}")).over(earlier)
-        for n, spec in columns.items()
-    }
-    carried = summaries.select(*by, *[c.alias(f"_carry_{n}") for n, c in carry.items()])
-
-    left, right = local.alias("l"), carried.alias("r")
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
-    joined = left.join(right, same, "left").select("l.*", *[F.col(f"r._carry_{n}") for n in columns])
+    carried = _carried(summaries, keys, "_stretch", {n: spec[2] for n, spec in columns.items()}, width, levels)
+    joined = _join_on(local, carried, by, [f"_carry_{n}" for n in columns])
     out = joined.withColumns({n.split(":")[-1]: spec[3] for n, spec in columns.items()})
     return out.drop("_stretch", *[f"_in_{n}" for n in columns], *[f"_carry_{n}" for n in columns])
 
@@ -137,7 +169,7 @@ def newest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int =
 
 def joined_text(
     df: DataFrame, keys: Sequence[str], pos: str, text: Column, separator: str,
-    name: str = "text", rows_per_part: int = 200_000,
+    name: str = "text", rows_per_part: int = 20_000,
 ) -> DataFrame:
     """Ordered concatenation. Column `part` is 0 unless a group has more rows than one part holds.
 

@@ -79,7 +79,10 @@ def entities_by_file(files: DataFrame, lineage: DataFrame) -> DataFrame:
 
     lineage: file_id, entity_kind, entity_id. A file without entities keeps one empty row.
     """
-    return files.join(lineage.select("file_id", "entity_kind", "entity_id").distinct(), "file_id", "left")
+    rows = lineage.select("file_id", "entity_kind", "entity_id").distinct()
+    # an inner join can be split on the side of a file with very many entities, an outer one cannot
+    return files.join(rows, "file_id").unionByName(
+        files.join(rows.select("file_id").distinct(), "file_id", "left_anti"), allowMissingColumns=True)
 
 
 def explode_sources(entities: DataFrame, kind: str) -> DataFrame:

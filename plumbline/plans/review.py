@@ -229,8 +229,8 @@ def after_marker(rows: DataFrame, chars: int = V.MARKER_WINDOW_CHARS, width: int
 def attribute(findings: DataFrame, rows: DataFrame) -> DataFrame:
     """Source file and paragraph of findings that have none: by passage, then by the text after a marker."""
     open_rows = findings.filter(~has_text("source_file"))
-    q = open_rows.select("project_id", F.col("pos").alias("quote_id"), F.coalesce("quote", F.lit("")).alias("quote"))
-    one = first_passage(q, rows, ["project_id"]).select("project_id", "quote_id", F.col("pos").alias("_at"))
+    q = cut_lineage(open_rows.select("project_id", F.col("pos").alias("quote_id"), F.coalesce("quote", F.lit("")).alias("quote")))
+    one = cut_lineage(first_passage(q, rows, ["project_id"]).select("project_id", "quote_id", F.col("pos").alias("_at")))
     rest = q.join(one, ["project_id", "quote_id"], "left_anti").select("project_id", "quote_id", F.lower("quote").alias("quote"))
     windows = after_marker(rows).select("project_id", "pos", F.lower("window").alias("window"))
     two = contained(rest, windows, ["project_id"], "quote", "quote_id", "window", "pos").groupBy(

@@ -65,13 +65,20 @@ def space_area_by_number(spaces: DataFrame) -> DataFrame:
     return contradictions(rows, ["number"], "area_m2", 0.1, "V02", F.col("number"), "m²", "Raum mit Nummer ", "Flächenangaben")
 
 
-def space_volume(spaces: DataFrame) -> DataFrame:
+Rule = tuple[Column, Column]
+
+
+def volume_rule() -> list[Rule]:
     a, h, v = F.col("area_m2"), F.col("height_m"), F.col("volume_m3")
-    return _fired(spaces, [(
+    return [(
         has_number(a) & has_number(h) & has_number(v) & (F.abs(v - a * h) > 0.5),
         issue("V03", CONSISTENCY, "Plausibilitätsfehler", "warnung",
               _txt("Raum ", F.col("id"), ": Volumen (", v, " m³) ist nicht Fläche × Höhe (", a * h, " m³)"),
-              _txt("Bitte Volumen oder Höhe für Raum ", F.col("id"), " prüfen"), _files(), F.col("id")))])
+              _txt("Bitte Volumen oder Höhe für Raum ", F.col("id"), " prüfen"), _files(), F.col("id")))]
+
+
+def space_volume(spaces: DataFrame) -> DataFrame:
+    return _fired(spaces, volume_rule())
 
 
 def system_power(systems: DataFrame) -> DataFrame:
@@ -84,8 +91,11 @@ def _ids(rows: DataFrame, flag: str, key: str) -> DataFrame:
     return rows.select("project_id", F.col("id").alias(key)).distinct().withColumn(flag, F.lit(True))
 
 
-def equipment_references(equipment: DataFrame, systems: DataFrame, spaces: DataFrame) -> DataFrame:
-    """V05-V07: at most one issue per piece of equipment, in this order of precedence."""
+def equipment_references(equipment: DataFrame, systems: DataFrame, spaces: DataFrame, more: Sequence[Rule] = ()) -> DataFrame:
+    """V05-V07: at most one issue per piece of equipment, in this order of precedence.
+
+    `more` rules on the same rows share the scan.
+    """
     joined = (
         equipment.join(_ids(systems, "_system", "system_id"), ["project_id", "system_id"], "left")
         .join(_ids(spaces, "_space", "space_id"), ["project_id", "space_id"], "left")
@@ -104,6 +114,7 @@ def equipment_references(equipment: DataFrame, systems: DataFrame, spaces: DataF
         (no_space & ~no_system, issue("V07", REFERENCES, "Referenzfehler", "kritisch",
                                       _txt("Gerät ", e, " referenziert nicht existierenden Raum ", r),
                                       _txt("Bitte Raum ", r, " prüfen oder Gerät korrigieren"), _files(), e)),
+        *more,
     ])
 
 
@@ -136,30 +147,42 @@ def _range_issue(rule: str, severity: str, noun: str, what: str, value: Column)
 
 
 def space_ranges(spaces: DataFrame) -> DataFrame:
+    return _fired(spaces, space_range_rules())
+
+
+def space_range_rules() -> list[Rule]:
     """V13-V17 in one scan."""
     a, v, h = F.col("area_m2"), F.col("volume_m3"), F.col("height_m")
-    return _fired(spaces, [
+    return [
         (a <= 0, _range_issue("V13", "kritisch", "Raum ", "ungültige Fläche", a)),
         (a > 10000, _range_issue("V14", "hinweis", "Raum ", "sehr große Fläche", a)),
         (v <= 0, _range_issue("V15", "kritisch", "Raum ", "ungültiges Volumen", v)),
         (h <= 0, _range_issue("V16", "kritisch", "Raum ", "ungültige Höhe", h)),
         (h > 10, _range_issue("V17", "hinweis", "Raum ", "sehr hohe Raumhöhe", h)),
-    ])
+    ]
 
 
 def system_ranges(systems: DataFrame) -> DataFrame:
+    return _fired(systems, system_range_rules())
+
+
+def system_range_rules() -> list[Rule]:
     """V18-V20 in one scan."""
     p, f = F.col("power_kw"), F.col("flow_m3h")
-    return _fired(systems, [
+    return [
         (p < 0, _range_issue("V18", "kritisch", "Anlage ", "negative Leistung", p)),
         (p > 10000, _range_issue("V19", "hinweis", "Anlage ", "sehr große Leistung", p)),
         (f < 0, _range_issue("V20", "kritisch", "Anlage ", "negativer Volumenstrom", f)),
-    ])
+    ]
 
 
 def equipment_ranges(equipment: DataFrame) -> DataFrame:
+    return _fired(equipment, equipment_range_rules())
+
+
+def equipment_range_rules() -> list[Rule]:
     p = F.col("power_kw")
-    return _fired(equipment, [(p < 0, _range_issue("V21", "kritisch", "Gerät ", "negative Leistung", p))])
+    return [(p < 0, _range_issue("V21", "kritisch", "Gerät ", "negative Leistung", p))]
 
 
 def spec_ranges(rows: DataFrame, limits: Mapping[str, tuple[float | None, float | None]], noun: str) -> DataFrame:
@@ -203,10 +226,14 @@ def too_few(projects: DataFrame, rows: DataFrame, least: int, noun: str = "Raum/
 
 def required_fields(rows: DataFrame, fields: Sequence[str], rule: str, severity: str, noun: str) -> DataFrame:
     """V24, V25: required fields that are null; empty text passes."""
-    return _fired(rows, [(
+    return _fired(rows, required_field_rules(fields, rule, severity, noun))
+
+
+def required_field_rules(fields: Sequence[str], rule: str, severity: str, noun: str) -> list[Rule]:
+    return [(
         F.col(FIELD_OF.get(f, f)).isNull(),
         issue(rule, SPEC, "Fehlende Angabe", severity, _txt(noun, F.col("id"), f" hat kein Feld '{f}'"),
-              _txt(f"Bitte '{f}' für {noun}", F.col("id"), " ergänzen"), _files(), F.col("id"))) for f in fields])
+              _txt(f"Bitte '{f}' für {noun}", F.col("id"), " ergänzen"), _files(), F.col("id"))) for f in fields]
 
 
 def missing_services(services: DataFrame, spec: Mapping = V.OFFER_SPEC) -> DataFrame:
@@ -225,19 +252,22 @@ def missing_services(services: DataFrame, spec: Mapping = V.OFFER_SPEC) -> DataF
 def all_issues(model: Mapping[str, DataFrame], spec: Mapping = V.OFFER_SPEC) -> DataFrame:
     need = spec["mindestanforderungen"]
     spaces, systems, equipment = model["spaces"], model["systems"], model["equipment"]
+    # rules that look at one row share one scan of their entity
+    space_rules = [*volume_rule(), *space_range_rules(),
+                   *required_field_rules(need["raeume"]["erforderliche_felder"], "V24", "kritisch", "Raum ")]
+    system_rules = [*system_range_rules(),
+                    *required_field_rules(need["anlagen"]["erforderliche_felder"], "V25", "warnung", "Anlage ")]
     parts = [
-        space_area_by_id(spaces), space_area_by_number(spaces), space_volume(spaces), system_power(systems),
-        equipment_references(equipment, systems, spaces),
+        space_area_by_id(spaces), space_area_by_number(spaces), system_power(systems),
+        _fired(spaces, space_rules), _fired(systems, system_rules),
+        equipment_references(equipment, systems, spaces, more=equipment_range_rules()),
         dangling(systems, "space_ids", spaces, "V08", "Anlage ", "Raum "),
         dangling(systems, "equipment_ids", equipment, "V09", "Anlage ", "Gerät "),
         dangling(spaces, "system_ids", systems, "V10", "Raum ", "Anlage "),
         dangling(spaces, "equipment_ids", equipment, "V11", "Raum ", "Gerät "),
         milestone_services(model["milestones"], model["services"]),
-        space_ranges(spaces), system_ranges(systems), equipment_ranges(equipment),
         project_fields(model["projects"], need["projekt"]["erforderliche_felder"]),
         too_few(model["projects"], spaces, need["raeume"]["min_anzahl"]),
-        required_fields(spaces, need["raeume"]["erforderliche_felder"], "V24", "kritisch", "Raum "),
-        required_fields(systems, need["anlagen"]["erforderliche_felder"], "V25", "warnung", "Anlage "),
     ]
     out = parts[0]
     for part in parts[1:]:

@@ -62,19 +62,34 @@ def _members(content: bytes, depth: int) -> Iterator[tuple[str, bytes]]:
                     continue
 
 
-def expand_archives(files: DataFrame, max_depth: int = V.ARCHIVE_MAX_DEPTH) -> DataFrame:
-    """Members of zip archives (path, content); an archive that cannot be read gives one error row."""
+def expand_archives(files: DataFrame, max_depth: int = V.ARCHIVE_MAX_DEPTH, batch_bytes: int = 16 << 20) -> DataFrame:
+    """Members of zip archives (path, content); an archive that cannot be read gives one error row.
+
+    Members leave the worker in small batches, so it never holds all members of its archives.
+    """
+    names = ["archive", "member", "content", "size", "error"]
+
+    def rows_of(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            if max_depth <= 0:
+                raise ValueError("nested too deep")
+            for name, data in _members(content, max_depth):
+                yield path, name, data, len(data), None
+        except Exception as e:
+            yield path, None, None, None, str(e)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    if max_depth <= 0:
-                        raise ValueError("nested too deep")
-                    rows = [(path, n, d, len(d), None) for n, d in _members(content, max_depth)]
-                except Exception as e:
-                    rows = [(path, None, None, None, str(e))]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["archive", "member", "content", "size", "error"])
+                for row in rows_of(path, content):
+                    rows.append(row)
+                    held += row[3] or 0
+                    if held >= batch_bytes:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(run, MEMBER)
 
