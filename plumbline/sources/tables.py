@@ -51,7 +51,7 @@ def read_spec(spark: SparkSession, path: str | None = None) -> dict:
     """Offer specification from YAML or JSON. The file is a hand-written rule list."""
     if path is None:
         return V.OFFER_SPEC
-    text = spark.read.option("wholetext", True).text(path).first()[0]
+    text = spark.read.text(path, wholetext=True).first()[0]
     try:
         import yaml
     except ImportError:
@@ -62,13 +62,13 @@ def read_spec(spark: SparkSession, path: str | None = None) -> dict:
 def spec_rules(spark: SparkSession, spec: dict) -> DataFrame:
     """The specification as rows (section, rule, value)."""
     rows = []
-    for section, body in spec["mindestanforderungen"].items():
+    for section, body in (spec.get("mindestanforderungen") or {}).items():
         rows += [(section, "required", f) for f in body.get("erforderliche_felder", [])]
         if "min_anzahl" in body:
             rows.append((section, "minimum", str(body["min_anzahl"])))
-    for p in spec["sia_phasen"]:
+    for p in spec.get("sia_phasen") or []:
         rows += [(p["phase"], "service", s) for s in p["erforderliche_leistungen"]]
-    for section, body in spec["plausibilitaetsgrenzen"].items():
+    for section, body in (spec.get("plausibilitaetsgrenzen") or {}).items():
         rows += [(section, key, str(value)) for key, value in body.items()]
     return spark.createDataFrame(rows, "section string, rule string, value string")
 
