@@ -19,12 +19,6 @@ from pyspark.sql import functions as F
 WIDTH = 65_536
 
 
-def _join_on(left: DataFrame, right: DataFrame, by: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Left join in which no key equals no key."""
-    same = [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in by]
-    return left.alias("l").join(right.alias("r"), same, "left").select("l.*", *[F.col(f"r.`{f}`") for f in fields])
-
-
 def _carried(summaries: DataFrame, keys: Sequence[str], order: str, kinds: Mapping[str, str], width: int, levels: int) -> DataFrame:
     """(keys, order, _carry_*): the last value or the sum over all earlier summaries."""
     def over(name: str, kind: str, window) -> Column:
@@ -47,7 +41,7 @@ def _carried(summaries: DataFrame, keys: Sequence[str], order: str, kinds: Mappi
 
     totals = cut.groupBy(*by).agg(*[total(n, k).alias(f"_sum_{n}") for n, k in kinds.items()])
     far = _carried(totals, keys, upper, kinds, width, levels - 1)
-    both = _join_on(local, far, by, [f"_carry_{n}" for n in kinds])
+    both = local.join(far, by, "left")
 
     def merged(name: str, kind: str) -> Column:
         near, before = F.col(f"`_near_{name}`"), F.col(f"`_carry_{name}`")
@@ -58,7 +52,7 @@ def _carried(summaries: DataFrame, keys: Sequence[str], order: str, kinds: Mappi
 
 def with_carry(
     df: DataFrame,
-    keys: Sequence[str],
+    group: Sequence[str],
     pos: str,
     columns: Mapping[str, tuple[Column, Column, str, Column]],
     width: int = WIDTH,
@@ -70,9 +64,11 @@ def with_carry(
     'last' or 'sum' over the earlier summaries, result out of `inner` and `carried`).
     The result may refer to F.col('_in_<name>') and F.col('_carry_<name>').
     """
-    keys = list(keys)
-    cut = df.withColumn("_stretch", F.floor(F.col(pos) / F.lit(width)))
-    by = [*keys, "_stretch"]
+    # one struct as the key: windows, sums and the join share its partitioning, and no key equals no key
+    keys, names = ["_key"], df.columns
+    key = F.struct(*[F.col(k) for k in group]) if group else F.struct(F.lit(0))
+    cut = df.withColumns({"_key": key, "_stretch": F.floor(F.col(pos) / F.lit(width))})
+    by = ["_key", "_stretch"]
     inner = Window.partitionBy(*by).orderBy(pos)
     local = cut.withColumns({f"_in_{n}": spec[0].over(
         inner if n.startswith("lag:") else inner.rowsBetween(Window.unboundedPreceding, 0))
@@ -80,9 +76,8 @@ def with_carry(
 
     summaries = cut.groupBy(*by).agg(*[spec[1].alias(f"_sum_{n}") for n, spec in columns.items()])
     carried = _carried(summaries, keys, "_stretch", {n: spec[2] for n, spec in columns.items()}, width, levels)
-    joined = _join_on(local, carried, by, [f"_carry_{n}" for n in columns])
-    out = joined.withColumns({n.split(":")[-1]: spec[3] for n, spec in columns.items()})
-    return out.drop("_stretch", *[f"_in_{n}" for n in columns], *[f"_carry_{n}" for n in columns])
+    joined = local.join(carried, by, "left")
+    return joined.select(*names, *[spec[3].alias(n.split(":")[-1]) for n, spec in columns.items()])
 
 
 def fill_down(df: DataFrame, keys: Sequence[str], pos: str, value: Column, name: str, width: int = WIDTH) -> DataFrame:

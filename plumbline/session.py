@@ -50,6 +50,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_SCRATCH: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the step tables written so far, once nothing reads them any more."""
+    jvm = spark.sparkContext._jvm
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     """Write the rows to the shared folder and go on from the written table.
 
@@ -57,5 +68,6 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    _SCRATCH.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -121,7 +121,8 @@ def test_sources_and_sinks(spark, tmp_path):
     log = {"fileId": 2, "filename": "f", "timestamp": "t", "logs": [{"timestamp": "1", "message": "Load failed", "data": {"a": 1}}, {"timestamp": "2", "message": "warn", "data": None}]}
     (tmp_path / "log.json").write_text(json.dumps(log, indent=1))
     entries = ST.log_entries(ST.read_event_logs(spark, str(tmp_path / "log.json")))
-    assert [(r.message, r.data) for r in entries.orderBy("idx").collect()] == [("Load failed", '{"a":1}'), ("warn", None)]
+    read = [(r.message, json.loads(r.data) if r.data else None) for r in entries.orderBy("idx").collect()]
+    assert read == [("Load failed", {"a": 1}), ("warn", None)]
     s = L.log_summary(entries, ["fileId"]).first()
     assert (s.total, s.errors, s.warnings) == (2, 1, 1)
     ST.append_json_lines(entries, str(tmp_path / "nd"))
