@@ -22,8 +22,7 @@ SAMPLE = [
 def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     without = set(entry.queries()) - set(entry.oracle_sql())
-    assert without == {"space_clusters", "system_clusters", "equipment_clusters", "milestone_clusters", "merged_spaces",
-                       "similar_names", "distinct_documents"}
+    assert without == {"space_clusters", "system_clusters", "merged_spaces", "similar_names", "distinct_documents"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
