@@ -17,6 +17,11 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"^\s+|\s+$", "")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often `use` refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 # --- files ---------------------------------------------------------------------
 
 def extension(name: Column | str) -> Column:
@@ -185,10 +190,12 @@ def priority(c: Column | str) -> Column:
 
 def without_fence(c: Column | str) -> Column:
     """Drop a code fence around the text: its first line and a closing fence line."""
-    text = strip(c)
-    opened = F.regexp_replace(text, r"(?s)\A[^\n]*(\n|\z)", "")
-    closed = F.regexp_replace(opened, r"(\A|\n)[ \t\r]*```[ \t\r]*\z", "")
-    return F.when(text.startswith("```"), closed).otherwise(text)
+    def bare(text: Column) -> Column:
+        opened = F.regexp_replace(text, r"(?s)\A[^\n]*(\n|\z)", "")
+        closed = F.regexp_replace(opened, r"(\A|\n)[ \t\r]*```[ \t\r]*\z", "")
+        return F.when(text.startswith("```"), closed).otherwise(text)
+
+    return let(strip(c), bare)
 
 
 # --- labels in plan text ----------------------------------------------------------------------
@@ -264,11 +271,6 @@ def drafters(team: Column) -> Column:
     return F.greatest(F.lit(1).cast("long"), floor_div(team, 2))
 
 
-def let(value: Column, use) -> Column:
-    """use(value) with the value worked out once, however often `use` refers to it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _shortened(c: Column, longest: int) -> Column:
     """Cut at the last sentence end if that keeps most of the text, else with dots."""
     def cut(whole: Column) -> Column:

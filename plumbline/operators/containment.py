@@ -48,13 +48,14 @@ def contained(
     common = index.groupBy(*scope, "_word").agg(F.count(F.lit(1)).alias("_df"))
 
     # needles with inner words: anchor on the rarest; an unknown word rules the needle out
-    inner = n.select(*scope, needle_id, F.explode(F.array_distinct(_inner(F.col("_needle")))).alias("_word"))
+    inner = n.select(*scope, needle_id, F.array_distinct(_inner(F.col("_needle"))).alias("_inner"))
+    inner = inner.select(*scope, needle_id, F.size("_inner").alias("_n"), F.explode("_inner").alias("_word"))
     rare = (
-        inner.join(common, [*scope, "_word"], "left")
-        .groupBy(*scope, needle_id)
-        .agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_word").alias("w"))).alias("_m"))
-        .filter("_m.df > 0")
-        .select(*scope, needle_id, F.col("_m.w").alias("_word"))
+        inner.join(common, [*scope, "_word"])
+        .groupBy(*scope, needle_id, "_n")
+        .agg(F.count(F.lit(1)).alias("_known"), F.min(F.struct("_df", "_word")).alias("_m"))
+        .filter("_known = _n")
+        .select(*scope, needle_id, F.col("_m._word").alias("_word"))
     )
 
     # needles of one or two pieces: longest piece -> words of the vocabulary that hold it
