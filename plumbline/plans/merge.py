@@ -214,7 +214,7 @@ SURVIVING = {
 
 
 def in_arrival_order(active: DataFrame | None, batch: DataFrame, file_order: str = "file_id") -> DataFrame:
-    """Give batch rows positions after those of the active model.
+    """Give batch rows positions after those of the active model. File ids stay below 2^31.
 
     The offset is the largest position of the project, so it is one row per project.
     Rows of a batch come in the order of their file, then their own position.
