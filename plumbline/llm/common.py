@@ -65,6 +65,26 @@ def dense_ranks(df: DataFrame, order: list[str], groups: list[str], rank: str, t
     return out.select(*df.columns, rank, *[f"before_{c}" for c in total])
 
 
+class ChunkHash:
+    """64-bit polynomial hashes of stretches of an array of code points, from differences of one running sum."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def __call__(self, codes: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        n = len(codes)
+        if len(self.power) <= n:
+            self.power = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, self.BASE, np.uint64)])
+            self.inverse = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, pow(self.BASE, -1, 1 << 64), np.uint64)])
+        mixed = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * self.power[:n]
+        running = np.r_[np.uint64(0), np.cumsum(mixed)]
+        out = (running[starts + size] - running[starts]) * self.inverse[starts]
+        return out ^ (out >> np.uint64(31)) ^ size.astype(np.uint64)
+
+
 def roots(u: np.ndarray, v: np.ndarray, n: int, root: np.ndarray | None = None) -> np.ndarray:
     """Smallest index reachable from each of 0..n-1 over the edges u-v, going on from `root`."""
     root = np.arange(n) if root is None else root

@@ -11,14 +11,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import small_batches
+from plumbline.llm.common import ChunkHash, small_batches
 
 SPACE, OUTSIDE, CODE_BITS = 0x2581, 0x110000, 21
 #: Log weight of a character that has no piece: far below any path of pieces, and needed only where there is none.
 FALLBACK = -30.0
 STORE = 8_000_000  # edges of lattices that a worker keeps, 100 MB
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def default_model() -> str:
@@ -77,7 +75,7 @@ class Lattice:
         self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.width = np.fromiter(map(len, self.bytes_of), np.int64, n)
         self.place = np.cumsum(self.width) - self.width
-        self.power = self.inverse = np.ones(1, np.uint64)
+        self.hashes = ChunkHash()
         self.kept_hash, self.kept_kind = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.first_edge, self.source, self.piece, self.home, self.size = (np.zeros(0, np.int32) for _ in range(5))
         self.share = np.zeros(0, np.float32)
@@ -162,18 +160,6 @@ class Lattice:
         counts = np.searchsorted(starts, stop) - np.searchsorted(starts, stop - length)
         return np.where(codes == 0x20, SPACE, np.where(codes == SPACE, OUTSIDE, codes)), starts, counts
 
-    def _hashes(self, codes: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """A 64-bit polynomial hash of each chunk, from differences of one running sum."""
-        n = len(codes)
-        if len(self.power) <= n:
-            self.power = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, _BASE, np.uint64)])
-            self.inverse = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, _INVERSE, np.uint64)])
-        mixed = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * self.power[:n]
-        running = np.r_[np.uint64(0), np.cumsum(mixed)]
-        out = (running[starts + size] - running[starts]) * self.inverse[starts]
-        return out ^ (out >> np.uint64(31)) ^ size.astype(np.uint64)
-
     def encode(self, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the number of ids of each text.
 
@@ -184,7 +170,7 @@ class Lattice:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         codes, starts, counts = self._chunks(texts)
         length = np.diff(np.r_[starts, len(codes)])
-        unique, at, kind_of, times = np.unique(self._hashes(codes, starts, length), return_index=True, return_inverse=True, return_counts=True)
+        unique, at, kind_of, times = np.unique(self.hashes(codes, starts, length), return_index=True, return_inverse=True, return_counts=True)
         number = np.full(len(unique), -1)
         if len(self.kept_hash):
             slot = np.minimum(np.searchsorted(self.kept_hash, unique), len(self.kept_hash) - 1)

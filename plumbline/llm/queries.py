@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import lines, mixing, pieces, quality, simhash
+from plumbline.llm import lines, mixing, pieces, quality, sharding, simhash, tokens
+from plumbline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +46,18 @@ def op4_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query()
+def op5_longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.longest_first_shards(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    tokens.write_tokens(_table(spark, sf_dir, "documents"), path)
+    return tokens.token_index(spark, path)
+
+
 @query(lines.DEDUP_SQL.format(table="documents") + "select doc_id, n_lines, n_dropped, sha256(kept_text) as kept_sha256 from kept")
 def op8_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.line_dedup(_table(spark, sf_dir, "documents"))
