@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import lines, mixing, pieces, quality, sharding, simhash, tokens
+from plumbline.llm import lines, mixing, pages, pieces, quality, sharding, simhash, tokens, toxicity, vectors
 from plumbline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,11 @@ def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.STATS, "base_failed", "kept", "d2")
 
 
+@query()
+def op2_cosine_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op3_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("text_key", F.xxhash64("text"))
@@ -51,6 +56,11 @@ def op5_longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.longest_first_shards(_table(spark, sf_dir, "documents"))
 
 
+@query()
+def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @query()
 def op7_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
@@ -68,3 +78,9 @@ def op8_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return out.withColumnRenamed("_copy", "copy").withColumnRenamed("_order", "mix_order")
+
+
+@query()
+def op10_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pages.extract_main_text(_table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
