@@ -141,16 +141,22 @@ def project_listing(spark, sf):
     return L.listing(S.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), "id", 20, 50)
 
 
-@query(f"WITH {S.PROJECTS} SELECT id, coalesce(location, '') AS location FROM projects ORDER BY 2 DESC, 1 LIMIT 40")
+def _placed(rows):
+    """Sorted rows with their place from 1."""
+    at = O.dense_ranks(rows.withColumn("_m", F.monotonically_increasing_id()), ["_m"], [], "place")
+    return at.withColumn("place", F.col("place") + 1).drop("_m")
+
+
+@query(f"WITH {S.PROJECTS} SELECT id, coalesce(location, '') AS location, row_number() OVER (ORDER BY coalesce(location, '') DESC, id) AS place FROM projects")
 def projects_by_location(spark, sf):
     rows = L.sort_projects(S.projects(spark, sf), "location", ascending=False)
-    return rows.limit(40).select("id", F.coalesce("location", F.lit("")).alias("location"))
+    return _placed(rows.select("id", F.coalesce("location", F.lit("")).alias("location")))
 
 
-@query(f"""WITH {S.PROJECTS} SELECT id, description FROM projects
-  ORDER BY trim(coalesce(regexp_extract(description, 'Projektnummer:\\s*(.+)', 1), '')), id LIMIT 30""")
+@query(f"""WITH {S.PROJECTS} SELECT id, description,
+  row_number() OVER (ORDER BY trim(coalesce(regexp_extract(description, 'Projektnummer:\\s*(.+)', 1), '')), id) AS place FROM projects""")
 def projects_by_number(spark, sf):
-    return L.sort_projects(S.projects(spark, sf), "number").limit(30).select("id", "description")
+    return _placed(L.sort_projects(S.projects(spark, sf), "number").select("id", "description"))
 
 
 LOG = """log AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'error' THEN 'Request FAILED' WHEN 'view' THEN 'Warning: slow' WHEN 'click' THEN 'error and warn'

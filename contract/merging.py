@@ -50,11 +50,12 @@ def merge_links(spark, sf):
 
 @query(f"""WITH {S.spaces_sql()}, a AS (SELECT * FROM spaces WHERE pos % 2 = 0), t AS (SELECT project_id, max(pos) + 1 AS base FROM a GROUP BY 1)
   SELECT project_id, id, pos FROM a UNION ALL
-  SELECT s.project_id, s.id, (s.pos % 7) * 4294967296 + s.pos + coalesce(base, 0) FROM spaces s LEFT JOIN t USING (project_id) WHERE s.pos % 2 = 1""")
+  SELECT s.project_id, s.id, row_number() OVER (PARTITION BY s.project_id ORDER BY s.pos % 7, s.pos) - 1 + coalesce(base, 0)
+  FROM spaces s LEFT JOIN t USING (project_id) WHERE s.pos % 2 = 1""")
 def arrival_order(spark, sf):
     """Rows of a batch come after those of the active model, file by file."""
     rows = S.spaces(spark, sf).select("project_id", "id", "pos")
-    batch = rows.filter("pos % 2 = 1").withColumn("file_id", F.col("pos") % 7)
+    batch = rows.filter("pos % 2 = 1").withColumn("file_id", (F.col("pos") % 7) * F.lit(1 << 58))
     return M.in_arrival_order(rows.filter("pos % 2 = 0"), batch).select("project_id", "id", "pos")
 
 
@@ -92,12 +93,20 @@ def merged_spaces(spark, sf):
     out = M.merge_entities("spaces", S.spaces(spark, sf))
     key = ["project_id", "pos"]
     return (
-        out["merged"].join(out["conflicts"].groupBy(*key).agg(F.count(F.lit(1)).alias("conflicts")), key, "left")
+        out["merged"].drop("sources").join(out["conflicts"].groupBy(*key).agg(F.count(F.lit(1)).alias("conflicts")), key, "left")
         .join(out["lineage"].groupBy(*key).agg(F.count(F.lit(1)).alias("sources")), key, "left")
         .select(*key, "id", "name", "area_m2", "members", F.coalesce("conflicts", F.lit(0)).alias("conflicts"), "sources")
     )
 
 
+@query(f"""WITH {NAMED}, f AS (SELECT project_id, leader AS pos, arg_min(system_ids, pos) FILTER (system_ids IS NOT NULL) AS ids FROM c GROUP BY 1, 2)
+  SELECT project_id, pos, unnest(ids) AS system_id FROM f""")
+def links_kept_by_merge(spark, sf):
+    """The link lists of spaces survive the merge: the first list that is not null."""
+    rows = S.spaces(spark, sf)
+    return M.survivors(rows, _by_name(rows), M.SURVIVING["spaces"]).select("project_id", "pos", F.explode("system_ids").alias("system_id"))
+
+
 @query()
 def similar_names(spark, sf):
     """Per name of the odd parts the earliest even part with a similar name."""

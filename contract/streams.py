@@ -49,6 +49,7 @@ def archives(spark, sf):
 
 @query("""SELECT 'a' || doc_id || '.zip' AS archive, 'text_' || doc_id || '.pdf' AS member, strlen(text) AS size, 'PDF' AS file_type, false AS failed FROM documents WHERE doc_id % 9 <> 0 UNION ALL
   SELECT 'a' || doc_id || '.zip', 'kopie_' || doc_id || '.docx', strlen(text), 'Word', false FROM documents WHERE doc_id % 9 <> 0 UNION ALL
+  SELECT 'a' || doc_id || '.zip', 'defekt.gz', NULL, 'Unknown', true FROM documents WHERE doc_id % 9 <> 0 UNION ALL
   SELECT 'a' || doc_id || '.zip', NULL, NULL, 'Unknown', true FROM documents WHERE doc_id % 9 = 0""")
 def archive_expansion(spark, sf):
     return SF.member_types(SF.expand_archives(archives(spark, sf))).select("archive", "member", "size", "file_type", F.col("error").isNotNull().alias("failed"))
@@ -155,13 +156,12 @@ def failed_files_to_retry(spark, sf):
 @query(f"""WITH {LOG} SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, user_id, count(*) AS total,
   count(*) FILTER (contains(lower(message), 'error') OR contains(lower(message), 'failed')) AS errors, count(*) FILTER (contains(lower(message), 'warn')) AS warnings FROM log GROUP BY 1, 2""")
 def event_log_stream(spark, sf):
-    """Windowed counts over the event stream. The watermark closes every window but the last ones,
-    which a final empty-data batch does not reach, so the sink keeps all windows (update mode, last value)."""
+    """Windowed counts over the event stream; no row is late, and the sink keeps the last value of each window."""
     out = scratch_path(spark, "eventlog")
     events = I.read_drop_folder(spark, sf, "event_id bigint, ts timestamp, user_id bigint, event_type string", name_filter="events.parquet")
     t = F.col("event_type")
     message = F.when(t == "error", "Request FAILED").when(t == "view", "Warning: slow").when(t == "click", "error and warn").otherwise(t)
-    counts = I.log_counts(events.withColumn("message", message), "ts", ["user_id"], "1 hour", "2 hours")
+    counts = I.log_counts(events.withColumn("message", message), "ts", ["user_id"], "1 hour")
 
     def step(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")

@@ -151,6 +151,7 @@ SCAN_TEXT_MIN_CHARS = 50
 
 # --- plan text ---------------------------------------------------------------
 SPACE_LABEL_PATTERNS = [r"R\.?\s*(\d+[A-Z]?)", r"Raum\s+(\d+[A-Z]?)", r"R\s*(\d+[A-Z]?)", r"(\d+\.\d+)"]
+AREA_OWNER_PATTERNS = [r"R\.?\s*(\d+[A-Z]?)", r"Raum\s+(\d+[A-Z]?)", r"R\s*(\d+[A-Z]?)"]  # labels that an area can belong to
 AREA_PATTERNS = [r"(\d+[,.]\d+)\s*m²", r"(\d+[,.]\d+)\s*m2", r"Fläche[:\s]+(\d+[,.]\d+)"]
 SYSTEM_LABEL_PATTERNS = [
     r"(LÜA|Lüftungsanlage|Ventilation)\s*(\d+)?",

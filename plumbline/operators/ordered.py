@@ -16,6 +16,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import cut_lineage
+
 WIDTH = 65_536
 
 
@@ -153,6 +155,37 @@ def keep_first(df: DataFrame, keys: Sequence[Column | str], pos: str) -> DataFra
     )
 
 
+def dense_ranks(df: DataFrame, order: Sequence[str], groups: Sequence[str], rank: str, total: Sequence[str] = ()) -> DataFrame:
+    """Gapless 0-based rank of each row within its group, in the given order, of which the groups are a prefix.
+
+    The rows are range-partitioned and sorted once and written; what a partition holds of a group is one row of
+    counts, and a running sum over those rows shifts the partition's own ranks. `total`: number columns for which
+    the sum over the rows before is returned as `before_<name>`, by the same two steps.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = [F.col(c).asc_nulls_first() for c in order]
+    laid = df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols)
+    laid = cut_lineage(laid.withColumn("_row", F.monotonically_increasing_id()), "ranks")
+    laid = laid.withColumn("_part", F.shiftrightunsigned("_row", 33)).withColumn("_at", F.col("_row").bitwiseAND((1 << 33) - 1))
+    held = laid.groupBy("_part", *groups).agg(F.min("_at").alias("_low"), F.count("*").alias("_n"),
+                                              *[F.sum(c).alias(f"_sum_{c}") for c in total])
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("_part", *[F.col(g).alias(f"_g_{g}") for g in groups], "_low",
+                       F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"),
+                       *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_base_{c}") for c in total])
+    held = cut_lineage(held.withColumnRenamed("_part", "_p"), "held")
+    on = laid["_part"] == held["_p"]
+    for g in groups:
+        on = on & laid[g].eqNullSafe(held[f"_g_{g}"])
+    out = laid.join(held, on).withColumn(rank, F.col("_at") - F.col("_low") + F.col("_base"))
+    if total:
+        inside = Window.partitionBy("_part", *groups).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        for c in total:
+            out = out.withColumn(f"before_{c}", F.col(f"_base_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
+    return out.select(*df.columns, rank, *[f"before_{c}" for c in total])
+
+
 def newest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first n rows of each group in the given order.
 
@@ -164,15 +197,16 @@ def newest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int =
 
 def joined_text(
     df: DataFrame, keys: Sequence[str], pos: str, text: Column, separator: str,
-    name: str = "text", rows_per_part: int = 20_000,
+    name: str = "text", rows_per_part: int | None = None,
 ) -> DataFrame:
-    """Ordered concatenation. Column `part` is 0 unless a group has more rows than one part holds.
+    """Ordered concatenation: one text per group, column `part` is 0.
 
-    A part covers `rows_per_part` positions, so no task gathers more than that; the
+    On request the rows of a group are cut into parts of `rows_per_part` positions; the
     parts of a group in order, with the separator between, are the whole text.
     """
+    part = F.lit(0).cast("long") if rows_per_part is None else F.floor(F.col(pos) / F.lit(rows_per_part))
     return (
-        df.groupBy(*keys, F.floor(F.col(pos) / F.lit(rows_per_part)).alias("part"))
+        df.groupBy(*keys, part.alias("part"))
         .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), text.alias("t")))).alias("_items"))
         .select(*keys, "part", F.array_join(F.transform("_items", lambda x: x["t"]), separator).alias(name))
     )

@@ -43,19 +43,27 @@ def _ordered(cells: Column) -> Column:
     return F.array_sort(F.map_entries(cells))
 
 
-def sheet_layout(rows: DataFrame) -> DataFrame:
-    """One row per sheet: header row, its cells, sample text, extent, formula flag."""
-    header = F.when(F.col("any_text") & (F.col("row") <= V.HEADER_SEARCH_ROWS), F.col("row"))
+def _upto(rows: int | None) -> Column:
+    return F.lit(True) if rows is None else F.col("row") <= rows
+
+
+def sheet_layout(rows: DataFrame, header_rows: int | None = None, sample_rows: int | None = 5, formula_rows: int | None = None) -> DataFrame:
+    """One row per sheet: header row, its cells, sample text, extent, formula flag.
+
+    The header is looked for in the first `header_rows` rows, formulas in the first `formula_rows`, None for all; the
+    text that tells a sheet's kind are its first `sample_rows` rows, as that rule has it.
+    """
+    header = F.when(F.col("any_text") & _upto(header_rows), F.col("row"))
     row_text = F.concat_ws(" ", F.transform(
         F.filter(_ordered(F.col("cells")), lambda e: filled(e["value"]["value"], e["value"]["dtype"])),
         lambda e: e["value"]["value"]))
-    sample = F.collect_list(F.when(F.col("row") <= 5, F.struct("row", row_text.alias("t"))))
+    sample = F.collect_list(F.when(_upto(sample_rows), F.struct("row", row_text.alias("t"))))
     first = rows.groupBy(*SHEET).agg(
         F.coalesce(F.min(header), F.lit(1)).alias("header_row"),
         F.coalesce(F.min_by("cells", header), F.min_by("cells", F.when(F.col("row") == 1, F.col("row")))).alias("header_cells"),
         F.lower(F.concat_ws(" ", F.transform(F.array_sort(sample), lambda s: s["t"]))).alias("sample_text"),
         F.max("row").alias("max_row"), F.max("last_col").alias("max_col"),
-        F.max(F.col("any_formula") & (F.col("row") <= 100)).alias("has_formulas"))
+        F.max(F.col("any_formula") & _upto(formula_rows)).alias("has_formulas"))
     kind = F.coalesce(first_label("sheet", V.SHEET_KINDS_BY_NAME), first_label("sample_text", V.SHEET_KINDS_BY_TEXT))
     return first.withColumn("kind", kind)
 
@@ -98,7 +106,7 @@ def data_rows(rows: DataFrame, layout: DataFrame, kind: str) -> DataFrame:
     sheets = layout.filter(F.col("kind") == kind).select(
         *SHEET, "header_row", role_columns(F.col("header_cells"), V.SHEET_ROLES[kind]).alias("at"))
     return rows.join(sheets, SHEET).filter(
-        (F.col("row") > F.col("header_row")) & (F.col("row") <= F.col("header_row") + V.SHEET_ROW_LIMIT))
+        F.col("row") > F.col("header_row"))
 
 
 def spaces_from_sheets(rows: DataFrame, layout: DataFrame) -> DataFrame:
@@ -163,18 +171,19 @@ def services_from_sheets(rows: DataFrame, layout: DataFrame) -> DataFrame:
 
 # --- raw capture ------------------------------------------------------------------
 
-def raw_rows(rows: DataFrame, layout: DataFrame) -> DataFrame:
+def raw_rows(rows: DataFrame, layout: DataFrame, row_limit: int | None = None, empty_stop: int | None = None) -> DataFrame:
     """All data rows as header -> text maps up to the first long gap; equal headers: the last wins.
 
-    A sheet whose header row is all it has gives that row itself.
+    With `row_limit`, rows further below the header are left out; with `empty_stop`, all that comes after so many
+    empty rows. A sheet whose header row is all it has gives that row itself.
     """
     sheets = layout.select(*SHEET, "header_row", "max_row", header_list(F.col("header_cells"), F.col("max_col")).alias("headers"))
     sheets = sheets.withColumn("start", F.when(F.col("header_row") < F.col("max_row"), F.col("header_row") + 1).otherwise(F.col("header_row")))
     joined = rows.join(sheets, SHEET)
     in_range = joined.filter(
         F.col("any_value") & (F.col("row") >= F.col("start"))
-        & (F.col("row") <= F.col("start") + V.SHEET_ROW_LIMIT))
-    kept = stop_after_gap(in_range, SHEET, "row", F.col("start"), V.EMPTY_ROW_STOP)
+        & (F.lit(True) if row_limit is None else F.col("row") <= F.col("start") + row_limit))
+    kept = in_range if empty_stop is None else stop_after_gap(in_range, SHEET, "row", F.col("start"), empty_stop)
     # nothing below the header: the header row stands in
     some = kept.select(*SHEET).distinct()
     header_only = joined.filter((F.col("row") == F.col("header_row")) & F.col("any_value")).join(some, SHEET, "left_anti")
@@ -192,21 +201,21 @@ def raw_table_summary(raw: DataFrame, layout: DataFrame) -> DataFrame:
     return counts.join(layout.select(*SHEET, "header_row", F.col("max_col").cast("long").alias("column_count")), SHEET)
 
 
-def loose_cells(cells: DataFrame, layout: DataFrame) -> DataFrame:
-    """Text outside the table: above the header row, or past the rows that belong to the table."""
+def loose_cells(cells: DataFrame, layout: DataFrame, row_limit: int | None = None) -> DataFrame:
+    """Text outside the table: above the header row, or past the rows that belong to the table if they are limited."""
     bounds = layout.select(*SHEET, "header_row")
     text = X.strip("value")
     return (
         cells.join(bounds, SHEET)
-        .filter((F.col("row") < F.col("header_row")) | (F.col("row") > F.col("header_row") + V.SHEET_ROW_LIMIT))
+        .filter((F.col("row") < F.col("header_row")) | (F.lit(False) if row_limit is None else F.col("row") > F.col("header_row") + row_limit))
         .select(*SHEET, "row", "col", text.alias("content"), X.cell_reference("col", "row").alias("cell"))
         .filter(F.length("content") >= 2)
     )
 
 
-def loose_cells_after_stop(cells: DataFrame, rows: DataFrame, layout: DataFrame) -> DataFrame:
+def loose_cells_after_stop(cells: DataFrame, rows: DataFrame, layout: DataFrame, empty_stop: int = V.EMPTY_ROW_STOP) -> DataFrame:
     """Text above the header row and text past the first long gap."""
-    raw = raw_rows(rows, layout).select(*SHEET, "row", "header_row")
+    raw = raw_rows(rows, layout, empty_stop=empty_stop).select(*SHEET, "row", "header_row")
     last = raw.groupBy(*SHEET).agg(F.max("row").alias("_last"))
     bounds = layout.select(*SHEET, "header_row").join(last, SHEET, "left")
     return (

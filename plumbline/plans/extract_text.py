@@ -69,9 +69,8 @@ def split_paragraphs(df: DataFrame, text: str = "text") -> DataFrame:
     return parts.withColumn(text, X.strip(text))
 
 
-def requirements_from_pages(texts: DataFrame, limit: int | None = V.PARAGRAPHS_PER_FILE,
-                            longest: int | None = V.PARAGRAPH_MAX_CHARS) -> DataFrame:
-    """Paragraphs of each text that are long enough, numbered from 0. Pass None for no limit."""
+def requirements_from_pages(texts: DataFrame, limit: int | None = None, longest: int | None = None) -> DataFrame:
+    """Paragraphs of each text that are long enough, numbered from 0; on request only the first `limit`, cut to `longest`."""
     parts = F.filter(F.transform(F.split("text", "\n\n"), X.strip), lambda p: long_enough(p, V.PARAGRAPH_MIN_CHARS))
     if limit is not None:
         parts = F.slice(parts, 1, limit)
@@ -160,7 +159,7 @@ def plan_areas(pages: DataFrame) -> DataFrame:
             (F.lit(None).cast("string") if is_area else group(m)).alias("label"),
             (F.translate(group(m), ",", ".").try_cast("double") if is_area else F.lit(None).cast("double")).alias("area")))
 
-    space = F.flatten(F.array(*[found(p, False) for p in V.SPACE_LABEL_PATTERNS[:3]]))
+    space = F.flatten(F.array(*[found(p, False) for p in V.AREA_OWNER_PATTERNS]))
     area = F.flatten(F.array(*[found(p, True) for p in V.AREA_PATTERNS]))
     # one page is one row of the input, so this window stays inside what one row held
     tokens = pages.select("file_id", "page", F.inline(F.concat(space, area)))

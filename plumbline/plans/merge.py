@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.predicates import has_text
+from plumbline.operators.ordered import dense_ranks
 from plumbline.operators.similarity import greedy_leaders, name_blocks, name_size_ratio, ratio_above
 
 PROJECT = ["project_id"]
@@ -133,6 +134,7 @@ def milestone_clusters(milestones: DataFrame) -> DataFrame:
 def survivors(rows: DataFrame, clusters: DataFrame, fields: Sequence[str]) -> DataFrame:
     """One row per cluster: id of the leader, per field the first value that is not null."""
     joined = rows.join(clusters, ["project_id", "pos"])
+    fields = [f for f in fields if f in rows.columns]
     return joined.groupBy("project_id", F.col("leader").alias("pos")).agg(
         F.min_by("id", "pos").alias("id"),
         *[F.min_by(f, F.when(F.col(f).isNotNull(), F.col("pos"))).alias(f) for f in fields],
@@ -207,19 +209,19 @@ def append_passages(known: DataFrame, texts: DataFrame, passages: DataFrame) ->
 CLUSTERS = {"spaces": space_clusters, "systems": system_clusters,
             "equipment": equipment_clusters, "milestones": milestone_clusters}
 SURVIVING = {
-    "spaces": ["name", "number", "area_m2", "volume_m3", "height_m", "usage", "storey", "zone", "guid"],
-    "systems": ["kind", "name", "power_kw", "flow_m3h", "system_guid", "guid"],
-    "equipment": ["kind", "name", "power_kw", "flow_m3h", "system_id", "space_id", "guid"],
+    "spaces": ["name", "number", "area_m2", "volume_m3", "height_m", "usage", "storey", "zone", "guid", "system_ids", "equipment_ids", "sources"],
+    "systems": ["kind", "name", "power_kw", "flow_m3h", "system_guid", "guid", "sources"],
+    "equipment": ["kind", "name", "power_kw", "flow_m3h", "system_id", "space_id", "guid", "sources"],
 }
 
 
 def in_arrival_order(active: DataFrame | None, batch: DataFrame, file_order: str = "file_id") -> DataFrame:
-    """Give batch rows positions after those of the active model. File ids stay below 2^31.
+    """Give batch rows dense positions after those of the active model, whatever their file ids.
 
     The offset is the largest position of the project, so it is one row per project.
     Rows of a batch come in the order of their file, then their own position.
     """
-    spread = batch.withColumn("pos", F.col(file_order) * F.lit(1 << 32) + F.col("pos"))
+    spread = dense_ranks(batch, ["project_id", file_order, "pos"], ["project_id"], "_at").withColumn("pos", F.col("_at")).drop("_at")
     if active is None:
         return spread
     top = active.groupBy("project_id").agg((F.max("pos") + 1).alias("_base"))

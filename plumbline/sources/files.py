@@ -38,32 +38,31 @@ def inventory(files: DataFrame) -> DataFrame:
 MEMBER = "archive string, member string, content binary, size bigint, error string"
 
 
-def _members(content: bytes, depth: int) -> Iterator[tuple[str, bytes]]:
-    """Members of an archive and of the archives in it; a broken member is passed over."""
+def _members(content: bytes, depth: int) -> Iterator[tuple[str, bytes | None, str | None]]:
+    """Name, data and error of the members of an archive and of the archives in it, one at a time."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        entries = archive.infolist()
-        if len(entries) > V.ARCHIVE_MAX_MEMBERS:
-            raise ValueError(f"too many members: {len(entries)}")
-        files = [e for e in entries if not e.is_dir()]
-        if sum(e.file_size for e in files) > V.MAX_FILE_BYTES:
-            raise ValueError("archive too large")
-        for entry in files:
+        for entry in archive.infolist():
+            if entry.is_dir():
+                continue
+            name = posixpath.basename(entry.filename)
             try:
                 data = archive.read(entry)
-            except Exception:
+            except Exception as e:
+                yield name, None, str(e)
                 continue
-            name = posixpath.basename(entry.filename)
             if posixpath.splitext(name)[1].lower() not in V.ARCHIVE_SUFFIXES:
-                yield name, data
-            elif depth > 1:
+                yield name, data, None
+            elif depth <= 1:
+                yield name, None, "nested too deep"
+            else:
                 try:
-                    yield from list(_members(data, depth - 1))
-                except Exception:
-                    continue
+                    yield from _members(data, depth - 1)
+                except Exception as e:
+                    yield name, None, str(e)
 
 
 def expand_archives(files: DataFrame, max_depth: int = V.ARCHIVE_MAX_DEPTH, batch_bytes: int = 16 << 20) -> DataFrame:
-    """Members of zip archives (path, content); an archive that cannot be read gives one error row.
+    """Members of zip archives (path, content); an archive or a member that cannot be read gives one error row.
 
     Members leave the worker in small batches, so it never holds all members of its archives.
     """
@@ -73,8 +72,8 @@ def expand_archives(files: DataFrame, max_depth: int = V.ARCHIVE_MAX_DEPTH, batc
         try:
             if max_depth <= 0:
                 raise ValueError("nested too deep")
-            for name, data in _members(content, max_depth):
-                yield path, name, data, len(data), None
+            for name, data, error in _members(content, max_depth):
+                yield path, name, data, None if data is None else len(data), error
         except Exception as e:
             yield path, None, None, None, str(e)
 
@@ -111,7 +110,7 @@ def archive_members(files: DataFrame) -> DataFrame:
 
 
 def archive_summary(members: DataFrame) -> DataFrame:
-    """Member count, total size and names. An archive holds a bounded number of members."""
+    """Member count, total size and names. The names of one archive are gathered, as its directory was."""
     return members.filter("error is null").groupBy("archive").agg(
         F.count(F.lit(1)).alias("file_count"), F.sum("size").alias("total_size"),
         F.sort_array(F.collect_list("member")).alias("files"))
@@ -127,7 +126,7 @@ def member_types(members: DataFrame) -> DataFrame:
         "mime": F.coalesce(F.try_element_at(F.create_map(*pairs), ext), F.lit("application/octet-stream"))})
 
 
-def image_inventory(images: DataFrame, per_sheet: int | None = 50) -> DataFrame:
+def image_inventory(images: DataFrame, per_sheet: int | None = None) -> DataFrame:
     """Format, size and preview of embedded images. images: file_id, sheet, position, content."""
     rows = images if per_sheet is None else newest(images, ["file_id", "sheet"], [F.asc("position")], per_sheet)
     preview = F.base64(F.substring("content", 1, 5000))

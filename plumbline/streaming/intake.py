@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -40,10 +39,10 @@ def append_stream(rows: DataFrame, out: str, checkpoint: str, fmt: str = "parque
 
 
 def _read_or_empty(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    try:
-        return spark.read.schema(ddl).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], ddl)
+    """The table, or no rows if nothing is there yet; any other failure is one."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(ddl).parquet(path) if there else spark.createDataFrame([], ddl)
 
 
 def merge_stream(rows: DataFrame, out: str, checkpoint: str, merge: Callable[[DataFrame], DataFrame], ddl: str) -> StreamingQuery:
@@ -107,9 +106,13 @@ def to_retry(failed: DataFrame, succeeded: DataFrame) -> DataFrame:
     return last.join(succeeded.select("file_id"), "file_id", "left_anti")
 
 
-def log_counts(entries: DataFrame, at: str, keys: list[str], window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Entries, errors and warnings per window and key; windows close once they are `late` behind."""
-    counted = entries.withWatermark(at, late).groupBy(F.window(at, window), *keys).agg(
+def log_counts(entries: DataFrame, at: str, keys: list[str], window: str = "1 minute", late: str | None = None) -> DataFrame:
+    """Entries, errors and warnings per window and key.
+
+    Every row counts, however late, so a backfill does not depend on the order of its files; read it in update mode.
+    For an endless stream, `late` closes windows that far behind, and drops the rows that come after.
+    """
+    counted = (entries if late is None else entries.withWatermark(at, late)).groupBy(F.window(at, window), *keys).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(lifecycle.is_error(F.col("message"))).alias("errors"),
         F.count_if(lifecycle.is_warning(F.col("message"))).alias("warnings"))

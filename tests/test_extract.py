@@ -41,11 +41,11 @@ def test_page_paragraphs(spark):
     long = "x" * 2500
     t = spark.createDataFrame([(1, "kurz\n\n" + "\n\n".join(["Absatz mit genug Zeichen " + str(i) for i in range(120)]) + "\n\n" + long)],
                               "file_id long, text string")
-    capped = E.requirements_from_pages(t).collect()
+    capped = E.requirements_from_pages(t, limit=100, longest=2000).collect()
     assert len(capped) == 100 and capped[0].id == "ANF_0000"
-    whole = E.requirements_from_pages(t, limit=None, longest=None).collect()
+    whole = E.requirements_from_pages(t).collect()
     assert len(whole) == 121 and max(len(r.text) for r in whole) == 2500
-    assert max(len(r.text) for r in E.requirements_from_pages(t, limit=None).collect()) == 2000
+    assert max(len(r.text) for r in E.requirements_from_pages(t, longest=2000).collect()) == 2000
 
 
 def test_page_text_skips_empty_pages(spark):
@@ -122,7 +122,8 @@ def test_raw_table_stops_after_100_empty_rows(spark):
     near = sheet(spark, "S", [["H"]]).unionByName(sheet(spark, "S", [["a"]], start=2)).unionByName(
         sheet(spark, "S", [["b"]], start=102)).unionByName(sheet(spark, "S", [["c"]], start=203))
     rows, layout = parts(near)
-    assert sorted(r.row for r in ET.raw_rows(rows, layout).collect()) == [2, 102]
+    assert sorted(r.row for r in ET.raw_rows(rows, layout).collect()) == [2, 102, 203]
+    assert sorted(r.row for r in ET.raw_rows(rows, layout, empty_stop=100).collect()) == [2, 102]
     assert [r.cell for r in ET.loose_cells_after_stop(near.withColumn("value", F.concat("value", F.lit("xx"))), rows, layout).collect()] == ["A203"]
 
 
@@ -193,7 +194,10 @@ def test_building_model(spark):
     assert [(x.system_id, x.space_id) for x in served] == [("ANL_y", "Raum_s1")]
 
 
-def test_row_limit_is_below_the_header(spark):
+def test_rows_far_below_the_header_count(spark):
     cells = spark.createDataFrame(
         [(1, "Raum", 1, 1, "Raum", "s"), (1, "Raum", V.SHEET_ROW_LIMIT + 1, 1, "drin", "s"), (1, "Raum", V.SHEET_ROW_LIMIT + 2, 1, "draussen", "s")], schema.CELL)
-    assert [r.name for r in ET.spaces_from_sheets(*parts(cells)).collect()] == ["drin"]
+    assert [r.name for r in ET.spaces_from_sheets(*parts(cells)).collect()] == ["drin", "draussen"]
+    rows, layout = parts(cells)
+    assert ET.raw_rows(rows, layout).count() == 2 and ET.raw_rows(rows, layout, row_limit=V.SHEET_ROW_LIMIT - 1).count() == 1
+    assert ET.loose_cells(cells, layout).count() == 0 and ET.loose_cells(cells, layout, row_limit=V.SHEET_ROW_LIMIT).count() == 1

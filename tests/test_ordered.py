@@ -96,6 +96,8 @@ def test_joined_text_in_parts(spark):
     d = spark.createDataFrame([("a", i, str(i)) for i in range(25)], "k string, pos long, t string").repartition(7)
     whole = O.joined_text(d, ["k"], "pos", F.col("t"), ",").collect()
     assert [(r.part, r.text) for r in whole] == [(0, ",".join(map(str, range(25))))]
+    far = d.withColumn("pos", F.col("pos") * F.lit(1 << 40))
+    assert [(r.part, r.text) for r in O.joined_text(far, ["k"], "pos", F.col("t"), ",").collect()] == [(0, whole[0].text)]
     parts = O.joined_text(d, ["k"], "pos", F.col("t"), ",", rows_per_part=10).orderBy("part").collect()
     assert [r.part for r in parts] == [0, 1, 2]
     assert ",".join(r.text for r in parts) == whole[0].text
