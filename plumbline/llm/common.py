@@ -32,39 +32,6 @@ def same(left: DataFrame, right: DataFrame, left_names: list[str], right_names:
     return out
 
 
-def dense_ranks(df: DataFrame, order: list[str], groups: list[str], rank: str, total: list[str] = ()) -> DataFrame:
-    """Gapless 0-based rank of each row within its group, in the given order, of which the groups are a prefix.
-
-    The rows are range-partitioned and sorted once and written; what a partition holds of a group is one row of
-    counts, and a running sum over those rows shifts the partition's own ranks. `total`: number columns for which
-    the sum over the rows before is returned as `before_<name>`, by the same two steps.
-    """
-    from pyspark.sql import Window
-
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = [F.col(c).asc_nulls_first() for c in order]
-    laid = df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols)
-    laid = cut_lineage(laid.withColumn("_row", F.monotonically_increasing_id()), "ranks")
-    laid = laid.withColumn("_part", F.shiftrightunsigned("_row", 33)).withColumn("_at", F.col("_row").bitwiseAND((1 << 33) - 1))
-    held = laid.groupBy("_part", *groups).agg(F.min("_at").alias("_low"), F.count("*").alias("_n"),
-                                              *[F.sum(c).alias(f"_sum_{c}") for c in total])
-    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    held = held.select("_part", *[F.col(g).alias(f"_g_{g}") for g in groups], "_low",
-                       F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"),
-                       *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_base_{c}") for c in total])
-    held = cut_lineage(held.withColumnRenamed("_part", "_p"), "held")
-    on = laid["_part"] == held["_p"]
-    for g in groups:
-        on = on & laid[g].eqNullSafe(held[f"_g_{g}"])
-    out = laid.join(held, on).withColumn(rank, F.col("_at") - F.col("_low") + F.col("_base"))
-    if total:
-        inside = Window.partitionBy("_part", *groups).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-        for c in total:
-            out = out.withColumn(f"before_{c}", F.col(f"_base_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
-    return out.select(*df.columns, rank, *[f"before_{c}" for c in total])
-
-
 class ChunkHash:
     """64-bit polynomial hashes of stretches of an array of code points, from differences of one running sum."""
 

@@ -7,7 +7,8 @@ import heapq
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import content_key, dense_ranks
+from plumbline.llm.common import content_key
+from plumbline.operators.ordered import dense_ranks
 from plumbline.session import cut_lineage
 
 #: Groups of at least 1/LARGE of a shard's mean load are scheduled one by one: at most shards * LARGE of them exist.
