@@ -16,7 +16,7 @@ from plumbline.llm.common import ChunkHash, small_batches
 SPACE, OUTSIDE, CODE_BITS = 0x2581, 0x110000, 21
 #: Log weight of a character that has no piece: far below any path of pieces, and needed only where there is none.
 FALLBACK = -30.0
-STORE = 8_000_000  # edges of lattices that a worker keeps, 100 MB
+STORE = 4_000_000  # edges of lattices that a worker keeps, 50 MB
 
 
 def default_model() -> str:
@@ -276,7 +276,7 @@ def sample_pieces(docs: DataFrame, seed: str = "pieces", sharpness: float = 1.0,
     Characters without a piece, the space mark itself among them, become byte pieces. A column named ids is replaced.
     """
     model = model or default_model()
-    small_batches(docs.sparkSession, rows=1000, megabytes=4)
+    small_batches(docs.sparkSession, rows=400, megabytes=2)
     names = [c for c in docs.columns if c not in ("text", "ids")]
     rows = docs.select(*names, F.col("text").cast("string").alias("_text"), F.xxhash64(F.lit(seed), "doc_id").alias("_seed"))
     schema = docs.select(*names).withColumn("ids", F.lit(None).cast("array<int>")).schema
@@ -296,7 +296,7 @@ def sample_pieces(docs: DataFrame, seed: str = "pieces", sharpness: float = 1.0,
 def decode_pieces(coded: DataFrame, model: str | None = None, sharpness: float = 1.0) -> DataFrame:
     """`coded` with text in place of ids, and ids_crc32 (unsigned, little-endian 32-bit ids); null ids have null text."""
     model = model or default_model()
-    small_batches(coded.sparkSession, rows=1000, megabytes=4)
+    small_batches(coded.sparkSession, rows=400, megabytes=2)
     names = [c for c in coded.columns if c not in ("ids", "text", "ids_crc32")]
     schema = coded.select(*names, "ids").withColumn("text", F.lit(None).cast("string")).withColumn("ids_crc32", F.lit(None).cast("long")).drop("ids").schema
 
