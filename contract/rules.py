@@ -15,6 +15,10 @@ def _issues(df):
                      F.concat_ws("|", "source_files").alias("files"))
 
 
+def _issues_with_text(df):
+    return df.select(*ISSUE_COLS[:4], F.col("pos").cast("long").alias("pos"), F.concat_ws("|", "source_files").alias("files"), "text", "advice")
+
+
 def _first_sql(rows: str, key: str, field: str, rule: str) -> str:
     return f"""SELECT s.project_id, '{rule}' AS rule_id, 'kritisch' AS severity, s.id AS entity_id, s.pos,
       CASE WHEN f.ff = s.file THEN s.file ELSE f.ff || '|' || s.file END AS files
@@ -64,7 +68,11 @@ def equipment_reference_check(spark, sf):
 
 
 def _dangling_sql(rows, field, targets, rule, file):
-    return f"""SELECT l.project_id, '{rule}' AS rule_id, 'kritisch' AS severity, l.id AS entity_id, l.pos, {file} AS files
+    noun = {"spaces": "Raum", "systems": "Anlage"}[rows]
+    missing, target = {"spaces": ("existierenden", "Raum"), "equipment": ("existierendes", "Gerät"), "systems": ("existierende", "Anlage")}[targets]
+    return f"""SELECT l.project_id, '{rule}' AS rule_id, 'kritisch' AS severity, l.id AS entity_id, l.pos, {file} AS files,
+      concat('{noun} ', coalesce(l.id, 'None'), ' referenziert nicht {missing} {target} ', coalesce(l.ref, 'None')) AS text,
+      concat('Bitte {target} ', coalesce(l.ref, 'None'), ' prüfen oder {noun} korrigieren') AS advice
     FROM (SELECT *, unnest({field}) AS ref FROM {rows}) l
     WHERE NOT EXISTS (SELECT 1 FROM {targets} t WHERE t.project_id = l.project_id AND t.id IS NOT DISTINCT FROM l.ref)"""
 
@@ -77,7 +85,7 @@ def _dangling_sql(rows, field, targets, rule, file):
 def list_reference_check(spark, sf):
     spaces, systems = S.spaces(spark, sf), S.systems(spark, sf)
     equipment = spaces.filter("pos % 5 <> 0").select("project_id", F.concat(F.lit("G"), F.col("pos").cast("string")).alias("id"))
-    return _issues(
+    return _issues_with_text(
         V.dangling(systems, "space_ids", spaces, "V08", "Anlage ", "Raum ")
         .unionByName(V.dangling(systems, "equipment_ids", equipment, "V09", "Anlage ", "Gerät "))
         .unionByName(V.dangling(spaces, "system_ids", systems, "V10", "Raum ", "Anlage "))

@@ -118,15 +118,19 @@ def equipment_references(equipment: DataFrame, systems: DataFrame, spaces: DataF
     ])
 
 
+#: Fixed wording of a missing target.
+MISSING = {"Raum ": "existierenden", "Gerät ": "existierendes", "Anlage ": "existierende"}
+
+
 def dangling(rows: DataFrame, field: str, targets: DataFrame, rule: str, noun: str, target_noun: str) -> DataFrame:
     """List references without a target, one issue per element; no id equals no id."""
     refs = rows.select("project_id", "pos", "id", "sources", F.explode(field).alias("_ref"))
-    known = targets.select("project_id", F.col("id").alias("_ref")).distinct()
+    known = targets.select("project_id", F.col("id").alias("_ref"))
     lost = refs.alias("l").join(known.alias("r"), (
         F.col("l.project_id").eqNullSafe(F.col("r.project_id"))) & F.col("l._ref").eqNullSafe(F.col("r._ref")), "left_anti")
     return _fired(lost, [(F.lit(True), issue(
         rule, REFERENCES, "Referenzfehler", "kritisch",
-        _txt(noun, F.col("id"), " referenziert nicht existierende Angabe ", target_noun, F.col("_ref")),
+        _txt(noun, F.col("id"), f" referenziert nicht {MISSING[target_noun]} {target_noun}", F.col("_ref")),
         _txt("Bitte ", target_noun, F.col("_ref"), " prüfen oder ", noun, "korrigieren"), _files(), F.col("id")))])
 
 
