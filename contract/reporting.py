@@ -14,10 +14,10 @@ PHASES = """ph(phase_no, phase, days, off, text) AS (VALUES (1, 'SIA 103 - Proje
 
 def _verdicts(spark, sf):
     """Negative quantities of the project's equipment count as its critical errors here."""
-    return S.equipment(spark, sf, 25).filter("project_id % 2 = 0 and power_kw < 0").groupBy("project_id").agg(F.count(F.lit(1)).alias("fehler"))
+    return S.equipment(spark, sf, 25).filter("power_kw < 0").groupBy("project_id").agg(F.count(F.lit(1)).alias("fehler"))
 
 
-RISKS = f"""{SIZE}, bad AS (SELECT project_id, count(*) AS n FROM equipment WHERE project_id % 2 = 0 AND power_kw < 0 GROUP BY 1),
+RISKS = f"""{SIZE}, bad AS (SELECT project_id, count(*) AS n FROM equipment WHERE power_kw < 0 GROUP BY 1),
   s AS (SELECT size.*, coalesce(bad.n, 0) AS fehler FROM size LEFT JOIN bad USING (project_id)),
   risks AS (SELECT project_id, 1 AS risk_no, 'Datenqualität' AS category, spaces_without_area || ' Räume ohne Flächenangabe' AS text, 'hoch' AS likelihood, 'mittel' AS impact,
       'Fehlende Flächenangaben ergänzen' AS action, 'HOCH' AS level FROM s WHERE spaces_without_area > 0 UNION ALL

@@ -44,6 +44,12 @@ def contained(
     scope = list(scope)
     n = needles.select(*scope, needle_id, F.col(needle).alias("_needle")).filter(F.length("_needle") > 0)
     t = texts.select(*scope, text_id, F.col(text).alias("_text"))
+    # a needle longer than every text lies in none
+    longest = t.groupBy(*scope).agg(F.max(F.length("_text")).alias("_longest"))
+    if scope:
+        n = n.join(longest, scope).filter(F.length("_needle") <= F.col("_longest")).drop("_longest")
+    else:
+        n = n.filter(F.length("_needle") <= longest.scalar())
     index = t.select(*scope, text_id, F.explode(F.array_distinct(_words(F.col("_text")))).alias("_word"))
     common = index.groupBy(*scope, "_word").agg(F.count(F.lit(1)).alias("_df"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.predicates import has_text
 from plumbline.operators.ordered import dense_ranks
 from plumbline.operators.similarity import greedy_leaders, name_blocks, name_size_ratio, ratio_above
+from plumbline.session import cut_lineage
 
 PROJECT = ["project_id"]
 
@@ -38,10 +39,35 @@ def _text_blocks(rows: DataFrame, name: str, threshold: float, within: str | Non
         rows.select(*scope, name, "pos"), [*scope, name]).select("project_id", "pos", "size", "token")
 
 
+def _without_lone(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Ids and guids that occur once in their project match nothing, so named rows go without them.
+
+    Rows that differ in lone keys only then count as one. A row without a name keeps its
+    id, since its equals would match it by nothing else.
+    """
+    for key in ("id", "guid", "system_guid"):
+        if key in keys:
+            shared = rows.groupBy("project_id", key).agg(F.count(F.lit(1)).alias("_n")).filter(
+                (F.col("_n") > 1) & F.col(key).isNotNull()).select("project_id", key, F.lit(True).alias("_shared"))
+            lone = has_text("name") & F.col("project_id").isNotNull() & F.col(key).isNotNull() & F.col("_shared").isNull()
+            rows = rows.join(shared, ["project_id", key], "left")
+            if key == "id":
+                rows = rows.withColumn("lone", lone)
+            rows = rows.withColumn(key, F.when(~lone, F.col(key))).drop("_shared")
+    return cut_lineage(rows)
+
+
 def _clusters(rows: DataFrame, keys: Sequence[str], make_blocks, matches, threshold: float) -> DataFrame:
     """(project_id, pos, leader). Rows with equal keys count once: the first stands for all."""
+    keys = list(keys)
+    if "id" in keys:
+        rows, keys = _without_lone(rows, keys), [*keys, "lone"]
     distinct = rows.groupBy("project_id", *keys).agg(F.min("pos").alias("pos"))
-    led = greedy_leaders(distinct, make_blocks(distinct), PROJECT, "pos", keys, matches, name_size_ratio(threshold))
+    items = distinct
+    if "id" in keys:
+        # a lone id is no missing id, and missing ids equal each other
+        items = distinct.withColumn("id", F.when(F.col("lone"), F.concat(F.lit("\1"), F.col("pos").cast("string"))).otherwise(F.col("id")))
+    led = greedy_leaders(items, make_blocks(items), PROJECT, "pos", keys, matches, name_size_ratio(threshold))
     cond = [F.col("a.project_id").eqNullSafe(F.col("b.project_id"))] + [
         F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     named = distinct.join(led, ["project_id", "pos"]).drop("pos")

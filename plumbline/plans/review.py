@@ -184,8 +184,11 @@ def first_passage(quotes: DataFrame, passages: DataFrame, scope: list[str]) -> D
 
     quotes: scope, quote_id, quote. passages: scope, pos, content. Case is folded.
     """
-    q = quotes.select(*scope, "quote_id", F.lower("quote").alias("quote"))
-    p = passages.select(*scope, "pos", F.lower("content").alias("content"))
+    asked = quotes.select(*scope, F.col("quote_id").alias("_asked"), F.lower("quote").alias("quote"))
+    # equal quotes share their answer, and of equal passages only the first can be one
+    q = asked.groupBy(*scope, "quote").agg(F.min("_asked").alias("quote_id"))
+    p = passages.groupBy(*scope, F.lower("content").alias("content")).agg(F.min("pos").alias("pos"))
+    q, p = cut_lineage(q, "quotes"), cut_lineage(p, "passages")
     inside = contained(q, p, scope, "quote", "quote_id", "content", "pos")
     around = contained(p, q, scope, "content", "pos", "quote", "quote_id")
     # an empty quote lies in every passage, an empty passage in every quote
@@ -197,8 +200,10 @@ def first_passage(quotes: DataFrame, passages: DataFrame, scope: list[str]) -> D
         edge = q.withColumn("_first", first.select("_first").scalar()).withColumn("_blank", first.select("_blank").scalar())
     edge = edge.select(*scope, "quote_id", F.when(F.col("quote") == "", F.col("_first")).otherwise(F.col("_blank")).alias("pos")
                        ).filter("pos is not null")
-    return inside.select(*scope, "quote_id", "pos").unionByName(around.select(*scope, "quote_id", "pos")).unionByName(
+    found = inside.select(*scope, "quote_id", "pos").unionByName(around.select(*scope, "quote_id", "pos")).unionByName(
         edge).groupBy(*scope, "quote_id").agg(F.min("pos").alias("pos"))
+    answers = found.join(q, [*scope, "quote_id"]).select(*scope, "quote", "pos")
+    return asked.join(answers, [*scope, "quote"]).select(*scope, F.col("_asked").alias("quote_id"), "pos")
 
 
 def after_marker(rows: DataFrame, chars: int = V.MARKER_WINDOW_CHARS, width: int = 4096) -> DataFrame:
