@@ -277,9 +277,12 @@ def map_overlay(spark, sf):
 
 
 @query("""SELECT doc_id AS project_id, NULL::BIGINT AS entry, text AS content FROM documents WHERE trim(text) <> '' UNION ALL
+  SELECT item_id, NULL, text FROM benchmark UNION ALL
   SELECT conv_id, i - 1, l[i] FROM (SELECT conv_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM conversations) WHERE trim(l[i]) <> ''""")
 def full_text_append(spark, sf):
+    """Benchmark items are the known passages, documents the new texts, turns the new lists."""
     texts = S.read(spark, sf, "documents").select(F.col("doc_id").alias("project_id"), F.col("text").alias("content"))
     lists = S.read(spark, sf, "conversations").select(F.col("conv_id").alias("project_id"), F.split("text", "\n").alias("contents"))
-    known = texts.limit(0).withColumn("entry", F.lit(None).cast("int"))
+    known = S.read(spark, sf, "benchmark").select(
+        F.col("item_id").alias("project_id"), F.col("text").alias("content"), F.lit(None).cast("int").alias("entry"))
     return M.append_passages(known, texts, lists).select("project_id", F.col("entry").cast("long").alias("entry"), "content")

@@ -82,3 +82,13 @@ def test_files_maps_and_texts(spark):
     lists = spark.createDataFrame([(1, ["x", "", "y"])], "project_id long, contents array<string>")
     none = spark.createDataFrame([], "project_id long, entry int, content string")
     assert sorted(r.content for r in M.append_passages(none, texts, lists).collect()) == ["a", "x", "y"]
+
+
+def test_lone_ids_collapse_without_merging_unnamed_rows(spark):
+    """Ids of their own neither match nor stop equal names; rows without a name keep to their id; null ids are equal."""
+    rows = [(1, 0, "a", "Fan", "x"), (1, 1, "b", "fan", "x"), (1, 2, "c", "", ""), (1, 3, "d", "", ""),
+            (1, 4, None, "Pump", "y"), (1, 5, None, "Boiler", "z"), (1, 6, "e", "Valve", "w"), (2, 7, "a", "Fan", "x"),
+            (1, 8, "e", "Damper", "v")]
+    e = spark.createDataFrame(rows, "project_id long, pos long, id string, name string, kind string").withColumn("guid", F.lit(None).cast("string"))
+    got = {r.pos: r.leader for r in M.equipment_clusters(e).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7, 8: 6}
