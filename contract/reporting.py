@@ -100,15 +100,15 @@ def question_list_by_category(spark, sf):
     return R.question_list(q, ["project_id"])
 
 
-@query("""SELECT doc_id, '[' || coalesce((CASE WHEN doc_id % 5 <> 0 THEN doc_id END)::VARCHAR, '?') || '] ' || source AS heading, upper(lang) AS rating_label,
-  CASE WHEN trim(split_part(text, chr(10), 1)) = '' THEN '' WHEN doc_id % 3 = 0 AND doc_id % 4 = 0 THEN '' ELSE ' (Quelle: ' || concat_ws(', ',
+@query("""SELECT doc_id, '[' || coalesce((CASE WHEN doc_id % 5 <> 0 THEN doc_id END)::VARCHAR, '?') || '] ' || source AS heading, upper(lang) AS rating_label, trim(text) AS quote,
+  CASE WHEN coalesce(trim(text), '') = '' THEN '' WHEN doc_id % 3 = 0 AND doc_id % 4 = 0 THEN '' ELSE ' (Quelle: ' || concat_ws(', ',
     CASE WHEN doc_id % 3 <> 0 THEN source END, CASE WHEN doc_id % 4 <> 0 THEN 'Absatz ' || doc_id END) || ')' END AS citation FROM documents""")
 def finding_list(spark, sf):
     k = F.col("doc_id")
     f = S.read(spark, sf, "documents").select(
-        "doc_id", F.when(k % 5 != 0, k).alias("number"), F.col("source").alias("title"), F.trim(F.split_part("text", F.lit("\n"), F.lit(1))).alias("quote"),
+        "doc_id", F.when(k % 5 != 0, k).alias("number"), F.col("source").alias("title"), F.trim("text").alias("quote"),
         F.col("lang").alias("rating"), F.when(k % 3 != 0, F.col("source")).otherwise("").alias("source_file"), F.when(k % 4 != 0, k).alias("source_para"))
-    return R.finding_list(f).select("doc_id", "heading", "rating_label", "citation")
+    return R.finding_list(f).select("doc_id", "heading", "rating_label", "quote", "citation")
 
 
 @query("""WITH v AS (SELECT o_custkey AS project_id, CASE WHEN o_orderstatus = 'F' THEN 'risiko' ELSE 'timeline' END AS report, count(*) AS version FROM orders GROUP BY ALL)
