@@ -237,7 +237,9 @@ def attribute(findings: DataFrame, rows: DataFrame) -> DataFrame:
     q = cut_lineage(open_rows.select("project_id", F.col("pos").alias("quote_id"), F.coalesce("quote", F.lit("")).alias("quote")))
     one = cut_lineage(first_passage(q, rows, ["project_id"]).select("project_id", "quote_id", F.col("pos").alias("_at")))
     rest = q.join(one, ["project_id", "quote_id"], "left_anti").select("project_id", "quote_id", F.lower("quote").alias("quote"))
-    windows = after_marker(rows).select("project_id", "pos", F.lower("window").alias("window"))
+    # only projects that still have an open quote need their windows
+    asking = rows.join(rest.select("project_id").distinct(), "project_id", "left_semi")
+    windows = after_marker(asking).select("project_id", "pos", F.lower("window").alias("window"))
     two = contained(rest, windows, ["project_id"], "quote", "quote_id", "window", "pos").groupBy(
         "project_id", "quote_id").agg(F.min("pos").alias("_at"))
     at = one.unionByName(two).join(
