@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +18,23 @@ ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 def fingerprint(raw: bytes, width: int = 3, seed: int = 42) -> int:
     """Majority of the bits of the XXH64 of all shingles of `width` words, repeats included; 0 without words."""
+    hashes = shingle_hashes(raw, width, seed)
+    return majority(hashes) if len(hashes) else 0
+
+
+def shingle_hashes(raw: bytes, width: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle of `width` words in order, repeats included; a shorter text is one shingle."""
     words = raw.lower().split()
-    if not words:
-        return 0
     if len(words) <= width:
-        shingles = [b" ".join(words)]
+        shingles = [b" ".join(words)] if words else []
     else:
         shingles = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, seed) for s in shingles), np.uint64, max(1, len(words) - width + 1))
+    return np.fromiter((digest(s, seed) for s in shingles), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
@@ -86,13 +94,19 @@ class GrayIndex:
         self.n_roots = len(bucket)
 
     def components(self, radius: int, room: int = 400_000) -> np.ndarray:
-        """Smallest position linked to each position over pairs at most `radius` bits apart.
-
-        Walks pairs of nodes from the roots down, in portions of `room` pairs. A pair of nodes whose members are
-        all linked already is left too, so a dense group costs little more than its spanning tree.
-        """
+        """Smallest position linked to each position over pairs at most `radius` bits apart."""
         n = len(self.fps)
         root = np.arange(n)
+        for a, b in self.near_pairs(radius, lambda: root, room):
+            root = roots(a, b, n, root)
+        return root
+
+    def near_pairs(self, radius: int, root: Callable[[], np.ndarray], room: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions of pairs at most `radius` bits apart, but for pairs of nodes whose members all have one root.
+
+        Walks pairs of nodes from the roots down, in portions of `room` pairs. `root` is asked anew for each portion:
+        where it links what was returned, a dense group costs little more than its spanning tree.
+        """
         top = len(self.levels) - 1
         stack = [(top, np.arange(self.n_roots), np.arange(self.n_roots), np.zeros(self.n_roots, np.int64), np.zeros(self.n_roots, np.uint64))]
         while stack:
@@ -107,12 +121,12 @@ class GrayIndex:
             apart = apart + np.bitwise_count((here["pattern"][a] ^ here["pattern"][b]) & both & ~counted)
             near = apart <= radius
             if level:
-                near &= self._open(level, root, a, b)
+                near &= self._open(level, root(), a, b)
             a, b, apart, counted = a[near], b[near], apart[near], both[near]
             if not len(a):
                 continue
             if level == 0:
-                root = roots(a, b, n, root)
+                yield a, b
                 continue
             below = self.levels[level - 1]
             first, last = below["child_start"], below["child_end"]
@@ -123,7 +137,6 @@ class GrayIndex:
             x, y = first[a][which] + at // nb[which], first[b][which] + at % nb[which]
             ordered = x <= y if level > 1 else x < y
             stack.append((level - 1, x[ordered], y[ordered], apart[which][ordered], counted[which][ordered]))
-        return root
 
     def _open(self, level: int, root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Pairs of nodes with members that are not linked yet."""
@@ -236,3 +249,178 @@ def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     keyed = docs.withColumn("_d_text", F.xxhash64("text"))
     kept = keyed.join(heads, same(keyed, heads, ["doc_id", "_d_text"], ["_d_doc", "_d_key"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "_d_text"]).drop("_d_text")
+
+
+# --- near copies by the exact similarity of their shingles ----------------------------------------
+
+SAMPLE = 5000  # rows that show which shingles are common; only the order of shingles depends on it, no result
+MOST_COMMON = 100_000
+
+
+def shingle_set(raw: bytes, width: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, sorted; one zero for a text without words, so such texts are alike."""
+    return np.unique(shingle_hashes(raw, width)) if raw and raw.strip() else np.zeros(1, np.uint64)
+
+
+def _keyed_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.xxhash64("text").alias("key"), F.encode(F.col("text").cast("string"), "UTF-8").alias("raw"))
+
+
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the shingles that several of about SAMPLE rows hold."""
+    every = max(1, docs.count() // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x or b"", width) for x in batch.column("raw").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], ["token"])
+
+    sample = _keyed_texts(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0)).mapInArrow(run, "token long")
+    found = sample.groupBy("token").count().where("count > 2").orderBy(F.desc("count"), "token").limit(MOST_COMMON).toPandas()
+    tokens, counts = found["token"].to_numpy(np.int64).view(np.uint64), found["count"].to_numpy(np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], counts[order]
+
+
+def shared_prefixes(docs: DataFrame, width: int, least: float) -> DataFrame:
+    """token, key: the texts (their hashes) that hold one of their rarest shingles in common with another text.
+
+    Two sets of shingles with a Jaccard of `least` share one of the first n - ceil(least * n) + 1 of either, in any
+    order that holds for all; common shingles come last, so few texts meet in one. Nothing is lost by it.
+    """
+    small_batches(docs.sparkSession)
+    common, times = common_shingles(docs, width)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # copies in one task count once
+        for batch in batches:
+            keys, tokens = [], []
+            for key, raw in zip(batch.column("key").to_pylist(), batch.column("raw").to_pylist(), strict=True):
+                if key in seen:
+                    continue
+                seen.add(key)
+                hashes = shingle_set(raw or b"", width)
+                keep = len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+                    hashes = hashes[np.lexsort((hashes, np.where(common[at] == hashes, times[at], 0)))]
+                tokens.append(hashes[:keep].view(np.int64))
+                keys.append(np.full(min(keep, len(hashes)), key, np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(keys))], ["token", "key"])
+
+    def met(held: dict[str, np.ndarray]) -> pa.RecordBatch:
+        token, key = held["token"], held["key"]
+        new = np.r_[True, (token[1:] != token[:-1]) | (key[1:] != key[:-1])]
+        token, key = token[new], key[new]
+        group = np.cumsum(np.r_[True, token[1:] != token[:-1]])
+        several = np.bincount(group)[group] > 1
+        return pa.RecordBatch.from_arrays([pa.array(token[several]), pa.array(key[several])], ["token", "key"])
+
+    dealt = _keyed_texts(docs).mapInArrow(prefixes, "token long, key long")
+    return by_token(dealt, ["key"]).mapInArrow(lambda batches: map(met, token_portions(batches)), "token long, key long")
+
+
+def by_token(rows: DataFrame, order: list[str]) -> DataFrame:
+    small_batches(rows.sparkSession, rows=50_000)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "token").sortWithinPartitions("token", *order)
+
+
+def token_portions(batches: Iterator[pa.RecordBatch], room: int = 200_000) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of about `room` rows each time, sorted by token; a token's rows stay together."""
+    held: dict[str, np.ndarray] = {}
+    for batch in batches:
+        new = {name: batch.column(name).to_numpy() for name in batch.schema.names}
+        held = {name: np.concatenate([held[name], x]) for name, x in new.items()} if held else new
+        token = held["token"]
+        if len(token) >= room and token[0] != token[-1]:
+            end = int(np.searchsorted(token, token[-1]))
+            yield {name: x[:end] for name, x in held.items()}
+            held = {name: x[end:] for name, x in held.items()}
+    if held and len(held["token"]):
+        yield held
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """u, v: the pairs of texts whose sets of shingles have a Jaccard of `least` or more."""
+    left, right = (texts.select(F.col("key").alias(f"{c}k"), F.col("raw").alias(f"{c}r"), F.col("n").alias(f"{c}n")) for c in "uv")
+    both = pairs.join(left, F.col("u") == F.col("uk")).join(right, F.col("v") == F.col("vk")).where(
+        F.least("un", "vn") >= least * F.greatest("un", "vn") - 1e-9).select("u", "v", "ur", "vr")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for a, b in zip(batch.column("ur").to_pylist(), batch.column("vr").to_pylist(), strict=True):
+                x, y = shingle_set(a or b"", width), shingle_set(b or b"", width)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
+            yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
+
+    return both.mapInArrow(run, "u long, v long")
+
+
+def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 28) -> DataFrame:
+    """doc_id, text_key, root for every row of `docs`: rows with one root are linked by pairs of similar texts.
+
+    Texts are similar if the Jaccard of their sets of shingles is `least` or more; it is computed for every link.
+    Texts meet in buckets of shared rare shingles. First each meets one text of its bucket; what is then
+    not linked meets through the Gray index over the bucket, by fingerprints of the sets at most `radius` bits apart: a
+    pair of Jaccard 0.8 is about 10 bits apart, with a deviation of 3.
+    """
+    shared = cut_lineage(shared_prefixes(docs, width, least), "shared")
+    members = shared.select(F.col("key").alias("m")).distinct()
+    small_batches(docs.sparkSession)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            new = []
+            for key in batch.column("key").to_pylist():
+                new.append(key not in seen)
+                seen.add(key)
+            batch = batch.filter(pa.array(new, pa.bool_()))
+            raws = [x or b"" for x in batch.column("raw").to_pylist()]
+            sets = [shingle_set(x, width) for x in raws]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(raws, pa.binary()), pa.array([majority(x) for x in sets], pa.uint64()).view(pa.int64()),
+                                              pa.array([len(x) for x in sets], pa.int64())], ["key", "raw", "fp", "n"])
+
+    texts = _keyed_texts(docs)
+    texts = texts.join(members, texts["key"] == members["m"], "left_semi").mapInArrow(measure, "key long, raw binary, fp long, n long")
+    texts = cut_lineage(texts.dropDuplicates(["key"]), "texts")
+    hubs = shared.groupBy("token").agg(F.min("key").alias("u")).withColumnRenamed("token", "t")
+    stars = shared.join(hubs, shared["token"] == hubs["t"]).where("key <> u").select("u", F.col("key").alias("v")).distinct()
+    linked = cut_lineage(similar_pairs(cut_lineage(stars, "stars"), texts, width, least), "linked")
+    labels = cut_lineage(connected_components(linked), "labels")
+
+    keyed = shared.join(texts.select(F.col("key").alias("k"), "fp", "n"), F.col("key") == F.col("k")).join(labels, F.col("key") == F.col("node"), "left")
+    keyed = keyed.select("token", "key", "fp", "n", F.coalesce("root", "key").alias("label"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in token_portions(batches):
+            index = GrayIndex(np.cumsum(np.r_[True, held["token"][1:] != held["token"][:-1]]), held["fp"].view(np.uint64))
+            key, n, label = (held[c][index.order] for c in ("key", "n", "label"))
+            for a, b in index.near_pairs(radius, lambda: label):  # noqa: B023
+                open_pairs = (label[a] != label[b]) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9)
+                a, b = key[a[open_pairs]], key[b[open_pairs]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
+
+    more = cut_lineage(by_token(keyed, ["key"]).mapInArrow(meet, "u long, v long").distinct(), "more")
+    small_batches(docs.sparkSession)
+    edges = linked.unionByName(similar_pairs(more, texts, width, least))
+    groups = cut_lineage(connected_components(edges), "groups")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
+    return rows.join(groups, F.col("text_key") == F.col("node"), "left").select("doc_id", "text_key", F.coalesce("root", "text_key").alias("root"))
+
+
+def one_of_similar(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` with the smallest doc_id of their group of similar texts, one row for each group; all columns stay.
+
+    Of repeated rows with that doc_id, and of groups without any doc_id, the row with the smallest text hash stays.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_key")).alias("first")
+    heads = similar_groups(docs, **options).groupBy("root").agg(first).select(F.col("first.doc_id").alias("_d_doc"), F.col("first.text_key").alias("_d_key"))
+    heads = cut_lineage(heads, "heads")
+    keyed = docs.withColumn("_d_text", F.xxhash64("text"))
+    kept = keyed.join(heads, same(keyed, heads, ["doc_id", "_d_text"], ["_d_doc", "_d_key"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_d_text"]).drop("_d_text")

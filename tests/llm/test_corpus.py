@@ -162,6 +162,35 @@ def test_gray_index_against_all_pairs():
     assert all(any(d & m == 0 for m in masks) for d in (index.fps[:, None] ^ index.fps[None, :])[close])
 
 
+def test_near_copies_of_the_pipeline_against_all_pairs(spark):
+    import corpus_pipeline
+
+    r = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, i = [], 0
+    for _ in range(40):
+        base = list(r.choice(vocabulary, 150))
+        for edits in (0, 0, 1, 2, 3, 4, 5, 8):  # similarity from 1 down to about 0.6
+            text = list(base)
+            for k in r.choice(150, edits, replace=False):
+                text[k] = "new" + str(r.integers(10**6))
+            rows.append((i := i + 1, " ".join(text), "en", "a"))
+    rows += [(900, "", "en", "a"), (901, None, "en", "a"), (902, "a b", "en", "a"), (903, "A  b", "en", "a"), (None, rows[0][1], "en", "a")]
+    order = r.permutation(len(rows))
+    docs = spark.createDataFrame([rows[k] for k in order], "doc_id long, text string, lang string, source string")
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for _, t, *_ in rows]
+    alike = np.array([[len(x & y) >= 0.8 * len(x | y) for y in sets] for x in sets])
+    assert 40 * 7 < alike.sum() < 40 * 64
+    root = common.roots(*np.nonzero(alike), len(rows))
+    got = sorted(x.doc_id for x in corpus_pipeline.simhash_dedup(spark, docs, SF).collect())
+    assert got == sorted(min(rows[k][0] for k in np.flatnonzero(root == g) if rows[k][0] is not None) for g in set(root))
+
+
 def test_shards(spark, odd, none):
     got = sharding.longest_first_shards(odd, shards=3).collect()
     text = lambda r: (r.text or "").encode()
