@@ -16,7 +16,6 @@ from plumbline.session import cut_lineage
 
 MOST_LABELLED = 20_000  # labelled rows that word lists are mined from, those with the smallest hashes
 MOST_TRAINED = 50_000  # rows with posterior labels that the classifier is fitted on, those with the smallest hashes
-MOST_UNITS = 4000  # mined words and beginnings that the classifier knows
 PREFIXES = (4, 5, 6)
 LISTS = 8  # voters over mined words, and as many over mined beginnings
 
@@ -62,11 +61,17 @@ class Voters:
 
 
 def mine_units(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, float, int]], float]:
-    """Words and beginnings that mark toxic rows, with log odds and evidence, and the share of toxic rows."""
+    """Words and beginnings that mark toxic texts, with log odds and evidence, and the share of toxic rows.
+
+    Evidence counts texts: copies of a text are one, toxic if a row of it is.
+    """
     sample = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("_l_doc")).agg(F.max("toxic").alias("_toxic"))
     sample = cut_lineage(sample.orderBy(F.xxhash64("_l_doc"), "_l_doc").limit(MOST_LABELLED), "labelled")
     share = sample.agg(F.avg("_toxic").alias("p")).first()["p"] or 0.0
-    rows = docs.join(F.broadcast(sample), docs["doc_id"] == sample["_l_doc"]).select("text", F.col("_toxic").cast("int").alias("_toxic"))
+    rows = docs.join(F.broadcast(sample), docs["doc_id"] == sample["_l_doc"])
+    texts = rows.groupBy(F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).agg(F.first("text").alias("text"), F.max(F.col("_toxic").cast("int")).alias("_toxic"))
+    texts = cut_lineage(texts.select("text", "_toxic"), "labelled-texts")
+    of_texts = texts.agg(F.avg("_toxic").alias("p")).first()["p"] or 0.0
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,16 +84,14 @@ def mine_units(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, floa
             yield pa.RecordBatch.from_arrays([pa.array(list(all_rows), pa.string()), pa.array([toxic[u] for u in all_rows], pa.int64()),
                                               pa.array(list(all_rows.values()), pa.int64())], ["unit", "n_toxic", "n"])
 
-    units = rows.mapInArrow(count, "unit string, n_toxic long, n long").groupBy("unit").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n").alias("n"))
-    odds = F.log((F.col("n_toxic") + 0.5) / (F.col("n") - F.col("n_toxic") + 0.5)) - float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    # nats by which the unit's toxic share beats the share of all rows: chance reaches 9 once in thousands of units
-    p, base = F.col("n_toxic") / F.col("n"), min(max(share, 1e-6), 1 - 1e-6)
+    units = texts.mapInArrow(count, "unit string, n_toxic long, n long").groupBy("unit").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n").alias("n"))
+    odds = F.log((F.col("n_toxic") + 0.5) / (F.col("n") - F.col("n_toxic") + 0.5)) - float(np.log((of_texts + 1e-6) / (1 - of_texts + 1e-6)))
+    # nats by which the unit's toxic share beats the share of all texts: chance reaches 9 once in thousands of units
+    p, base = F.col("n_toxic") / F.col("n"), min(max(of_texts, 1e-6), 1 - 1e-6)
     clean = F.when(p < 1, (F.col("n") - F.col("n_toxic")) * F.log((1 - p) / (1 - base))).otherwise(0.0)
     proof = F.col("n_toxic") * F.log(p / base) + clean
     best = units.where("n_toxic >= 3").withColumn("odds", odds).withColumn("proof", proof).where("odds > 3 and proof > 9")
-    best = best.orderBy(F.desc("proof"), "unit").limit(MOST_UNITS).collect()
-    # words of a text that has toxic copies are many and weakly proven next to words that mark toxic texts at large
-    best = [r for r in best if r["proof"] > 0.06 * best[0]["proof"]]
+    best = best.orderBy(F.desc("proof"), "unit").collect()
     return [(r["unit"], r["odds"], r["proof"]) for r in best], float(share)
 
 

@@ -225,6 +225,23 @@ def test_toxicity_is_learned_from_the_training_fold(spark, none):
     assert toxicity.toxicity_scores(none, labels.limit(0)).count() == 0
 
 
+def test_proven_units_outlast_hot_texts_and_a_dominant_language(spark):
+    r = np.random.default_rng(6)
+    mark = {"en": [f"vile{c}" for c in "abcdef"], "fr": ["affreuse", "horrible", "vilaine"]}
+    rows = []
+    for lang, n in (("en", 4000), ("fr", 400)):
+        for k in range(n):
+            toxic = k % 10 == 0
+            rows.append((len(rows), " ".join([*(lang + w for w in r.choice(WORDS, 20)), *(r.choice(mark[lang], 2, replace=False) if toxic else [])]), int(toxic)))
+    hot = "hot copies of one toxic text " + " ".join(f"rare{c}" for c in "abcdefgh")
+    rows += [(len(rows) + k, hot, 1) for k in range(1500)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    mined, share = toxicity.mine_units(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    units = {u for u, *_ in mined}
+    assert {*mark["en"], *mark["fr"]} <= units and not any(u.startswith("rare") for u in units)
+    assert abs(share - (440 + 1500) / 5900) < 1e-9
+
+
 def test_label_model_finds_accuracies():
     r = np.random.default_rng(0)
     y = r.random(50_000) < 0.2
