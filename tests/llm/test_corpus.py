@@ -96,6 +96,17 @@ def test_vectors_against_all_pairs(spark):
     assert vectors.near_duplicate_vectors(table.limit(0)).count() == 0
 
 
+def test_vectors_near_few_dimensions_lose_no_links(spark):
+    r = np.random.default_rng(5)
+    x = (r.normal(size=(1200, 4)) @ r.normal(size=(4, 256)) + 0.01 * r.normal(size=(1200, 256))).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {g.vec_id: (g.n_links, g.component_id) for g in vectors.near_duplicate_vectors(table, cells=128).collect()}
+    root = common.roots(*np.nonzero(linked), len(x))
+    assert got == {i: (int(linked[i].sum()), int(root[i])) for i in range(len(x))}
+
+
 def test_pieces_round_trip_and_distribution(spark, odd, none):
     docs = odd.withColumn("before", F.col("text"))
     coded = pieces.sample_pieces(docs)
