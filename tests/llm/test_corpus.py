@@ -336,6 +336,26 @@ def test_main_text(spark):
     assert got == want and pages.extract_main_text(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("wrapper", ["div class='content has-sidebar'", "div class='layout no-sidebar'", "body class='single comments-open'", "div class=form-page",
+                                     "div class=share-wrap", "div id=related-layout", "div class=ad-free", "div style='overflow:hidden'", "div data-state='hidden'",
+                                     "div data-id='nav'", "section class='widget search'", "div title=\"a 'hidden' b\""])
+def test_names_of_wrappers_cut_nothing(wrapper):
+    tag = wrapper.split()[0]
+    text = prose(4, 50)
+    page = f"<nav>menu</nav><{wrapper}><article class='post has-comments'><h1>T</h1><p>{text}</p><div class=comments>nice</div></article><div class=sidebar>s</div></{tag}><footer>f</footer>"
+    assert pages.main_text(page) == f"T {text}"
+    several = f"<{wrapper}><article><p>{text}</p></article><article><p>two {text}</p></article></{tag}>"
+    assert pages.main_text(several) == f"{text} two {text}"
+    assert pages.main_text(f"<{wrapper}><p>{text}</p></{tag}><div class=sidebar>s</div>") == text
+    assert pages.main_text(f"<article><p>{text}</p><div hidden>x</div><div HIDDEN=''>y</div><p aria-hidden=true>z</p></article>") == text
+
+
+def test_long_comments_go():
+    talk = "<ol class=comment-list><li><article class='comment byuser'><p>" + prose(9, 90) + "</p></article></ol>"
+    assert pages.main_text(f"<main><article><p>a b c</p><div class=comments>{talk}</div></article></main>") == "a b c"
+    assert pages.main_text(f"<article><p>a b c</p></article><div id=comments>{talk}</div>") == "a b c"
+
+
 def test_connected_components(spark):
     r = np.random.default_rng(1)
     e = [(int(a), int(b)) for a, b in r.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
