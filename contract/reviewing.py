@@ -24,6 +24,15 @@ def review_corpus_fallback(spark, sf):
     return L.corpus(S.passages(spark, sf).filter("project_id % 2 = 0"), alt).select("project_id", "pos", "marked")
 
 
+@query(f"""WITH {S.PASSAGES}, alt AS (SELECT p_partkey * 10 AS project_id, p_partkey AS pos, p_type AS file, p_name AS content FROM part)
+  SELECT project_id, pos, marked FROM corpus UNION ALL SELECT project_id, pos, '[Datei: ' || file || ']' || chr(10) || content FROM alt WHERE project_id NOT IN (SELECT project_id FROM corpus)""")
+def review_corpus_whole(spark, sf):
+    """All passages; texts of parts for the projects that have none."""
+    alt = S.read(spark, sf, "part").select((F.col("p_partkey") * 10).alias("project_id"), F.col("p_partkey").alias("pos"), F.col("p_type").alias("file"),
+                                           F.lit(None).cast("int").alias("para"), F.col("p_name").alias("content"))
+    return L.corpus(S.passages(spark, sf), alt).select("project_id", "pos", "marked")
+
+
 @query(f"WITH {S.PASSAGES} SELECT project_id, 0::BIGINT AS part, string_agg(marked, chr(10) || chr(10) ORDER BY pos) AS text FROM corpus GROUP BY 1")
 def corpus_text(spark, sf):
     return L.corpus_text(L.corpus(S.passages(spark, sf)))

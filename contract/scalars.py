@@ -177,6 +177,30 @@ def plan_first_areas(spark, sf):
     return first.select("file_id", "f.number", "f.area_m2", F.lit("first").alias("which"))
 
 
+PLACES_SQL = " UNION ALL ".join(
+    f"SELECT file_id, '{entity}' AS entity, '{kind}' AS kind, regexp_extract_all(text, '(?i){p}', 0) AS found, string_split_regex(text, '(?i){p}') AS between, "
+    f"unnest(range(1, len(regexp_extract_all(text, '(?i){p}', 0)) + 1)) AS nth FROM plan" for kind, (entity, p) in V.PLAN_SYMBOLS.items())
+
+
+@query(f"""WITH {PLAN}, hits AS ({PLACES_SQL}) SELECT file_id, entity, kind, found[nth] AS name,
+  (length(array_to_string(between[1:nth], '')) + coalesce(length(array_to_string(found[1:nth - 1], '')), 0))::BIGINT AS position FROM hits""")
+def plan_symbol_places(spark, sf):
+    """Every symbol of every page with its place."""
+    from plumbline.plans.extract_text import plan_symbols
+    return plan_symbols(plan_pages(spark, sf)).select("file_id", "entity", "kind", "name", F.col("position").cast("long").alias("position"))
+
+
+@query(f"""WITH {PLAN}, areas AS (
+    SELECT file_id, (file_id % 50) || 'A' AS number, (file_id % 90) || '.5' AS area, strpos(text, (file_id % 90) || ',5 m²') AS place FROM plan UNION ALL
+    SELECT file_id, (file_id % 50) || 'A', (file_id % 90) || '.5', strpos(text, 'Fläche: ') FROM plan UNION ALL
+    SELECT file_id, (file_id % 30)::VARCHAR, (file_id % 30) || '.75', strpos(text, (file_id % 30) || ',75 m2') FROM plan)
+  SELECT file_id, number, area::DOUBLE AS area_m2, (place - 1)::BIGINT AS position FROM areas""")
+def plan_all_areas(spark, sf):
+    """Every area of every page with the label before it: `Fläche:` and the unit each find the first, and `r 7` in `heizkörper 7` is a label."""
+    from plumbline.plans.extract_text import plan_areas
+    return plan_areas(plan_pages(spark, sf)).select("file_id", "number", "area_m2", F.col("position").cast("long").alias("position"))
+
+
 @query(f"""WITH {S.LINES} SELECT file_id, para_idx, {any_sql('text', V.REQUIREMENT_WORDS)} AS required, length(text) >= 20 AS long_enough,
   lower(text) IN ('gesamt', 'summe', 'total') AS total_row FROM lines""")
 def line_predicates(spark, sf):
