@@ -202,6 +202,16 @@ def test_near_copies_of_the_pipeline_against_all_pairs(spark):
     assert got == sorted(min(rows[k][0] for k in np.flatnonzero(root == g) if rows[k][0] is not None) for g in set(root))
 
 
+def test_near_copies_with_repeated_or_missing_ids(spark):
+    import corpus_pipeline
+
+    near = lambda seed: [prose(seed, 90), prose(seed, 90) + " extra"]
+    rows = [(1, near(1)[0]), (2, near(1)[1]), (1, near(2)[0]), (3, near(2)[1]), *((None, t) for t in near(3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(x) for x in corpus_pipeline.simhash_dedup(spark, docs, SF).collect())
+    assert got[1, near(1)[0]] == got[1, near(2)[0]] == 1 and sum(got.values()) == 3 and sum(n for (i, _), n in got.items() if i is None) == 1
+
+
 def test_shards(spark, odd, none):
     got = sharding.longest_first_shards(odd, shards=3).collect()
     text = lambda r: (r.text or "").encode()
