@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import lines, mixing, pages, pieces, quality, sharding, simhash, tokens, toxicity, vectors
+from plumbline.llm import bpe, divergence, filters, lines, mixing, pages, pieces, quality, sharding, simhash, tokens, toxicity, vectors
 from plumbline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,21 @@ def op9_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pages.extract_main_text(_table(spark, sf_dir, "pages"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query(divergence.AUDIT_SQL)
+def op11_source_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.decode_bytes(bpe.encode_bytes(_table(spark, sf_dir, "documents")))
+    joined = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(joined, "UTF-8"), 256).alias("ids_sha256"),
+                      F.sha2("raw", 256).alias("decoded_sha256"))
+
+
+@query(filters.AUDIT_SQL)
+def op13_filter_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
