@@ -55,10 +55,13 @@ _SCRATCH: list[str] = []
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the step tables written so far, once nothing reads them any more."""
-    jvm = spark.sparkContext._jvm
     while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _SCRATCH.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
@@ -70,4 +73,15 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     path = scratch_path(spark, label)
     _SCRATCH.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._step_path = path
+    return table
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete step tables that nothing reads any more: what was made of them is written."""
+    for table in tables:
+        path = getattr(table, "_step_path", None)
+        if path in _SCRATCH:
+            _SCRATCH.remove(path)
+            _delete(table.sparkSession, path)
