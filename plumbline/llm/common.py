@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, free
 
 WHITE = b" \t\n\x0b\x0c\r"
 
@@ -19,6 +19,13 @@ def small_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 8) ->
             spark.conf.set(key, str(most))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that no column of `df` has or begins with."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def content_key(text: Column) -> list[Column]:
     """Two independent 64-bit hashes: together they stand for the content."""
     return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
@@ -87,7 +94,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         small = large.join(low, large["a"] == low["k"])
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")) \
             .unionByName(low.select(F.col("k").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        e = cut_lineage(small, "small")
+        before, e = e, cut_lineage(small, "small")
+        free(before, large)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == seen or now["n"] == 0:
             break

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, divergence, filters
+from plumbline.llm import bpe, common, divergence, filters, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids int, raw int, part string, mask int, term string, k long"
 LABELS = "doc_id long, quality int, toxic int, part string"
@@ -223,3 +223,65 @@ def test_diagram_is_shared_and_swaps_keep_its_weights():
             assert removed[0] == sum(w for m, (w,) in weights.items() if m >> f & 1 and not m & gone)
             gone |= 1 << f
             assert kept[0] == sum(w for m, (w,) in weights.items() if not m & gone)
+
+
+# --- near copies ----------------------------------------------------------------------------------
+
+
+def test_sketches_never_rule_out_a_similar_pair():
+    r = np.random.default_rng(1)
+    ruled_out = 0
+    for _ in range(400):
+        n = int(r.integers(1, 400))
+        shared = r.integers(0, 2**63, n).astype(np.uint64)
+        a, b = (np.unique(np.r_[shared, r.integers(0, 2**63, r.integers(0, n // 2 + 1)).astype(np.uint64)]) for _ in range(2))
+        both = len(np.intersect1d(a, b))
+        differ = simhash.least_difference(simhash.sketch(a), simhash.sketch(b))
+        assert differ <= len(a) + len(b) - 2 * both
+        ruled_out += differ > (len(a) + len(b)) / 9
+        assert not (differ > (len(a) + len(b)) / 9 + 1e-9 and both >= 0.8 * (len(a) + len(b) - both))
+    assert ruled_out > 100
+
+
+def test_meeting_rows_over_any_batches():
+    r = np.random.default_rng(6)
+    for _ in range(200):
+        n = int(r.integers(1, 30))
+        token = np.sort(r.integers(0, 6, n))
+        subs = np.where(token == 3, 2, 1)
+        key = r.integers(0, 5, n)
+        sub = key % subs
+        order = np.lexsort((key, sub, token))
+        rows = [x[order] for x in (token, sub, subs, key)]
+        buckets = {}
+        for t, s, many, k in zip(*(x.tolist() for x in rows), strict=True):
+            buckets.setdefault((t, s, many), set()).add(k)
+        want = sorted((t, s, many, k, min(keys)) for (t, s, many), keys in buckets.items() if len(keys) > 1 or many > 1 for k in keys)
+        meeting, got = simhash._Meeting(), []
+        cuts = np.unique(np.r_[0, r.integers(0, n + 1, 4), n])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            got += zip(*(x.tolist() for x in meeting.add(*(x[a:b] for x in rows))), strict=True)
+        assert sorted(got) == want
+
+
+@pytest.mark.parametrize("room", [200_000, 40])
+def test_similar_groups_against_all_pairs(spark, monkeypatch, room):
+    """One hot family of near copies and texts with a common passage; with little room, common shingles are split."""
+    r = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    base, passage = list(r.choice(vocabulary, 60)), list(r.choice(vocabulary, 60))
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for k in r.choice(60, int(r.integers(0, 4)), replace=False):
+            text[k] = f"new{r.integers(10**6)}"
+        rows.append((i, " ".join(text)))
+    rows += [(200 + i, " ".join([*passage, *r.choice(vocabulary, int(r.integers(3, 40)))])) for i in range(100)]
+    rows += [(400 + i, " ".join(r.choice(vocabulary, 30))) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    alike = np.array([[len(x & y) >= 0.8 * len(x | y) for y in sets] for x in sets])
+    root = common.roots(*np.nonzero(alike), len(rows))
+    got = {x.doc_id: x.root for x in simhash.similar_groups(docs, room=room).collect()}
+    pairs = {(rows[k][0], rows[g][0]) for k, g in enumerate(root)}
+    assert len(set(got.values())) == len(set(root)) and all(got[a] == got[b] for a, b in pairs)
