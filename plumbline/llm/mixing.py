@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbline.llm.common import unused
 from plumbline.session import cut_lineage
 
 PIECE = 16.0  # largest mean that one inversion takes; larger means are sums of independent pieces
@@ -39,7 +40,7 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, e
     return cut_lineage(rated.select("source", "rate", "pieces", table.alias("cdf")), "rates")
 
 
-def _uniform(salt) -> F.Column:
+def _uniform(salt: Column) -> Column:
     """A number in [0, 1) with 52 bits, from a hash of the seed, the row's key and the piece."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", salt, F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
@@ -50,14 +51,20 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, expone
     A document's count inverts the Poisson distribution with its source's rate at a number hashed from seed and
     doc_id, so it is the same on every run and under any partitioning. The rows are dealt to partitions by a hash
     of document and copy, and sorted by it there, so neighbours are random. Rows with equal doc_id and source have
-    equal counts; null ids have one key; null sources are a source. Texts are not looked at.
+    equal counts; null ids have one key; null sources are a source. Texts are not looked at. Columns of `docs` named
+    _copy or _order are replaced; others may have any name.
     """
+    docs = docs.drop("_copy", "_order")
+    own = unused(docs, "mix")
     rates = repetition_rates(docs, weights, exponent, growth)
-    rates = rates.select(F.col("source").alias("_source"), F.col("pieces").alias("_pieces"), F.col("cdf").alias("_cdf"))
-    rated = docs.join(rates, docs["source"].cast("string").eqNullSafe(rates["_source"]))
-    draws = F.transform(F.sequence(F.lit(1), F.col("_pieces")), lambda piece: F.size(F.filter("_cdf", lambda c: c <= _uniform(F.concat_ws(":", F.lit(seed), piece.cast("string"))))))
-    rated = rated.withColumn("_times", F.aggregate(draws, F.lit(0), lambda a, x: a + x)).where("_times > 0")
-    copies = rated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    rates = rates.select(F.col("source").alias(f"{own}_source"), F.col("pieces").alias(f"{own}_pieces"), F.col("cdf").alias(f"{own}_cdf"))
+    rated = docs.join(rates, F.col("source").cast("string").eqNullSafe(F.col(f"{own}_source")))
+    # one hash for each piece of a document, drawn before the table is searched
+    drawn = F.transform(F.sequence(F.lit(1), F.col(f"{own}_pieces")), lambda piece: _uniform(F.concat_ws(":", F.lit(seed), piece.cast("string"))))
+    rated = rated.withColumn(f"{own}_draws", drawn)
+    counts = F.transform(f"{own}_draws", lambda u: F.size(F.filter(f"{own}_cdf", lambda c: c <= u)))
+    rated = rated.withColumn(f"{own}_times", F.aggregate(counts, F.lit(0), lambda a, x: a + x)).where(F.col(f"{own}_times") > 0)
+    copies = rated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(f"{own}_times"))))
     copies = copies.withColumn("_order", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.col("_copy").cast("string"))))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return copies.repartition(parts, "_order").sortWithinPartitions("_order").select(*docs.columns, "_copy", "_order")
