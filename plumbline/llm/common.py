@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -39,24 +41,86 @@ def same(left: DataFrame, right: DataFrame, left_names: list[str], right_names:
     return out
 
 
-class ChunkHash:
-    """64-bit polynomial hashes of stretches of an array of code points, from differences of one running sum."""
+def chunk_hashes(codes: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of an array of code points, one after the other: sums of a mixed word for each (place, code)."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    place = np.arange(starts[0], len(codes)) - np.repeat(starts, np.diff(np.r_[starts, len(codes)]))
+    mixed = codes[starts[0]:].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    running = np.r_[np.uint64(0), np.cumsum(mixed)]
+    begin = starts - starts[0]
+    return running[begin + size] - running[begin] ^ size.astype(np.uint64) << np.uint64(40)
+
+
+def same_chunks(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray, room: int = 1 << 20) -> np.ndarray:
+    """Whether a[a_start:a_start + size] and b[b_start:b_start + size] hold the same, for each of the stretches."""
+    out = np.ones(len(size), bool)
+    ends = np.cumsum(size)
+    low = 0
+    while low < len(size):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] - size[low] + room, "right")))
+        n = size[low:high]
+        which = np.repeat(np.arange(low, high), n)
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out[which[a[a_start[which] + inside] != b[b_start[which] + inside]]] = False
+        low = high
+    return out
+
 
-    BASE = 0x9E3779B97F4A7C15
+def distinct_chunks(codes: np.ndarray, starts: np.ndarray, size: np.ndarray,
+                    hashes: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] = chunk_hashes) -> tuple[np.ndarray, ...]:
+    """(hash, first, group, times): the distinct stretches, where each first stands, which one each is, how often it occurs.
+
+    Equal hashes bring stretches together; their sizes and code points decide, so stretches of one hash that differ
+    are distinct.
+    """
+    found, first, group, times = np.unique(hashes(codes, starts, size), return_index=True, return_inverse=True, return_counts=True)
+    other = np.flatnonzero(first[group] != np.arange(len(starts)))
+    one = first[group[other]]
+    equal = size[other] == size[one]
+    equal[equal] = same_chunks(codes, starts[other[equal]], codes, starts[one[equal]], size[other[equal]])
+    if not equal.all():
+        apart: dict[bytes, int] = {}
+        for k in other[~equal].tolist():
+            times[group[k]] -= 1
+            content = codes[starts[k]:starts[k] + size[k]].tobytes()
+            if content not in apart:
+                apart[content] = len(first)
+                found, first, times = np.r_[found, found[group[k]]], np.r_[first, k], np.r_[times, 0]
+            group[k] = apart[content]
+            times[group[k]] += 1
+    return found, first, group, times
+
+
+class KeptChunks:
+    """Numbers of stretches seen before, found by hash and compared by content."""
 
     def __init__(self):
-        self.power = self.inverse = np.ones(1, np.uint64)
-
-    def __call__(self, codes: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-        n = len(codes)
-        if len(self.power) <= n:
-            self.power = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, self.BASE, np.uint64)])
-            self.inverse = np.cumprod(np.r_[np.uint64(1), np.full(2 * n, pow(self.BASE, -1, 1 << 64), np.uint64)])
-        mixed = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * self.power[:n]
-        running = np.r_[np.uint64(0), np.cumsum(mixed)]
-        out = (running[starts + size] - running[starts]) * self.inverse[starts]
-        return out ^ (out >> np.uint64(31)) ^ size.astype(np.uint64)
+        self.hash, self.number, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.codes = np.zeros(0, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.hash)
+
+    def find(self, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The number of each stretch, -1 if it is not kept."""
+        if not len(self):
+            return np.full(len(hashes), -1)
+        slot = np.minimum(np.searchsorted(self.hash, hashes), len(self) - 1)
+        on = (self.hash[slot] == hashes) & (self.size[slot] == size)
+        on[on] = same_chunks(self.codes, self.start[slot[on]], codes, starts[on], size[on])
+        return np.where(on, self.number[slot], -1)
+
+    def add(self, hashes: np.ndarray, numbers: np.ndarray, codes: np.ndarray, starts: np.ndarray, size: np.ndarray) -> None:
+        """Keep stretches. Of equal hashes only one can be found again: the others are taken as new each time."""
+        where = np.arange(size.sum()) + np.repeat(starts - np.cumsum(size) + size, size)
+        begin = len(self.codes) + np.cumsum(size) - size
+        self.codes = np.r_[self.codes, codes[where].astype(np.int32)]
+        columns = [np.r_[x, new] for x, new in zip((self.hash, self.number, self.start, self.size), (hashes, numbers, begin, size), strict=True)]
+        order = np.argsort(columns[0], kind="stable")
+        self.hash, self.number, self.start, self.size = (x[order] for x in columns)
 
 
 def roots(u: np.ndarray, v: np.ndarray, n: int, root: np.ndarray | None = None) -> np.ndarray:

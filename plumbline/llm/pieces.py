@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import ChunkHash, small_batches
+from plumbline.llm.common import KeptChunks, distinct_chunks, small_batches
 
 SPACE, OUTSIDE, CODE_BITS = 0x2581, 0x110000, 21
 #: Log weight of a character that has no piece: far below any path of pieces, and needed only where there is none.
@@ -75,8 +75,7 @@ class Lattice:
         self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.width = np.fromiter(map(len, self.bytes_of), np.int64, n)
         self.place = np.cumsum(self.width) - self.width
-        self.hashes = ChunkHash()
-        self.kept_hash, self.kept_kind = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.kept = KeptChunks()
         self.first_edge, self.source, self.piece, self.home, self.size = (np.zeros(0, np.int32) for _ in range(5))
         self.share = np.zeros(0, np.float32)
 
@@ -170,11 +169,8 @@ class Lattice:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         codes, starts, counts = self._chunks(texts)
         length = np.diff(np.r_[starts, len(codes)])
-        unique, at, kind_of, times = np.unique(self.hashes(codes, starts, length), return_index=True, return_inverse=True, return_counts=True)
-        number = np.full(len(unique), -1)
-        if len(self.kept_hash):
-            slot = np.minimum(np.searchsorted(self.kept_hash, unique), len(self.kept_hash) - 1)
-            number = np.where(self.kept_hash[slot] == unique, self.kept_kind[slot], -1)
+        unique, at, kind_of, times = distinct_chunks(codes, starts, length)
+        number = self.kept.find(unique, codes, starts[at], length[at])
 
         def build(new: np.ndarray) -> None:
             number[new] = len(self.size) + np.arange(len(new))
@@ -184,9 +180,7 @@ class Lattice:
 
         if len(self.share) < STORE and len(often := np.flatnonzero((number < 0) & (times > 1))):
             build(often)
-            kept, kind = np.r_[self.kept_hash, unique[often]], np.r_[self.kept_kind, number[often]]
-            order = np.argsort(kept)
-            self.kept_hash, self.kept_kind = kept[order], kind[order]
+            self.kept.add(unique[often], number[often], codes, starts[at[often]], length[at[often]])
         names = ("first_edge", "share", "source", "piece", "home", "size")
         filled = [getattr(self, x) for x in names]
         if len(rare := np.flatnonzero(number < 0)):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm.common import ChunkHash, small_batches
+from plumbline.llm.common import KeptChunks, distinct_chunks, small_batches
 from plumbline.operators.ordered import dense_ranks
 
 KEPT_WORDS = 300_000  # words whose ids a worker keeps, about 10 MB
@@ -36,15 +37,24 @@ class WordCoder:
     endings such as 's, drops white space, and codes each piece by itself. Texts of Latin-1 letters, which no
     normalization changes, are cut here, all texts of a batch at once, and the library's model codes the distinct
     pieces; ids of frequent pieces are kept. Texts with other letters or with a special token's name go through
-    the library as they are.
+    the library as they are, and so do all texts if the file has other rules than these.
     """
 
+    #: The normalizer and the cutting rule that _pieces stands for, as a tokenizer file states them.
+    NORMALIZER = {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    CUTTING = {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)
         self.model = self.coder.model
+        rules = json.loads(self.coder.to_str())
+        self.known_rules = rules["normalizer"] == self.NORMALIZER and rules["pre_tokenizer"] == self.CUTTING
         self.specials = [t.content for t in self.coder.get_added_tokens_decoder().values()]
         self.kind_of = np.full(256, OTHER)
         for kind, codes in ((BLANK, _BLANKS), (LETTER, _LETTERS), (NUMBER, _NUMBERS)):
@@ -53,8 +63,7 @@ class WordCoder:
         for c in [*range(0x41, 0x5B), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]:
             self.lower[c] = c + 32
         self.letters = _byte_letters()
-        self.hashes = ChunkHash()
-        self.kept_hash, self.kept_word = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.kept = KeptChunks()
         self.ids, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _pieces(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,17 +94,14 @@ class WordCoder:
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, each text's with `end_id` after them, and how many each text has."""
-        plain = [t if t.isascii() or self._latin(t) else None for t in texts]
+        plain = [t if self.known_rules and (t.isascii() or self._latin(t)) else None for t in texts]
         plain = [None if t is None or any(s in t for s in self.specials) else t for t in plain]
         odd = [i for i, t in enumerate(plain) if t is None]
         whole = dict(zip(odd, (e.ids for e in self.coder.encode_batch([texts[i] for i in odd], add_special_tokens=False)), strict=True))
         codes = self.lower[np.frombuffer("\n".join(t or "" for t in plain).encode("latin-1"), np.uint8)]
         starts, sizes = self._pieces(codes)
-        unique, at, word, times = np.unique(self.hashes(codes, starts, sizes), return_index=True, return_inverse=True, return_counts=True)
-        number = np.full(len(unique), -1)
-        if len(self.kept_hash):
-            slot = np.minimum(np.searchsorted(self.kept_hash, unique), len(self.kept_hash) - 1)
-            number = np.where(self.kept_hash[slot] == unique, self.kept_word[slot], -1)
+        unique, at, word, times = distinct_chunks(codes, starts, sizes)
+        number = self.kept.find(unique, codes, starts[at], sizes[at])
         new = np.flatnonzero(number < 0)
         new = new[np.argsort(times[new] < 2, kind="stable")]  # those that may be kept come first
         text = codes.astype(np.uint8).tobytes().decode("latin-1")
@@ -107,9 +113,8 @@ class WordCoder:
         often = int((times[new] > 1).sum())
         if often and known < KEPT_WORDS:
             self.ids, self.start = ids[:first[known + often]].copy(), first[:known + often + 1].copy()
-            kept, kept_word = np.r_[self.kept_hash, unique[new[:often]]], np.r_[self.kept_word, number[new[:often]]]
-            order = np.argsort(kept)
-            self.kept_hash, self.kept_word = kept[order], kept_word[order]
+            keep = new[:often]
+            self.kept.add(unique[keep], number[keep], codes, starts[at[keep]], sizes[at[keep]])
         return self._joined(texts, plain, whole, number[word], starts, ids, first, end_id)
 
     @staticmethod

@@ -399,4 +399,4 @@ def test_pipeline_stages(spark, odd):
 def test_queries_and_entry(spark):
     import __spark_entry__ as entry
 
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", q)[0] for q in entry.queries() if q.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", q)[0] for q in entry.queries() if q.startswith("op")}
