@@ -7,7 +7,7 @@ import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,8 @@ from plumbline.llm.common import small_batches
 
 LOAD = 2  # keys a bucket of the hash has on average
 TRIES, BLOCK = 1 << 16, 64  # displacements of a bucket before another seed is taken, and how many are tried at once
-KEPT_MISSES = 1 << 16  # merged pre-tokens that a worker keeps; longer ones than KEPT_BYTES are never kept
-KEPT_BYTES = 64
+WIDEST = 64  # bytes of the longest pre-tokens that are merged side by side; longer ones have a heap of their own
+SIDE_BY_SIDE = 8192
 LONG = 1 << 20  # a text of more characters is cut into pre-tokens portion by portion
 PORTION = 200_000
 
@@ -88,41 +88,139 @@ class PerfectHash:
         return self.key_of[np.where(shift < 0, -shift - 1, (start + np.maximum(shift, 0) * stride) % self.n)]
 
 
-def merge_bytes(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
+def token_joins(ranks: dict[bytes, int]) -> tuple[dict[int, int], int]:
+    """(joins, bits): the rank of the token that two tokens make, by the first's rank, shifted by `bits`, and the second's."""
+    bits = max(ranks.values(), default=0).bit_length()
+    joins = {}
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                joins[left << bits | right] = rank
+    return joins, bits
+
+
+def merge_bytes(raw: bytes, ranks: dict[bytes, int], joins: dict[int, int], bits: int) -> list[int]:
     """Ids of `raw`: of all neighbouring parts that join to a token, the lowest rank joins first, from the left.
 
-    Parts are linked in both directions. A heap entry is the rank of a part's join with the next one, times the
-    length, plus the part's place; it holds as long as the part still has that join. A single byte without a rank
-    has no id.
+    Parts are linked in both directions. A heap entry is the rank of a part's join with the next one, shifted, and
+    the part's place; it holds as long as the part still has that join. A single byte without a rank has no id.
     """
-    n, get, push, pop = len(raw), ranks.get, heapq.heappush, heapq.heappop
-    join = [get(raw[i:i + 2], -1) for i in range(n)]
-    join[-1:] = [-1] * bool(n)  # the last part has no next one
-    heap = [rank * n + i for i, rank in enumerate(join) if rank >= 0]
+    part = [ranks[raw[i:i + 1]] for i in range(len(raw))]
+    n, get, push, pop = len(part), joins.get, heapq.heappush, heapq.heappop
+    join = [get(a << bits | b, -1) for a, b in zip(part, part[1:], strict=False)]
+    join.append(-1)  # the last part has no next one
+    shift = n.bit_length()
+    place = (1 << shift) - 1
+    heap = [rank << shift | i for i, rank in enumerate(join) if rank >= 0]
     heapq.heapify(heap)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     while heap:
-        rank, i = divmod(pop(heap), n)
+        entry = pop(heap)
+        i, rank = entry & place, entry >> shift
         if join[i] != rank:
             continue
         gone = after[i]
         end = after[i] = after[gone]
-        join[gone] = join[i] = -1
+        part[i], part[gone], join[gone] = rank, -1, -1
         if end < n:
             before[end] = i
-            rank = join[i] = get(raw[i:after[end]], -1)
-            if rank >= 0:
-                push(heap, rank * n + i)
+            new = join[i] = get(rank << bits | part[end], -1)
+            if new >= 0:
+                push(heap, new << shift | i)
+        else:
+            join[i] = -1
         left = before[i]
         if left >= 0:
-            rank = join[left] = get(raw[left:end], -1)
-            if rank >= 0:
-                push(heap, rank * n + left)
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[raw[i:after[i]]])
-        i = after[i]
-    return out
+            new = join[left] = get(part[left] << bits | rank, -1)
+            if new >= 0:
+                push(heap, new << shift | left)
+    return [x for x in part if x >= 0]
+
+
+class JoinTable:
+    """The same joins for arrays of pairs: an open-addressed table in numpy."""
+
+    def __init__(self, joins: dict[int, int], bits: int):
+        self.bits = bits
+        size = 1 << max(4, (2 * len(joins)).bit_length())
+        self.mask = size - 1
+        self.key, self.rank = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
+        key, rank = np.fromiter(joins.keys(), np.int64, len(joins)), np.fromiter(joins.values(), np.int64, len(joins))
+        slot = self._slot(key)
+        while len(key):
+            free = np.flatnonzero(self.key[slot] < 0)
+            self.key[slot[free]] = key[free]  # of keys for one slot the last one stays
+            put = self.key[slot] == key
+            self.rank[slot[put]] = rank[put]
+            key, rank, slot = key[~put], rank[~put], (slot[~put] + 1) & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & self.mask
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair's join, -1 for none or if a part is -1."""
+        key = left << self.bits | right  # negative if a part is
+        out = np.full(len(key), -1)
+        open_ = np.flatnonzero(key >= 0)
+        slot = self._slot(key[open_])
+        while len(open_):
+            found = self.key[slot]
+            hit = found == key[open_]
+            out[open_[hit]] = self.rank[slot[hit]]
+            on = ~hit & (found >= 0)
+            open_, slot = open_[on], (slot[on] + 1) & self.mask
+        return out
+
+
+def merge_side_by_side(codes: np.ndarray, start: np.ndarray, size: np.ndarray, single: np.ndarray, table: JoinTable) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of pre-tokens of like length, one after the other, and how many each has: merge_bytes for all of them in step.
+
+    Every pre-token has linked parts and a heap of its own: a complete binary tree whose leaves are the joins of its
+    parts, in their places, and whose inner nodes hold the smaller of their children. The root is the next join of
+    each; the three leaves that it changes rise to the root again.
+    """
+    n, levels = len(start), max(1, int(size.max() - 1).bit_length())
+    width, none = 1 << levels, np.iinfo(np.int64).max
+    inside = np.arange(width + 1)
+    places = np.minimum(start[:, None] + inside, len(codes) - 1)
+    part = np.where(inside < size[:, None], single[codes[places]], -1)
+    tree = np.empty((n, 2 * width), np.int64)
+    rank = table(part[:, :-1].ravel(), part[:, 1:].ravel()).reshape(n, width)
+    tree[:, width:] = np.where(rank < 0, none, rank << levels | inside[:-1])
+    for k in range(levels - 1, -1, -1):
+        below = tree[:, 2 << k:4 << k]
+        tree[:, 1 << k:2 << k] = np.minimum(below[:, 0::2], below[:, 1::2])
+    part, tree = part.ravel(), tree.ravel()
+    after, before = np.tile(inside + 1, n), np.tile(inside - 1, n)
+    row = np.arange(n)
+    while True:
+        entry = tree[row * 2 * width + 1]
+        on = entry < none
+        if not on.all():
+            row, entry = row[on], entry[on]
+        if not len(row):
+            break
+        at, root = row * (width + 1), row * 2 * width
+        i, rank = entry & (width - 1), entry >> levels
+        gone = after[at + i]
+        end = after[at + gone]
+        after[at + i], before[at + end] = end, i
+        part[at + i], part[at + gone] = rank, -1
+        left = before[at + i]
+        ahead = left >= 0
+        new = table(np.r_[rank, part[(at + left)[ahead]]], np.r_[part[at + end], rank[ahead]])
+        changed = [(root, i, new[:len(row)]), (root, gone, np.full(len(row), -1)), (root[ahead], left[ahead], new[len(row):])]
+        nodes = []
+        for base, leaf, joined in changed:
+            tree[base + width + leaf] = np.where(joined < 0, none, joined << levels | leaf)
+            nodes.append((base, width + leaf))
+        for _ in range(levels):
+            nodes = [(base, node >> 1) for base, node in nodes]
+            for base, node in nodes:
+                tree[base + node] = np.minimum(tree[base + 2 * node], tree[base + 2 * node + 1])
+    left = part >= 0
+    return part[left], left.reshape(n, -1).sum(axis=1)
 
 
 class TwoTierCoder:
@@ -136,7 +234,7 @@ class TwoTierCoder:
         self.whole = PerfectHash(tokens)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("compiled", "_merged", "ranks", "bytes_of")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("compiled", "joins", "table", "single", "ranks", "bytes_of")}
 
     def __setstate__(self, state):
         self.__dict__.update(state, compiled=None)
@@ -146,7 +244,9 @@ class TwoTierCoder:
     def _ready(self) -> None:
         if self.compiled is None:
             self.compiled = regex.compile(self.pattern)
-            self._merged = lru_cache(KEPT_MISSES)(lambda raw: merge_bytes(raw, self.ranks))
+            self.joins = token_joins(self.ranks)
+            self.table = JoinTable(*self.joins)
+            self.single = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)])
 
     def _pieces(self, text: str) -> Iterator[list[str]]:
         if len(text) <= LONG:
@@ -156,13 +256,37 @@ class TwoTierCoder:
         while part := list(islice(found, PORTION)):
             yield part
 
-    def _coded(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each pre-token: its own id if it is a token, else those of its merged bytes."""
+    def _coded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pre-tokens in one array, and how many each has: its own id if it is a token, else its merged bytes'."""
         maybe = self.whole.lookup(pieces)
-        tokens, merged = self.tokens, self._merged
-        ids = self.ids[maybe].tolist() if len(tokens) else [0] * len(pieces)
-        return [[ids[k]] if tokens and tokens[at] == raw else merged(raw) if len(raw) <= KEPT_BYTES else merge_bytes(raw, self.ranks)
-                for k, (raw, at) in enumerate(zip(pieces, maybe.tolist(), strict=True))]
+        tokens = self.tokens
+        missed = np.fromiter((not tokens or tokens[at] != raw for raw, at in zip(pieces, maybe.tolist(), strict=True)), bool, len(pieces))
+        size, coded = np.ones(len(pieces), np.int64), []
+        misses = np.flatnonzero(missed)
+        length = np.fromiter((len(pieces[k]) for k in misses.tolist()), np.int64, len(misses))
+        codes = np.frombuffer(b"".join([pieces[k] for k in misses.tolist()]), np.uint8)
+        if len(codes) and self.single[codes].min() < 0:
+            raise ValueError("the vocabulary has no token for a byte of a text")
+        start = np.cumsum(length) - length
+        for low in range((WIDEST - 1).bit_length()):  # pre-tokens of one width class at a time
+            group = np.flatnonzero((length <= 2 << low) & ((length > 1 << low) | (low == 0)))
+            for at in range(0, len(group), SIDE_BY_SIDE):
+                some = group[at:at + SIDE_BY_SIDE]
+                ids, counts = merge_side_by_side(codes, start[some], length[some], self.single, self.table)
+                size[misses[some]] = counts
+                coded.append((misses[some], ids))
+        for k in misses[length > WIDEST].tolist():
+            ids = np.array(merge_bytes(pieces[k], self.ranks, *self.joins))
+            size[k] = len(ids)
+            coded.append((np.array([k]), ids))
+        first = np.cumsum(size) - size
+        flat = np.empty(int(size.sum()), np.int64)
+        if not missed.all():
+            flat[first[~missed]] = self.ids[maybe[~missed]]
+        for which, ids in coded:
+            n = size[which]
+            flat[np.repeat(first[which] - np.cumsum(n) + n, n) + np.arange(len(ids))] = ids
+        return flat, size
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each text has. Each distinct pre-token is looked up once."""
@@ -175,9 +299,7 @@ class TwoTierCoder:
             for part in self._pieces(text):
                 words.append(np.fromiter(map(numbers.__getitem__, part), np.int64, len(part)))
                 lengths[-1] += len(part)
-        coded = self._coded([w.encode() for w in numbers])
-        flat = np.fromiter(chain.from_iterable(coded), np.int64)
-        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        flat, size = self._coded([w.encode() for w in numbers])
         first = np.cumsum(size) - size
         word = np.concatenate(words) if words else np.zeros(0, np.int64)
         sizes = size[word]

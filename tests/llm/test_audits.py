@@ -147,6 +147,27 @@ def test_bpe_on_random_and_long_pieces(monkeypatch):
     assert own.encode([])[0].tolist() == []
 
 
+def test_merging_side_by_side_equals_one_by_one():
+    coder = bpe.read_coder(bpe.default_ranks(), bpe.default_pattern())
+    coder._ready()
+    r = random.Random(7)
+    raws = ["".join(r.choices("etaoin shrdluäé", k=r.randint(1, 64))).encode()[:64] for _ in range(3000)]
+    for widest in (64, 8, 2):
+        some = [x for x in raws if len(x) <= widest] + [b"ab", b"a"]
+        codes = np.frombuffer(b"".join(some), np.uint8)
+        size = np.array([len(x) for x in some])
+        ids, counts = bpe.merge_side_by_side(codes, np.cumsum(size) - size, size, coder.single, coder.table)
+        want = [bpe.merge_bytes(x, coder.ranks, *coder.joins) for x in some]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_a_vocabulary_without_a_byte_is_refused():
+    coder = bpe.TwoTierCoder([b"a", b"b", b"ab"], [0, 1, 2], r"\w+")
+    assert coder.encode(["ab abab"])[0].tolist() == [2, 2, 2]
+    with pytest.raises(ValueError):
+        coder.encode(["abc"])
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 100, 5000])
 def test_perfect_hash_is_minimal(n):
     keys = [f"key {i}".encode() for i in range(n)]
