@@ -7,24 +7,33 @@ two rows above the threshold still share one. Common tokens make no blocks.
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.operators.ratio import ratios
 from plumbline.session import cut_lineage
 
 
 @F.pandas_udf(T.DoubleType())
 def seq_ratio(new: pd.Series, old: pd.Series) -> pd.Series:
-    """Similarity of two strings, (new, old) in this order: the measure is not symmetric."""
-    return pd.Series([
-        None if a is None or b is None else difflib.SequenceMatcher(None, a, b).ratio()
-        for a, b in zip(new, old)
-    ], dtype="float64")
+    """Similarity of two strings, (new, old) in this order: the measure is not symmetric. Null if one of them is."""
+    known = (new.notna() & old.notna()).to_numpy()
+    out = np.full(len(new), np.nan)
+    out[known] = ratios(new[known].tolist(), old[known].tolist())
+    return pd.Series(out)
+
+
+def common_characters(x: Column, y: Column) -> Column:
+    """How many characters two strings share, repeats included, in any order."""
+    # what is left of y when x's characters, each as often as it stands there, are taken away one by one
+    rest = F.aggregate(F.split(x, ""), y, lambda left, c: F.when(
+        (c != "") & (F.instr(left, c) > 0), F.concat(F.substr(left, F.lit(1), F.instr(left, c) - 1), F.substr(left, F.instr(left, c) + 1))).otherwise(left))
+    return F.length(y) - F.length(rest)
 
 
 def ratio_above(new: Column, old: Column, threshold: float) -> Column:
@@ -32,11 +41,12 @@ def ratio_above(new: Column, old: Column, threshold: float) -> Column:
 
     ratio = 2M/T. M is at most the shorter length, and T - 2M insertions and
     deletions turn one string into the other, so the edit distance is below T(1-t).
+    M is at most what is left in common without regard to order.
     """
     total = F.length(new) + F.length(old)
     long_enough = 2 * F.least(F.length(new), F.length(old)) > threshold * total
     near = F.levenshtein(new, old) < total * F.lit(1 - threshold) + F.lit(1e-9)
-    worth = long_enough & near & (new != old)
+    worth = F.when(long_enough & near & (new != old), 2 * common_characters(new, old) > threshold * total).otherwise(False)
     # the function sees nulls, and returns at once, where the answer is known
     ratio = seq_ratio(F.when(worth, new), F.when(worth, old))
     return F.coalesce((new == old) | (ratio > threshold), F.lit(False))
@@ -57,11 +67,12 @@ def words(c: Column) -> Column:
 
 
 def rarest_tokens(rows: DataFrame, scope: Sequence[str], item: str, tokens: Column, keep: Column,
-                  numbered: bool = False) -> DataFrame:
+                  numbered: bool = False, order: DataFrame | None = None) -> DataFrame:
     """(scope, item, token, size): the `keep` rarest tokens of each item, by count within the scope.
 
     size is the number of tokens of the item.
     numbered: the k-th equal token of one item counts as a token of its own.
+    order: (token, _n) of an earlier `token_order`, which then decides instead of the counts; new tokens are the rarest.
     """
     scope = list(scope)
     # both lists are made before the explode, once per item and not once per token
@@ -71,20 +82,32 @@ def rarest_tokens(rows: DataFrame, scope: Sequence[str], item: str, tokens: Colu
         times = flat.groupBy(*scope, item, "_keep", "token").agg(F.count(F.lit(1)).cast("int").alias("_c"))
         flat = times.select(*scope, item, "_keep", "token", F.explode(F.sequence(F.lit(1), F.col("_c"))).alias("_k")).select(
             *scope, item, "_keep", F.concat("token", F.lit("#"), F.col("_k").cast("string")).alias("token"))
-    counts = flat.groupBy(*scope, "token").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = flat.join(counts, [*scope, "token"]).groupBy(*scope, item, "_keep").agg(
+    if order is None:
+        counted = flat.join(flat.groupBy(*scope, "token").agg(F.count(F.lit(1)).alias("_n")), [*scope, "token"])
+    else:
+        counted = flat.join(order, "token", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    ranked = counted.groupBy(*scope, item, "_keep").agg(
         F.array_sort(F.collect_list(F.struct("_n", "token"))).alias("_t"))
     cut = ranked.select(*scope, item, F.size("_t").alias("size"), F.slice("_t", F.lit(1), F.col("_keep")).alias("_t"))
     return cut.select(*scope, item, "size", F.explode("_t.token").alias("token"))
 
 
+def token_order(names: DataFrame, name: str) -> DataFrame:
+    """(token, _n): how often each token of name_blocks stands in these names. A written one keeps blocks of later names comparable."""
+    pieces = [names.select(F.monotonically_increasing_id().alias("_i"), F.explode(grams_of(F.col(name), size)).alias("token")) for size in (1, 2)]
+    times = pieces[0].unionByName(pieces[1]).groupBy("_i", "token").agg(F.count(F.lit(1)).cast("int").alias("_c"))
+    numbered = times.select("token", F.explode(F.sequence(F.lit(1), F.col("_c"))).alias("_k"))
+    return numbered.groupBy(F.concat("token", F.lit("#"), F.col("_k").cast("string")).alias("token")).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def _least_partner(n: Column, t: float) -> Column:
     """A length that no partner above the ratio t goes below."""
     return F.floor(n * F.lit(t / (2 - t)) - F.lit(1e-9))
 
 
-def name_blocks(rows: DataFrame, scope: Sequence[str], item: str, name: str, threshold: float) -> DataFrame:
-    """Blocks for the string ratio.
+def name_blocks(rows: DataFrame, scope: Sequence[str], item: str, name: str, threshold: float,
+                order: DataFrame | None = None) -> DataFrame:
+    """Blocks for the string ratio. Names of two calls share blocks as those of one do if both had the same `order`.
 
     M matched characters leave at least 3M - T - 1 shared bigrams; ratio > t means
     3M > 1.5tT. Pairs with T >= 1/(1.5t - 1) share a bigram of the kept prefix,
@@ -99,12 +122,12 @@ def name_blocks(rows: DataFrame, scope: Sequence[str], item: str, name: str, thr
     wide = F.greatest(total.cast("double"), F.lit(least_total))
     shared = F.greatest(F.floor(wide * F.lit(1.5 * t - 1) - 1 - F.lit(1e-9)) + 1, F.lit(1))
     keep_grams = F.when(most_total >= least_total, F.greatest(n - 1 - shared + 1, F.lit(0))).otherwise(0).cast("int")
-    by_gram = rarest_tokens(rows, scope, item, grams_of(F.col(name), 2), keep_grams, numbered=True)
+    by_gram = rarest_tokens(rows, scope, item, grams_of(F.col(name), 2), keep_grams, True, order)
 
     common = F.greatest(F.floor(total * F.lit(t / 2) - F.lit(1e-9)) + 1, F.lit(1))
     keep_chars = (n - common + 1).cast("int")
     short = rows.filter((total < least_total) & (n > 0))
-    by_char = rarest_tokens(short, scope, item, grams_of(F.col(name), 1), keep_chars, numbered=True)
+    by_char = rarest_tokens(short, scope, item, grams_of(F.col(name), 1), keep_chars, True, order)
     # a name has one bigram less than characters
     return by_gram.withColumns({"token": F.concat(F.lit("g:"), "token"), "size": F.col("size") + 1}).unionByName(
         by_char.withColumn("token", F.concat(F.lit("c:"), "token")))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,11 +30,11 @@ def _equal_blocks(rows: DataFrame, tokens: Sequence[Column]) -> DataFrame:
     return rows.select("project_id", "pos", F.lit(None).cast("int").alias("size"), F.explode(kept).alias("token"))
 
 
-def _text_blocks(rows: DataFrame, name: str, threshold: float, within: str | None = None) -> DataFrame:
+def _text_blocks(rows: DataFrame, name: str, threshold: float, within: str | None = None, order: DataFrame | None = None) -> DataFrame:
     """Blocks of the distinct names, given to every row with the name."""
     scope = PROJECT if within is None else [*PROJECT, within]
     names = rows.filter(F.length(name) > 0).select(*scope, name).distinct()
-    found = name_blocks(names, scope, name, name, threshold)
+    found = name_blocks(names, scope, name, name, threshold, order)
     token = _tag("t:", F.col("token")) if within is None else F.concat_ws("|", F.lit("t"), within, "token")
     return found.select(*scope, name, "size", token.alias("token")).join(
         rows.select(*scope, name, "pos"), [*scope, name]).select("project_id", "pos", "size", "token")
@@ -57,9 +58,33 @@ def _without_lone(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return cut_lineage(rows)
 
 
-def _clusters(rows: DataFrame, keys: Sequence[str], make_blocks, matches, threshold: float) -> DataFrame:
+@dataclass(frozen=True)
+class Matching:
+    """How rows of one kind match: their keys, the blocks in which they meet, and the test of a pair.
+
+    `keys` selects project_id, pos and the key columns; `name` is the key that is compared by ratio. `blocks` gets
+    rows of keys and, for blocks that have to fit those of other rows, a written token order.
+    """
+
+    threshold: float
+    name: str
+    columns: tuple[str, ...]
+    keys: Callable[[DataFrame], DataFrame]
+    blocks: Callable[[DataFrame, DataFrame | None], DataFrame]
+    matches: Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
+
+
+def with_leaders(rows: DataFrame, items: DataFrame, led: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(project_id, pos, leader): every row gets the leader of the item with its keys."""
+    cond = [F.col("a.project_id").eqNullSafe(F.col("b.project_id"))] + [
+        F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    named = items.join(led, ["project_id", "pos"]).drop("pos")
+    return rows.alias("a").join(named.alias("b"), cond).select("a.project_id", "a.pos", "b.leader")
+
+
+def _clusters(entities: DataFrame, m: Matching) -> DataFrame:
     """(project_id, pos, leader). Rows with equal keys count once: the first stands for all."""
-    keys = list(keys)
+    rows, keys = m.keys(entities), list(m.columns)
     if "id" in keys:
         rows, keys = _without_lone(rows, keys), [*keys, "lone"]
     distinct = rows.groupBy("project_id", *keys).agg(F.min("pos").alias("pos"))
@@ -67,92 +92,92 @@ def _clusters(rows: DataFrame, keys: Sequence[str], make_blocks, matches, thresh
     if "id" in keys:
         # a lone id is no missing id, and missing ids equal each other
         items = distinct.withColumn("id", F.when(F.col("lone"), F.concat(F.lit("\1"), F.col("pos").cast("string"))).otherwise(F.col("id")))
-    led = greedy_leaders(items, make_blocks(items), PROJECT, "pos", keys, matches, name_size_ratio(threshold))
-    cond = [F.col("a.project_id").eqNullSafe(F.col("b.project_id"))] + [
-        F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    named = distinct.join(led, ["project_id", "pos"]).drop("pos")
-    return rows.alias("a").join(named.alias("b"), cond).select("a.project_id", "a.pos", "b.leader")
+    led = greedy_leaders(items, m.blocks(items, None), PROJECT, "pos", keys, m.matches, name_size_ratio(m.threshold))
+    return with_leaders(rows, distinct, led, keys)
 
 
-def space_clusters(spaces: DataFrame) -> DataFrame:
-    """Same id, guid, name or number, or a name ratio above 0.8."""
-    rows = spaces.select("project_id", "pos", "id", "guid", _lower("name").alias("name"), _lower("number").alias("number"))
+def _same_text(new, old, key: str) -> Column:
+    return has_text(new(key)) & new(key).eqNullSafe(old(key))
 
-    def blocks(r: DataFrame) -> DataFrame:
-        return _equal_blocks(r, [
-            _tag("i:", F.coalesce("id", F.lit("\0"))),
-            F.when(has_text("guid"), _tag("u:", F.col("guid"))),
-            F.when(has_text("number"), _tag("n:", F.col("number"))),
-        ]).unionByName(_text_blocks(r, "name", 0.8))
 
-    def matches(new, old) -> Column:
-        return (
-            new("id").eqNullSafe(old("id"))
-            | (has_text(new("guid")) & new("guid").eqNullSafe(old("guid")))
-            | (has_text(new("number")) & (new("number") == old("number")))
-            | (has_text(new("name")) & has_text(old("name")) & ratio_above(new("name"), old("name"), 0.8))
-        )
+def _near_names(new, old, key: str, threshold: float) -> Column:
+    return has_text(new(key)) & has_text(old(key)) & ratio_above(new(key), old(key), threshold)
 
-    return _clusters(rows, ["id", "guid", "name", "number"], blocks, matches, 0.8)
 
+def _key_block(prefix: str, key: str) -> Column:
+    return F.when(has_text(key), _tag(prefix, F.col(key)))
 
-def system_clusters(systems: DataFrame) -> DataFrame:
-    """Same id, guid or system guid, or a name ratio above 0.8."""
-    rows = systems.select("project_id", "pos", "id", "guid", "system_guid", _lower("name").alias("name"))
 
-    def blocks(r: DataFrame) -> DataFrame:
-        return _equal_blocks(r, [
-            _tag("i:", F.coalesce("id", F.lit("\0"))),
-            F.when(has_text("guid"), _tag("u:", F.col("guid"))),
-            F.when(has_text("system_guid"), _tag("s:", F.col("system_guid"))),
-        ]).unionByName(_text_blocks(r, "name", 0.8))
+def _id_block() -> Column:
+    """Rows without id have one in common."""
+    return _tag("i:", F.coalesce("id", F.lit("\0")))
 
-    def matches(new, old) -> Column:
-        return (
-            new("id").eqNullSafe(old("id"))
-            | (has_text(new("guid")) & new("guid").eqNullSafe(old("guid")))
-            | (has_text(new("system_guid")) & new("system_guid").eqNullSafe(old("system_guid")))
-            | (has_text(new("name")) & has_text(old("name")) & ratio_above(new("name"), old("name"), 0.8))
-        )
 
-    return _clusters(rows, ["id", "guid", "system_guid", "name"], blocks, matches, 0.8)
+def _space_matching() -> Matching:
+    """Same id, guid, name or number, or a name ratio above 0.8."""
+    return Matching(
+        0.8, "name", ("id", "guid", "name", "number"),
+        lambda s: s.select("project_id", "pos", "id", "guid", _lower("name").alias("name"), _lower("number").alias("number")),
+        lambda r, order: _equal_blocks(r, [_id_block(), _key_block("u:", "guid"), _key_block("n:", "number")]).unionByName(
+            _text_blocks(r, "name", 0.8, order=order)),
+        lambda new, old: new("id").eqNullSafe(old("id")) | _same_text(new, old, "guid") | _same_text(new, old, "number")
+        | _near_names(new, old, "name", 0.8))
 
 
-def equipment_clusters(equipment: DataFrame) -> DataFrame:
-    """Same id, guid or name; or the same kind and a name ratio above 0.7, where two empty names are alike."""
-    rows = equipment.select("project_id", "pos", "id", "guid", _lower("name").alias("name"), _lower("kind").alias("kind"))
+def _system_matching() -> Matching:
+    """Same id, guid or system guid, or a name ratio above 0.8."""
+    return Matching(
+        0.8, "name", ("id", "guid", "system_guid", "name"),
+        lambda s: s.select("project_id", "pos", "id", "guid", "system_guid", _lower("name").alias("name")),
+        lambda r, order: _equal_blocks(r, [_id_block(), _key_block("u:", "guid"), _key_block("s:", "system_guid")]).unionByName(
+            _text_blocks(r, "name", 0.8, order=order)),
+        lambda new, old: new("id").eqNullSafe(old("id")) | _same_text(new, old, "guid") | _same_text(new, old, "system_guid")
+        | _near_names(new, old, "name", 0.8))
+
 
-    def blocks(r: DataFrame) -> DataFrame:
-        return _equal_blocks(r, [
-            _tag("i:", F.coalesce("id", F.lit("\0"))),
-            F.when(has_text("guid"), _tag("u:", F.col("guid"))),
-            F.when(has_text("name"), _tag("n:", F.col("name"))),
+def _equipment_matching() -> Matching:
+    """Same id, guid or name; or the same kind and a name ratio above 0.7, where two empty names are alike."""
+    return Matching(
+        0.7, "name", ("id", "guid", "name", "kind"),
+        lambda e: e.select("project_id", "pos", "id", "guid", _lower("name").alias("name"), _lower("kind").alias("kind")),
+        lambda r, order: _equal_blocks(r, [
+            _id_block(), _key_block("u:", "guid"), _key_block("n:", "name"),
             F.when(~has_text("name") & has_text("kind"), _tag("e:", F.col("kind"))),
-        ]).unionByName(_text_blocks(r.filter(has_text("kind")), "name", 0.7, within="kind"))
+        ]).unionByName(_text_blocks(r.filter(has_text("kind")), "name", 0.7, within="kind", order=order)),
+        lambda new, old: new("id").eqNullSafe(old("id")) | _same_text(new, old, "guid") | _same_text(new, old, "name")
+        | (_same_text(new, old, "kind") & ratio_above(new("name"), old("name"), 0.7)))
 
-    def matches(new, old) -> Column:
-        return (
-            new("id").eqNullSafe(old("id"))
-            | (has_text(new("guid")) & new("guid").eqNullSafe(old("guid")))
-            | (has_text(new("name")) & (new("name") == old("name")))
-            | (has_text(new("kind")) & (new("kind") == old("kind")) & ratio_above(new("name"), old("name"), 0.7))
-        )
 
-    return _clusters(rows, ["id", "guid", "name", "kind"], blocks, matches, 0.7)
+def _milestone_matching() -> Matching:
+    """Text ratio above 0.9 and the same due date; no date equals no date."""
+    def keys(milestones: DataFrame) -> DataFrame:
+        rows = milestones.select("project_id", "pos", _lower("text").alias("text"), F.coalesce("due", F.lit("\0")).alias("due"))
+        # a milestone without text matches nothing, not even its copy
+        return rows.withColumn("own", F.when(~has_text("text"), F.col("pos")))
 
+    return Matching(
+        0.9, "text", ("text", "due", "own"), keys,
+        lambda r, order: _text_blocks(r, "text", 0.9, within="due", order=order),
+        lambda new, old: (new("due") == old("due")) & _near_names(new, old, "text", 0.9))
+
+
+MATCHING = {"spaces": _space_matching, "systems": _system_matching, "equipment": _equipment_matching, "milestones": _milestone_matching}
 
-def milestone_clusters(milestones: DataFrame) -> DataFrame:
-    """Text ratio above 0.9 and the same due date; no date equals no date."""
-    rows = milestones.select("project_id", "pos", _lower("text").alias("text"),
-                             F.coalesce("due", F.lit("\0")).alias("due"))
-    # a milestone without text matches nothing, not even its copy
-    rows = rows.withColumn("own", F.when(~has_text("text"), F.col("pos")))
 
-    def matches(new, old) -> Column:
-        return (new("due") == old("due")) & has_text(new("text")) & has_text(old("text")) & ratio_above(
-            new("text"), old("text"), 0.9)
+def space_clusters(spaces: DataFrame) -> DataFrame:
+    return _clusters(spaces, _space_matching())
+
+
+def system_clusters(systems: DataFrame) -> DataFrame:
+    return _clusters(systems, _system_matching())
+
 
-    return _clusters(rows, ["text", "due", "own"], lambda r: _text_blocks(r, "text", 0.9, within="due"), matches, 0.9)
+def equipment_clusters(equipment: DataFrame) -> DataFrame:
+    return _clusters(equipment, _equipment_matching())
+
+
+def milestone_clusters(milestones: DataFrame) -> DataFrame:
+    return _clusters(milestones, _milestone_matching())
 
 
 # --- merge of matched rows --------------------------------------------------------
