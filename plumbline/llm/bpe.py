@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -181,11 +180,13 @@ def merge_side_by_side(codes: np.ndarray, start: np.ndarray, size: np.ndarray, s
     each; the three leaves that it changes rise to the root again.
     """
     n, levels = len(start), max(1, int(size.max() - 1).bit_length())
-    width, none = 1 << levels, np.iinfo(np.int64).max
+    width = 1 << levels
+    kind = np.int32 if table.bits + levels < 31 else np.int64
+    none = np.iinfo(kind).max
     inside = np.arange(width + 1)
     places = np.minimum(start[:, None] + inside, len(codes) - 1)
     part = np.where(inside < size[:, None], single[codes[places]], -1)
-    tree = np.empty((n, 2 * width), np.int64)
+    tree = np.empty((n, 2 * width), kind)
     rank = table(part[:, :-1].ravel(), part[:, 1:].ravel()).reshape(n, width)
     tree[:, width:] = np.where(rank < 0, none, rank << levels | inside[:-1])
     for k in range(levels - 1, -1, -1):
@@ -195,30 +196,33 @@ def merge_side_by_side(codes: np.ndarray, start: np.ndarray, size: np.ndarray, s
     after, before = np.tile(inside + 1, n), np.tile(inside - 1, n)
     row = np.arange(n)
     while True:
-        entry = tree[row * 2 * width + 1]
+        entry = tree.take(row * (2 * width) + 1)
         on = entry < none
         if not on.all():
             row, entry = row[on], entry[on]
         if not len(row):
             break
-        at, root = row * (width + 1), row * 2 * width
-        i, rank = entry & (width - 1), entry >> levels
-        gone = after[at + i]
-        end = after[at + gone]
-        after[at + i], before[at + end] = end, i
-        part[at + i], part[at + gone] = rank, -1
-        left = before[at + i]
-        ahead = left >= 0
-        new = table(np.r_[rank, part[(at + left)[ahead]]], np.r_[part[at + end], rank[ahead]])
-        changed = [(root, i, new[:len(row)]), (root, gone, np.full(len(row), -1)), (root[ahead], left[ahead], new[len(row):])]
-        nodes = []
-        for base, leaf, joined in changed:
-            tree[base + width + leaf] = np.where(joined < 0, none, joined << levels | leaf)
-            nodes.append((base, width + leaf))
+        at, root = row * (width + 1), row * (2 * width)
+        i, rank = at + (entry & (width - 1)), (entry >> levels).astype(np.int64)
+        gone = after.take(i)
+        end = after.take(at + gone)
+        after[i] = end
+        before[at + end] = i - at
+        part[i], part[at + gone] = rank, -1
+        left = before.take(i)
+        ahead = np.flatnonzero(left >= 0)
+        left = left.take(ahead)
+        new = table(np.r_[rank, part.take(at.take(ahead) + left)], np.r_[part.take(at + end), rank.take(ahead)])
+        # the leaves that change: the joined part's, the vanished part's, and the one's before
+        base = np.r_[root, root, root.take(ahead)]
+        leaf = np.r_[i - at, gone, left]
+        join = np.r_[new[:len(row)], np.full(len(row), -1), new[len(row):]]
+        tree[base + (width + leaf)] = np.where(join < 0, none, join << levels | leaf)
+        node = leaf + width
         for _ in range(levels):
-            nodes = [(base, node >> 1) for base, node in nodes]
-            for base, node in nodes:
-                tree[base + node] = np.minimum(tree[base + 2 * node], tree[base + 2 * node + 1])
+            node >>= 1
+            child = base + 2 * node
+            tree[base + node] = np.minimum(tree.take(child), tree.take(child + 1))
     left = part >= 0
     return part[left], left.reshape(n, -1).sum(axis=1)
 
@@ -229,17 +233,14 @@ class TwoTierCoder:
     def __init__(self, tokens: list[bytes], ids: list[int], pattern: str):
         self.tokens, self.ids = tokens, np.array(ids, np.int64)
         self.ranks = dict(zip(tokens, ids, strict=True))
-        self.bytes_of = dict(zip(ids, tokens, strict=True))
         self.pattern, self.compiled = pattern, None
         self.whole = PerfectHash(tokens)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("compiled", "joins", "table", "single", "ranks", "bytes_of")}
+        return {k: self.__dict__[k] for k in ("tokens", "ids", "pattern", "whole")}
 
     def __setstate__(self, state):
-        self.__dict__.update(state, compiled=None)
-        ids = self.ids.tolist()
-        self.ranks, self.bytes_of = dict(zip(self.tokens, ids, strict=True)), dict(zip(ids, self.tokens, strict=True))
+        self.__dict__.update(state, compiled=None, ranks=dict(zip(state["tokens"], state["ids"].tolist(), strict=True)))
 
     def _ready(self) -> None:
         if self.compiled is None:
@@ -247,6 +248,12 @@ class TwoTierCoder:
             self.joins = token_joins(self.ranks)
             self.table = JoinTable(*self.joins)
             self.single = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)])
+            # for decoding: all tokens' bytes one after the other, and where those of an id are
+            self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
+            self.width = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
+            self.begin = np.cumsum(self.width) - self.width
+            self.place_of = np.full(int(self.ids.max(initial=-1)) + 1, -1)
+            self.place_of[self.ids] = np.arange(len(self.ids))
 
     def _pieces(self, text: str) -> Iterator[list[str]]:
         if len(text) <= LONG:
@@ -291,25 +298,31 @@ class TwoTierCoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each text has. Each distinct pre-token is looked up once."""
         self._ready()
-        numbers: defaultdict[str, int] = defaultdict()
-        numbers.default_factory = numbers.__len__
         words, lengths = [], []
         for text in texts:
             lengths.append(0)
             for part in self._pieces(text):
-                words.append(np.fromiter(map(numbers.__getitem__, part), np.int64, len(part)))
+                words.append(pa.array(part, pa.string()))
                 lengths[-1] += len(part)
-        flat, size = self._coded([w.encode() for w in numbers])
+        distinct = pa.chunked_array(words, pa.string()).combine_chunks().dictionary_encode()
+        flat, size = self._coded(distinct.dictionary.cast(pa.binary()).to_pylist())
         first = np.cumsum(size) - size
-        word = np.concatenate(words) if words else np.zeros(0, np.int64)
+        word = distinct.indices.to_numpy(zero_copy_only=False)
         sizes = size[word]
         ends = np.cumsum(sizes)
         out = flat[np.repeat(first[word] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
         upto = np.r_[0, ends][np.cumsum(lengths)] if lengths else np.zeros(0, np.int64)
         return out, np.diff(np.r_[0, upto])
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all lists of ids in one array, and each list's offsets."""
+        self._ready()
+        place = self.place_of[ids]
+        width = self.width[place]
+        stop = np.r_[0, np.cumsum(width)]
+        where = np.repeat(self.begin[place] - stop[:-1], width)
+        where += np.arange(stop[-1])
+        return self.flat[where], stop[offsets]
 
 
 def default_ranks() -> str:
@@ -365,8 +378,11 @@ def decode_bytes(coded: DataFrame, ranks: str | None = None, pattern: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("ids").to_pylist()
-            raw = pa.array([None if x is None else coder.value.decode(x) for x in lists], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, raw], [*batch.schema.names, "raw"])
+            lists = batch.column("ids")
+            gone = lists.is_null().to_numpy(zero_copy_only=False)
+            sizes = np.where(gone, 0, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            raw, stops = coder.value.decode(lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(sizes)])
+            raws = pa.Array.from_buffers(pa.binary(), len(lists), [pa.array(~gone).buffers()[1], pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, raws], [*batch.schema.names, "raw"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("raw", T.BinaryType())]))

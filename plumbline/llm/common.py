@@ -41,17 +41,29 @@ def same(left: DataFrame, right: DataFrame, left_names: list[str], right_names:
     return out
 
 
-def chunk_hashes(codes: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit hashes of stretches of an array of code points, one after the other: sums of a mixed word for each (place, code)."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    place = np.arange(starts[0], len(codes)) - np.repeat(starts, np.diff(np.r_[starts, len(codes)]))
-    mixed = codes[starts[0]:].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
-        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
-    running = np.r_[np.uint64(0), np.cumsum(mixed)]
-    begin = starts - starts[0]
-    return running[begin + size] - running[begin] ^ size.astype(np.uint64) << np.uint64(40)
+def chunk_hashes(codes: np.ndarray, starts: np.ndarray, size: np.ndarray, room: int = 1 << 18) -> np.ndarray:
+    """64-bit hashes of stretches of an array of code points, in ascending order: sums of a mixed word for each (place, code).
+
+    Some `room` code points are looked at together.
+    """
+    out = np.empty(len(starts), np.uint64)
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(starts, starts[low] + room)))
+        begin, end = int(starts[low]), int(starts[high - 1] + size[high - 1])
+        place = np.arange(1, end - begin + 1, dtype=np.uint64)
+        here = (starts[low:high] - begin).astype(np.uint64)
+        place -= np.repeat(here, np.diff(np.r_[here, np.uint64(end - begin)]).astype(np.int64))
+        place *= np.uint64(0xD1342543DE82EF95)
+        place += codes[begin:end].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            place ^= place >> np.uint64(shift)
+            place *= np.uint64(factor)
+        running = np.r_[np.uint64(0), np.cumsum(place)]
+        at = here.astype(np.int64)
+        out[low:high] = (running[at + size[low:high]] - running[at]) ^ size[low:high].astype(np.uint64) << np.uint64(40)
+        low = high
+    return out
 
 
 def same_chunks(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray, room: int = 1 << 20) -> np.ndarray:

@@ -16,7 +16,7 @@ from plumbline.llm.common import KeptChunks, distinct_chunks, small_batches
 SPACE, OUTSIDE, CODE_BITS = 0x2581, 0x110000, 21
 #: Log weight of a character that has no piece: far below any path of pieces, and needed only where there is none.
 FALLBACK = -30.0
-STORE = 4_000_000  # edges of lattices that a worker keeps, 50 MB
+STORE = 2_000_000  # edges of lattices that a worker keeps, 25 MB
 
 
 def default_model() -> str:
