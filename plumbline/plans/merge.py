@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -299,3 +299,8 @@ def merge_entities(kind: str, rows: DataFrame) -> dict[str, DataFrame]:
         out["space_links"] = links(rows, clusters, "space_ids")
         out["equipment_links"] = links(rows, clusters, "equipment_ids")
     return out
+
+
+def merge_all(entities: Mapping[str, DataFrame]) -> dict[str, dict[str, DataFrame]]:
+    """The whole merge of a batch of files: merge_entities of every kind. Kinds without matching rules pass through."""
+    return {kind: merge_entities(kind, rows) for kind, rows in entities.items()}
