@@ -16,6 +16,7 @@ from plumbline.session import scratch_path
 from plumbline.sources import files as SF
 from plumbline.sources import tables as ST
 from plumbline.streaming import intake as I
+from plumbline.streaming import stateful as T
 
 
 @query(f"""WITH {S.FILES}, e AS (SELECT *, {EXT} AS ext FROM files),
@@ -170,3 +171,44 @@ def event_log_stream(spark, sf):
     rows = spark.read.parquet(f"{out}/rows")
     last = rows.groupBy("window_start", "user_id").agg(F.max_by(F.struct("total", "errors", "warnings"), "batch").alias("v"))
     return last.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "user_id", "v.*")
+
+
+# --- keyed state --------------------------------------------------------------------------------------
+
+OUTCOMES = """o AS (SELECT event_id // 4 AS file_id, event_id, ts, CASE event_type WHEN 'click' THEN NULL WHEN 'error' THEN 'defekt' ELSE 'Zeit: ' || event_type END AS error,
+    event_type NOT IN ('click', 'error') AS again, row_number() OVER w AS i, count(*) FILTER (event_type NOT IN ('click', 'error')) OVER w AS failures
+    FROM events WINDOW w AS (PARTITION BY event_id // 4 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+  e AS (SELECT file_id, coalesce(min(i) FILTER (error IS NULL OR NOT again OR failures > 2), max(i)) AS last FROM o GROUP BY 1),
+  s AS (SELECT o.file_id, o.i::INT AS attempts, o.error, CASE WHEN error IS NULL THEN 'done' WHEN NOT again THEN 'failed' WHEN failures > 2 THEN 'given up' ELSE 'waiting' END AS status,
+    time_bucket(INTERVAL 1 MILLISECOND, ts) + INTERVAL 1 HOUR AS next_at FROM o JOIN e ON o.file_id = e.file_id AND o.i = e.last)"""
+
+
+@query(f"""WITH {OUTCOMES} SELECT file_id, CASE WHEN status = 'waiting' AND next_at <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY THEN 'due' ELSE status END AS status,
+  attempts, error FROM s""")
+def file_retries(spark, sf):
+    """Events as attempts of files: what each file's state is after all of them, and which retries are due."""
+    out = scratch_path(spark, "retries")
+    events = I.read_drop_folder(spark, sf, "event_id bigint, ts timestamp, event_type string", name_filter="events.parquet")
+    kind = F.col("event_type")
+    error = F.when(kind == "click", None).when(kind == "error", "defekt").otherwise(F.concat(F.lit("Zeit: "), kind))
+    outcomes = events.select(F.floor(F.col("event_id") / 4).cast("long").alias("file_id"), F.col("event_id").alias("attempt_id"), F.col("ts").alias("at"),
+                             error.alias("error"), (~kind.isin("click", "error")).alias("retryable"))
+    T.write_batches(T.retry_states(outcomes, 2, "1 hour", "1 day"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return T.latest_states(spark, f"{out}/rows").select("file_id", "status", "attempts", "error")
+
+
+@query(f"""WITH {LOG}, w AS (SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS total,
+    count(*) FILTER (contains(lower(message), 'error') OR contains(lower(message), 'failed')) AS errors, count(*) FILTER (contains(lower(message), 'warn')) AS warnings FROM log GROUP BY 1, 2)
+  SELECT user_id, strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, total, errors, warnings,
+    window_start + INTERVAL 1 HOUR <= max_at - INTERVAL 12 HOUR AS closed FROM w JOIN (SELECT user_id, time_bucket(INTERVAL 1 MILLISECOND, max(ts)) AS max_at FROM log GROUP BY 1) USING (user_id)""")
+def log_windows_closed(spark, sf):
+    """Every entry is saved twice and counted once; windows that the log has left far behind are closed."""
+    out = scratch_path(spark, "windows")
+    events = I.read_drop_folder(spark, sf, "event_id bigint, ts timestamp, user_id bigint, event_type string", name_filter="events.parquet")
+    t = F.col("event_type")
+    message = F.when(t == "error", "Request FAILED").when(t == "view", "Warning: slow").when(t == "click", "error and warn").otherwise(t)
+    entries = events.select(F.col("user_id").alias("fileId"), F.col("ts").alias("at"), message.alias("message"), F.col("event_id").cast("string").alias("entry"),
+                            F.explode(F.sequence(F.lit(1), F.lit(2))).alias("saved"))
+    T.write_batches(T.log_windows(entries, "1 hour", "12 hours"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    counts = T.window_counts(spark, f"{out}/rows")
+    return counts.select(F.col("fileId").alias("user_id"), F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "total", "errors", "warnings", "closed")
