@@ -255,7 +255,8 @@ def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
 
 SAMPLE = 5000  # rows that show which shingles are common; only the order and dealing of shingles depends on it, no result
 MOST_COMMON = 100_000
-FINEST = 16  # bits of a sketch's finest buckets
+FINEST = 16  # bits of a sketch's finest ranges
+BRIEF = 128  # ranges of the sketches that go into the buckets
 
 
 def shingle_set(raw: bytes, width: int) -> np.ndarray:
@@ -279,6 +280,45 @@ def least_difference(a: bytes | None, b: bytes | None) -> int:
     return int(np.abs(x.reshape(size, -1).sum(1) - y.reshape(size, -1).sum(1)).sum())
 
 
+def brief(counts: bytes | None) -> bytes | None:
+    """The sketch with at most BRIEF ranges, neighbours added up; None if a byte is too small for that."""
+    if counts is None or len(counts) <= BRIEF:
+        return counts
+    wide = np.frombuffer(counts, np.uint8).reshape(BRIEF, -1).sum(1)
+    return wide.astype(np.uint8).tobytes() if wide.max() < 256 else None
+
+
+class Sketches:
+    """Sketches of many sets: by how many hashes any two of them differ at least."""
+
+    def __init__(self, sketches: np.ndarray):
+        self.size = np.fromiter((0 if s is None else len(s) for s in sketches), np.int64, len(sketches))
+        self.place, self.counts, self.levels = np.zeros(len(sketches), np.int64), {}, {}
+        for m in np.unique(self.size[self.size > 0]).tolist():
+            rows = np.flatnonzero(self.size == m)
+            self.counts[m] = rows, np.frombuffer(b"".join(sketches[rows]), np.uint8).reshape(-1, m)
+
+    def _level(self, m: int) -> np.ndarray:
+        """Counts of all sets in m ranges; those with fewer ranges are not filled."""
+        if m not in self.levels:
+            out = np.zeros((len(self.size), m), np.int16)
+            for size, (rows, counts) in self.counts.items():
+                if size >= m:
+                    out[rows] = counts.reshape(len(rows), m, -1).sum(2)
+            self.levels[m] = out
+        return self.levels[m]
+
+    def differ(self, a: np.ndarray, b: np.ndarray, room: int = 1 << 20) -> np.ndarray:
+        out = np.zeros(len(a), np.int64)
+        coarser = np.minimum(self.size[a], self.size[b])
+        for m in np.unique(coarser[coarser > 0]).tolist():
+            counts, on = self._level(m), np.flatnonzero(coarser == m)
+            for at in range(0, len(on), max(1, room // m)):
+                some = on[at:at + max(1, room // m)]
+                out[some] = np.abs(counts[a[some]] - counts[b[some]]).sum(1)
+        return out
+
+
 def _keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("text").alias("key"), F.encode(F.col("text").cast("string"), "UTF-8").alias("raw"))
 
@@ -411,7 +451,7 @@ def bucket_portions(batches: Iterator[pa.RecordBatch], bucket: list[str], room:
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append({name: batch.column(name).to_numpy() for name in batch.schema.names})
+        held.append({name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names})
         count += batch.num_rows
         if count >= room and any(held[0][c][0] != held[-1][c][-1] for c in bucket):
             rows = joined()
@@ -478,7 +518,7 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius:
     Texts meet in buckets of shared rare shingles. First each meets the hub of its bucket; what is then not linked
     meets through the Gray index over the bucket, by fingerprints of the sets at most `radius` bits apart: of 40 000
     random pairs with a Jaccard of 0.80 to 0.82 the farthest were 25 bits apart. Sizes and sketches rule out most
-    pairs before any text is fetched. A bucket that was split meets bucket by bucket, so no task indexes more than
+    pairs, in the bucket already, before any text is fetched. A bucket that was split meets bucket by bucket, so no task indexes more than
     some `room` rows twice. Null and empty texts are one group; rows with equal texts are one text.
     """
     bucket = ["token", "low", "high"]
@@ -489,19 +529,20 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius:
         for batch in batches:
             sets = [shingle_set(x or b"", width) for x in batch.column("raw").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([majority(x) for x in sets], pa.uint64()).view(pa.int64()),
-                                              pa.array(map(len, sets), pa.int64()), pa.array(map(sketch, sets), pa.binary())], ["key", "fp", "n", "sketch"])
+                                              pa.array(map(len, sets), pa.int64()), pa.array(map(sketch, sets), pa.binary()),
+                                              pa.array([brief(sketch(x)) for x in sets], pa.binary())], ["key", "fp", "n", "sketch", "brief"])
 
     members = _distinct_texts(docs, shared.select(F.col("key").alias("m")).distinct())
-    sketches = cut_lineage(members.mapInArrow(measure, "key long, fp long, n long, sketch binary").dropDuplicates(["key"]), "sketches")
+    sketches = cut_lineage(members.mapInArrow(measure, "key long, fp long, n long, sketch binary, brief binary").dropDuplicates(["key"]), "sketches")
     stars = shared.where("key <> hub").select(F.col("hub").alias("u"), F.col("key").alias("v")).distinct()
     stars = cut_lineage(possible_pairs(stars, sketches, least), "stars")
     linked = similar_pairs(stars, docs, width, least)
     labels = cut_lineage(connected_components(linked), "labels")
 
-    sizes = sketches.select(F.col("key").alias("k"), "fp", "n")
+    sizes = sketches.select(F.col("key").alias("k"), "fp", "n", "brief")
     keyed = shared.join(sizes, F.col("key") == F.col("k")).join(labels, F.col("key") == F.col("node"), "left")
     keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)))
-    keyed = keyed.select("token", F.least("sub", "other").alias("low"), F.greatest("sub", "other").alias("high"), "sub", "key", "fp", "n", F.coalesce("root", "key").alias("label"))
+    keyed = keyed.select("token", F.least("sub", "other").alias("low"), F.greatest("sub", "other").alias("high"), "sub", "key", "fp", "n", "brief", F.coalesce("root", "key").alias("label"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in bucket_portions(batches, bucket, room):
@@ -510,10 +551,13 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius:
                 change[1:] |= held[c][1:] != held[c][:-1]
             index = GrayIndex(np.cumsum(change), held["fp"].view(np.uint64))
             key, n, label, sub, within = (x[index.order] for x in (held["key"], held["n"], held["label"], held["sub"], held["low"] == held["high"]))
+            sketches_here = Sketches(held["brief"][index.order])
             for a, b in index.near_pairs(radius, lambda: label):  # noqa: B023
                 here = (label[a] != label[b]) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9)
                 here &= within[a] | (sub[a] != sub[b])  # pairs of one part meet in its own bucket
-                a, b = key[a[here]], key[b[here]]
+                a, b = a[here], b[here]
+                near = sketches_here.differ(a, b) <= (1 - least) / (1 + least) * (n[a] + n[b]) + 1e-9
+                a, b = key[a[near]], key[b[near]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
 
     met = by_bucket(keyed, bucket, ["key"]).mapInArrow(meet, "u long, v long").distinct()

@@ -252,7 +252,7 @@ def test_diagram_is_shared_and_swaps_keep_its_weights():
 
 def test_sketches_never_rule_out_a_similar_pair():
     r = np.random.default_rng(1)
-    ruled_out = 0
+    ruled_out, sets = 0, []
     for _ in range(400):
         n = int(r.integers(1, 400))
         shared = r.integers(0, 2**63, n).astype(np.uint64)
@@ -262,7 +262,13 @@ def test_sketches_never_rule_out_a_similar_pair():
         assert differ <= len(a) + len(b) - 2 * both
         ruled_out += differ > (len(a) + len(b)) / 9
         assert not (differ > (len(a) + len(b)) / 9 + 1e-9 and both >= 0.8 * (len(a) + len(b) - both))
+        sets += [a, b]
     assert ruled_out > 100
+    kept = [simhash.brief(simhash.sketch(x)) for x in sets]
+    kept[3] = None
+    a, b = r.integers(0, len(sets), (2, 3000))
+    got = simhash.Sketches(np.array(kept, object)).differ(a, b, room=500)
+    assert got.tolist() == [simhash.least_difference(kept[x], kept[y]) for x, y in zip(a, b, strict=True)]
 
 
 def test_meeting_rows_over_any_batches():
