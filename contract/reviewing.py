@@ -6,7 +6,9 @@ from contract import query
 from contract import standins as S
 from contract.scalars import any_sql
 from plumbline.functions import vocabulary as V
+from plumbline.operators.ordered import as_of
 from plumbline.plans import review as L
+from plumbline.session import scratch_path
 
 
 @query(f"WITH {S.PASSAGES} SELECT project_id, pos, file, para, marked FROM corpus")
@@ -14,16 +16,6 @@ def review_corpus(spark, sf):
     return L.corpus(S.passages(spark, sf)).select("project_id", "pos", "file", F.col("para").cast("long").alias("para"), "marked")
 
 
-@query(f"""WITH {S.PASSAGES}, alt AS (SELECT p_partkey AS project_id, p_partkey AS pos, p_type AS file, p_name AS content FROM part),
-  few AS (SELECT * FROM corpus WHERE project_id % 2 = 0)
-  SELECT project_id, pos, marked FROM few UNION ALL SELECT project_id, pos, '[Datei: ' || file || ']' || chr(10) || content FROM alt WHERE project_id NOT IN (SELECT project_id FROM few)""")
-def review_corpus_fallback(spark, sf):
-    """Projects without passages take the texts of their requirements and services."""
-    alt = S.read(spark, sf, "part").select(F.col("p_partkey").alias("project_id"), F.col("p_partkey").alias("pos"), F.col("p_type").alias("file"),
-                                           F.lit(None).cast("int").alias("para"), F.col("p_name").alias("content"))
-    return L.corpus(S.passages(spark, sf).filter("project_id % 2 = 0"), alt).select("project_id", "pos", "marked")
-
-
 @query(f"""WITH {S.PASSAGES}, alt AS (SELECT p_partkey * 10 AS project_id, p_partkey AS pos, p_type AS file, p_name AS content FROM part)
   SELECT project_id, pos, marked FROM corpus UNION ALL SELECT project_id, pos, '[Datei: ' || file || ']' || chr(10) || content FROM alt WHERE project_id NOT IN (SELECT project_id FROM corpus)""")
 def review_corpus_whole(spark, sf):
@@ -195,3 +187,31 @@ def review_history(spark, sf):
 @query("SELECT o_custkey AS project_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS review_id, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM orders GROUP BY 1")
 def latest_review(spark, sf):
     return L.latest_review(_reviews(spark, sf)).select("project_id", "review_id", F.col("o_orderstatus").alias("status"))
+
+
+@query(f"""WITH {S.PASSAGES}, u AS (SELECT project_id, file AS unit, sum(length(marked)) + 2 * (count(*) - 1) AS n FROM corpus GROUP BY 1, 2)
+  SELECT project_id, unit, CASE WHEN n % 5 <> 0 THEN n END::VARCHAR AS response, n % 5 = 0 AS failed FROM u""")
+def unit_analysis_resumed(spark, sf):
+    """A first run answers the units of even length, a second one asks for the rest only; some units fail each time."""
+    def measure(pairs, odd=True):
+        if any(len(t) % 5 == 0 or (len(t) % 2 and not odd) for _, t in pairs):
+            raise ValueError("no answer")
+        return [str(len(t)) for _, t in pairs]
+
+    units = L.document_text(L.corpus(S.passages(spark, sf))).select("project_id", F.lit("document").alias("pass"), F.col("file").alias("unit"), "part", "text")
+    ledger = scratch_path(spark, "ledger")
+    L.analyse_with_ledger(units, lambda pairs: measure(pairs, odd=False), ledger)
+    return L.analyse_with_ledger(units, measure, ledger).select("project_id", "unit", "response", F.col("error").isNotNull().alias("failed"))
+
+
+AS_OF = """l AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 10 END AS g, o_orderdate AS at FROM orders),
+  r AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_suppkey % 10 END AS g, l_shipdate AS at, max(l_orderkey) AS v FROM lineitem GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {AS_OF} SELECT l.o_orderkey, l.g, strftime(r.at, '%Y-%m-%d') AS shipped, r.v AS last_order FROM l ASOF LEFT JOIN r ON l.g = r.g AND l.at >= r.at""")
+def last_shipment_before(spark, sf):
+    """For each order the last shipment of its group on or before its day; one group holds a third of both tables."""
+    left = S.read(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(F.col("o_custkey") % 10).alias("g"), F.col("o_orderdate").alias("at"))
+    right = S.read(spark, sf, "lineitem").select(F.when(F.col("l_orderkey") % 3 == 0, 0).otherwise(F.col("l_suppkey") % 10).alias("g"), F.col("l_shipdate").alias("at"), F.col("l_orderkey").alias("v"))
+    out = as_of(left, right, ["g"], "at", {"at": "since", "v": "last_order"}, "v")
+    return out.select("o_orderkey", "g", F.date_format("since", "yyyy-MM-dd").alias("shipped"), "last_order")

@@ -142,14 +142,15 @@ def specification_limits(spark, sf):
     ).select("project_id", "rule_id", "entity_id", "pos")
 
 
-@query(f"""WITH {S.SERVICES}, demands(phase, demand) AS (VALUES
+@query(f"""WITH {S.SERVICES}, {S.PROJECTS}, demands(phase, demand) AS (VALUES
     ('SIA 103 - Projektierung', 'Projektanalyse'), ('SIA 103 - Projektierung', 'Raumanalyse'), ('SIA 103 - Projektierung', 'Konzeptentwicklung'),
     ('SIA 104 - Vorprojekt', 'Vorprojekt'), ('SIA 104 - Vorprojekt', 'Kostenplanung'), ('SIA 104 - Vorprojekt', 'Terminplanung'),
     ('SIA 105 - Bauprojekt', 'Bauprojekt'), ('SIA 105 - Bauprojekt', 'Ausschreibung'), ('SIA 105 - Bauprojekt', 'Vergabe'))
-  SELECT p.project_id, d.phase, d.demand FROM (SELECT DISTINCT project_id FROM services) p, demands d
-  WHERE NOT EXISTS (SELECT 1 FROM services s WHERE s.project_id = p.project_id AND contains(coalesce(s.phase, ''), d.phase) AND contains(s.text, d.demand))""")
+  SELECT p.id AS project_id, d.phase, d.demand FROM projects p, demands d
+  WHERE NOT EXISTS (SELECT 1 FROM services s WHERE s.project_id = p.id AND contains(coalesce(s.phase, ''), d.phase) AND contains(s.text, d.demand))""")
 def required_services_missing(spark, sf):
-    return V.missing_services(S.services(spark, sf))
+    """Projects without any service lack all that is demanded."""
+    return V.missing_services(S.services(spark, sf), projects=S.projects(spark, sf))
 
 
 def model(spark, sf):

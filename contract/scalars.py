@@ -158,25 +158,6 @@ def plan_symbol_counts(spark, sf):
     return plan_symbols(plan_pages(spark, sf)).groupBy("file_id", "entity", "kind", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {PLAN} SELECT file_id, entity, kind, name, strpos(text, name) - 1 AS position FROM (
-    SELECT p.file_id, p.text, 'geraet' AS entity, 'heizkoerper' AS kind, 'heizkörper' AS name FROM plan p UNION ALL
-    SELECT p.file_id, p.text, 'geraet', 'lueftungsauslass', 'Zuluft' FROM plan p UNION ALL
-    SELECT p.file_id, p.text, 'anlage', 'lueftungsanlage', 'lüa' FROM plan p)""")
-def plan_symbol_positions(spark, sf):
-    from plumbline.plans.extract_text import plan_symbols
-    return plan_symbols(plan_pages(spark, sf)).filter(F.col("name").isin("heizkörper", "Zuluft", "lüa")).select(
-        "file_id", "entity", "kind", "name", F.col("position").cast("long").alias("position"))
-
-
-@query(f"""WITH {PLAN} SELECT file_id, (file_id % 50) || 'A' AS number, ((file_id % 90) || '.5')::DOUBLE AS area_m2, 'first' AS which FROM plan""")
-def plan_first_areas(spark, sf):
-    """The area right after a space label belongs to that label."""
-    from plumbline.plans.extract_text import plan_areas
-    rows = plan_areas(plan_pages(spark, sf))
-    first = rows.groupBy("file_id").agg(F.min_by(F.struct("number", "area_m2"), "position").alias("f"))
-    return first.select("file_id", "f.number", "f.area_m2", F.lit("first").alias("which"))
-
-
 PLACES_SQL = " UNION ALL ".join(
     f"SELECT file_id, '{entity}' AS entity, '{kind}' AS kind, regexp_extract_all(text, '(?i){p}', 0) AS found, string_split_regex(text, '(?i){p}') AS between, "
     f"unnest(range(1, len(regexp_extract_all(text, '(?i){p}', 0)) + 1)) AS nth FROM plan" for kind, (entity, p) in V.PLAN_SYMBOLS.items())

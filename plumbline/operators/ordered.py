@@ -99,6 +99,28 @@ def running_sum(df: DataFrame, keys: Sequence[str], pos: str, value: Column, nam
     return with_carry(df, keys, pos, {name: spec}, width)
 
 
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, columns: Mapping[str, str], tie: str | None = None,
+          width: int = WIDTH) -> DataFrame:
+    """Each row of `left` with the columns of the last row of `right` with its keys at or before its time, null if there is none.
+
+    columns: column of `right` -> name in the result. Of rows of `right` with one time, the one with the largest `tie`
+    counts. Both tables may have any size, and one group any part of them: the rows are put into one order, cut into
+    stretches, and only one row a stretch is carried on. A null key or time finds nothing.
+    """
+    keys = list(keys)
+    names = [F.col(c).alias(f"_k_{c}") for c in keys]
+    found = F.struct(*[F.col(c).alias(name) for c, name in columns.items()])
+    order = F.col(tie) if tie else F.lit(None).cast("long")
+    known = right.dropna(subset=[*keys, at]).select(*names, F.col(at).alias("_at"), F.lit(0).alias("_side"), order.alias("_tie"), found.alias("_right"))
+    asked = left.select(*names, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_left"))
+    both = known.unionByName(asked, allowMissingColumns=True)
+    groups = [f"_k_{c}" for c in keys]
+    ranked = dense_ranks(both, [*groups, "_at", "_side", "_tie"], groups, "_place")
+    filled = fill_down(ranked, groups, "_place", F.col("_right"), "_last", width).filter("_side = 1")
+    last = F.when(F.col("_at").isNotNull(), F.col("_last"))
+    return filled.select("_left.*", *[last[name].alias(name) for name in columns.values()])
+
+
 def renumber(df: DataFrame, keys: Sequence[str], pos: str, name: str, width: int = WIDTH) -> DataFrame:
     """1..n in order within each group."""
     return running_sum(df, keys, pos, F.lit(1).cast("long"), name, width)

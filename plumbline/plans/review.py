@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import traceback
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -103,6 +104,66 @@ def analyse(units: DataFrame, analyser: Callable[[str, str], str]) -> DataFrame:
     return units.select("project_id", "pass", "unit", "part", "text").mapInPandas(run, schema)
 
 
+ANALYSED = "key string, response string, error string, wave int, run string"
+
+
+def unit_key() -> Column:
+    """What a unit's answer depends on: pass, unit and text."""
+    return F.sha2(F.to_json(F.struct("pass", "unit", "text")), 256)
+
+
+def analyse_with_ledger(units: DataFrame, analyser: Callable[[list[tuple[str, str]]], list[str]], ledger: str,
+                        units_per_call: int = 16, units_per_wave: int = 10_000) -> DataFrame:
+    """Like analyse, but what is answered stays answered: (project_id, pass, unit, part, response, error).
+
+    analyser gets a list of (unit, text) and returns as many answers. The units go in waves of some `units_per_wave`,
+    each appended to the ledger below `ledger` once it is done, so a run that breaks off repeats the calls of one
+    wave at most, and a lost executor those of its part of it. Units with equal pass, unit and text count once. If
+    a call fails its units are asked one by one, so an error is kept for the units that caused it; a later run asks
+    these again and nothing else. Null units and texts are passed on as None.
+    """
+    spark = units.sparkSession
+    keyed = cut_lineage(units.select("project_id", "pass", "unit", "part", "text", unit_key().alias("key")), "units")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def answered() -> DataFrame:
+        return spark.read.schema(ANALYSED).parquet(ledger) if files.exists(at) else spark.createDataFrame([], ANALYSED)
+
+    def ask(pairs: list[tuple[str, str]]) -> Iterator[tuple[str | None, str | None]]:
+        try:
+            answers = analyser(pairs)
+            if len(answers) != len(pairs):
+                raise ValueError(f"{len(answers)} answers for {len(pairs)} units")
+            yield from ((x, None) for x in answers)
+        except Exception:
+            if len(pairs) == 1:
+                yield None, traceback.format_exc(limit=1)
+            else:
+                for pair in pairs:
+                    yield from ask([pair])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pairs = [(None if pd.isna(u) else u, None if pd.isna(t) else t) for u, t in zip(batch["unit"], batch["text"], strict=True)]
+            found = [x for k in range(0, len(pairs), units_per_call) for x in ask(pairs[k:k + units_per_call])]
+            yield pd.DataFrame({"key": batch["key"], "response": pd.Series([a for a, _ in found], dtype=object), "error": pd.Series([e for _, e in found], dtype=object)})
+
+    done = answered().filter("error is null").select("key")
+    todo = cut_lineage(keyed.select("key", "unit", "text").dropDuplicates(["key"]).join(done, "key", "left_anti"), "todo")
+    waves = -(-todo.count() // units_per_wave)
+    name = uuid.uuid4().hex
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for wave in range(waves):
+        rows = todo.filter(F.pmod(F.xxhash64("key"), F.lit(waves)) == wave).repartition(parts)
+        found = rows.mapInPandas(run, "key string, response string, error string")
+        found.select("*", F.lit(wave).alias("wave"), F.lit(name).alias("run")).write.mode("append").parquet(ledger)
+    # an answer counts, else the last error
+    state = answered().groupBy("key").agg(F.max("response").alias("response"), F.max_by("error", F.col("run") == name).alias("error"))
+    state = state.select("key", "response", F.when(F.col("response").isNull(), F.col("error")).alias("error"))
+    return keyed.join(state, "key").select("project_id", "pass", "unit", "part", "response", "error")
+
+
 ANSWER = "allgemeine_einschaetzung string, kritische_punkte array<string>, _corrupt_record string"
 POINT = ("nummer string, titel string, zitat string, beurteilung string, risiko_rating string, empfehlung string, "
          "quelle_datei string, quelle_paragraph string")

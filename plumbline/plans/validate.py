@@ -240,14 +240,19 @@ def required_field_rules(fields: Sequence[str], rule: str, severity: str, noun:
               _txt(f"Bitte '{f}' für {noun}", F.col("id"), " ergänzen"), _files(), F.col("id"))) for f in fields]
 
 
-def missing_services(services: DataFrame, spec: Mapping = V.OFFER_SPEC) -> DataFrame:
-    """J16: services a phase demands that no item of the project provides in that phase."""
+def missing_services(services: DataFrame, spec: Mapping = V.OFFER_SPEC, projects: DataFrame | None = None) -> DataFrame:
+    """J16: services a phase demands that no item of the project provides in that phase.
+
+    `projects` (id) names the projects to look at: one without any service lacks all of them. Without it only
+    projects with services are known.
+    """
     demands = F.array(*[
         F.struct(F.lit(p["phase"]).alias("phase"), F.lit(d).alias("demand"))
         for p in spec["sia_phasen"] for d in p["erforderliche_leistungen"]])
     met = services.select("project_id", F.explode(F.filter(demands, lambda d: F.contains(
         F.coalesce(F.col("phase"), F.lit("")), d["phase"]) & F.contains(F.col("text"), d["demand"]))).alias("d")).distinct()
-    wanted = services.select("project_id").distinct().select("project_id", F.explode(demands).alias("d"))
+    known = services.select("project_id") if projects is None else projects.select(F.col("id").alias("project_id"))
+    wanted = known.distinct().select("project_id", F.explode(demands).alias("d"))
     return wanted.join(met, ["project_id", "d"], "left_anti").select("project_id", "d.phase", "d.demand")
 
 

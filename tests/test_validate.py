@@ -99,6 +99,8 @@ def test_all_rules_verdicts_and_questions(spark):
     assert [(r.priority, r.entity_id) for r in q] == [("kritisch", "R1"), ("wichtig", "G"), ("wichtig", "T")]
     missing = {(r.phase, r.demand) for r in Val.missing_services(m["services"]).collect()}
     assert len(missing) == 8 and ("SIA 103 - Projektierung", "Projektanalyse") not in missing
+    everyone = m["projects"].select("id").unionByName(spark.createDataFrame([(77,)], "id long"))
+    assert Val.missing_services(m["services"], projects=everyone).filter("project_id = 77").count() == 9
 
 
 def test_rows_without_reference_id_texts(spark):
