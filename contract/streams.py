@@ -1,6 +1,8 @@
 """Sources, sinks and incremental jobs, on data that Spark derives from the given tables."""
 
 import io
+import json
+import os
 import zipfile
 
 import pandas as pd
@@ -14,6 +16,7 @@ from plumbline import schema
 from plumbline.functions import vocabulary as V
 from plumbline.session import scratch_path
 from plumbline.sources import files as SF
+from plumbline.sources import log_documents as LD
 from plumbline.sources import tables as ST
 from plumbline.streaming import intake as I
 from plumbline.streaming import stateful as T
@@ -212,3 +215,29 @@ def log_windows_closed(spark, sf):
     T.write_batches(T.log_windows(entries, "1 hour", "12 hours"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     counts = T.window_counts(spark, f"{out}/rows")
     return counts.select(F.col("fileId").alias("user_id"), F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "total", "errors", "warnings", "closed")
+
+
+@query("""SELECT user_id % 20 AS file_id, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) - 1 AS idx, event_type AS message, props AS data, 2::BIGINT AS readings FROM events""")
+def log_documents_resaved(spark, sf):
+    """Each log document is saved with half of its entries, taken by a stream, saved again under its name, and taken again."""
+    out = scratch_path(spark, "saved").removeprefix("file:")
+    events = S.read(spark, sf, "events").select((F.col("user_id") % 20).alias("file"), "event_id", "event_type", "props")
+
+    def save(rows):
+        doc = {"fileId": int(rows["file"].iat[0]), "filename": "log", "logs": [
+            {"timestamp": None, "message": m, "data": d} for m, d in zip(*(rows.sort_values("event_id")[c] for c in ("event_type", "props")), strict=True)]}
+        path = f"{out}/logs/{doc['fileId']}.json"
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(f"{path}.part", "w", encoding="utf-8") as f:
+            json.dump(doc, f)
+        os.replace(f"{path}.part", path)
+        return pd.DataFrame({"n": [len(rows)]})
+
+    for part in (events.filter("event_id % 2 = 0"), events):
+        part.groupBy("file").applyInPandas(save, "n long").agg(F.sum("n")).collect()
+        stream = LD.stream_log_documents(spark, f"{out}/logs").writeStream.option("checkpointLocation", f"{out}/check").format("parquet").start(f"{out}/rows")
+        stream.processAllAvailable()
+        stream.stop()
+    rows = spark.read.schema(LD.ROW).parquet(f"{out}/rows")
+    readings = rows.groupBy("path").agg(F.countDistinct("modified").alias("readings"))
+    return LD.newest_save(rows).join(readings, "path").select(F.col("fileId").alias("file_id"), F.col("idx").cast("long").alias("idx"), "message", "data", "readings")
