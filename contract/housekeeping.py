@@ -9,6 +9,7 @@ from plumbline.operators import ordered as O
 from plumbline.plans import lifecycle as L
 from plumbline.plans import merge as M
 from plumbline.plans import reports as R
+from plumbline.session import scratch_path
 
 
 @query(f"WITH {S.FILES} SELECT file_id, name FROM files WHERE NOT processed")
@@ -141,6 +142,15 @@ def project_listing(spark, sf):
     return L.listing(S.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), "id", 20, 50)
 
 
+@query("SELECT id, balance, place FROM (SELECT c_custkey AS id, c_acctbal AS balance, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer) WHERE place BETWEEN 101 AND 160")
+def project_listing_page(spark, sf):
+    """A page far into a sorted listing, found by the counts of its partitions."""
+    path = scratch_path(spark, "listing")
+    rows = S.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
+    L.write_listing(rows, [F.desc("balance"), F.asc("id")], path)
+    return L.listing_page(spark, path, "id bigint, balance double", 100, 60)
+
+
 def _placed(rows):
     """Sorted rows with their place from 1."""
     at = O.dense_ranks(rows.withColumn("_m", F.monotonically_increasing_id()), ["_m"], [], "place")

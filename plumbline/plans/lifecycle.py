@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
@@ -146,6 +146,37 @@ def listing(df: DataFrame, key: str = "id", skip: int = 0, limit: int = 100) ->
     return df.orderBy(key).offset(skip).limit(limit)
 
 
+def write_listing(df: DataFrame, order: Sequence[Column], path: str) -> None:
+    """Lay out rows in the given order for listing_page: one range of the order to each partition, and their counts.
+
+    Rows that are equal in `order` are listed in any, but fixed, order.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    laid = laid.withColumns({"_part": F.shiftrightunsigned("_row", 33).cast("int"), "_at": F.col("_row").bitwiseAND((1 << 33) - 1)})
+    laid.drop("_row").write.partitionBy("_part").parquet(f"{path}/rows")
+    spark.read.schema("_part int").parquet(f"{path}/rows").groupBy("_part").agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.parquet(f"{path}/counts")
+
+
+def listing_page(spark: SparkSession, path: str, schema: str, skip: int = 0, limit: int = 100) -> DataFrame:
+    """Rows `skip` + 1 to `skip` + `limit` of a written listing, with their `place` from 1.
+
+    The counts, a number for each partition, say which partitions hold the page: only these are read, however far
+    on it is.
+    """
+    counts = spark.read.schema("_part int, n bigint").parquet(f"{path}/counts").orderBy("_part").collect()
+    base, before = {}, 0
+    for part, n in counts:
+        if before < skip + limit and before + n > skip:
+            base[part] = before
+        before += n
+    rows = spark.read.schema(f"{schema}, _at bigint, _part int").parquet(f"{path}/rows").filter(F.col("_part").isin(list(base)))
+    first = F.coalesce(*[F.when(F.col("_part") == part, F.lit(n).cast("long")) for part, n in base.items()], F.lit(0).cast("long"))
+    placed = rows.withColumn("place", first + F.col("_at") + 1).drop("_at", "_part")
+    return placed.filter((F.col("place") > skip) & (F.col("place") <= skip + limit)).orderBy("place")
+
+
 def sort_projects(projects: DataFrame, field: str, ascending: bool = True) -> DataFrame:
     """Order by date, or by name, number, location or status in German order; missing text is empty."""
     if field == "date":

@@ -226,3 +226,16 @@ def test_log_stream(spark, tmp_path):
     I.append_stream(counts, f"{out}/rows", f"{out}/cp").awaitTermination()
     got = sorted((str(r.window_start), r.total, r.errors) for r in spark.read.parquet(f"{out}/rows").collect())
     assert got == [("2026-01-01 10:00:00", 2, 1), ("2026-01-01 10:01:00", 2, 1)]
+
+
+def test_a_page_reads_its_partitions_only(spark, tmp_path):
+    rows = spark.range(1000).select(F.col("id"), (F.col("id") % 7).alias("key"))
+    L.write_listing(rows, [F.desc("key"), F.asc("id")], str(tmp_path / "list"))
+    want = sorted(((-(i % 7), i) for i in range(1000)))
+    for skip, limit in ((0, 5), (480, 40), (990, 100), (5000, 10), (0, 1000)):
+        page = L.listing_page(spark, str(tmp_path / "list"), "id bigint, key bigint", skip, limit)
+        assert [(r.id, r.place) for r in page.collect()] == [(i, skip + k + 1) for k, (_, i) in enumerate(want[skip:skip + limit])]
+    plan = L.listing_page(spark, str(tmp_path / "list"), "id bigint, key bigint", 0, 5)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "_part" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    L.write_listing(rows.limit(0), [F.asc("id")], str(tmp_path / "none"))
+    assert L.listing_page(spark, str(tmp_path / "none"), "id bigint, key bigint").count() == 0
