@@ -21,4 +21,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from contract import extraction, housekeeping, merging, reporting, resolution, reviewing, rules, scalars, streams  # noqa: F401
+    from contract import decoded, extraction, housekeeping, merging, reporting, resolution, reviewing, rules, scalars, streams  # noqa: F401
