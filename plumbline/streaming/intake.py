@@ -15,10 +15,10 @@ from plumbline.plans.merge import in_arrival_order
 
 def read_drop_folder(spark: SparkSession, path: str, row_schema: str, fmt: str = "parquet", files_per_batch: int = 1000,
                      name_filter: str | None = None) -> DataFrame:
+    """Files of the folder as they arrive. `name_filter`, a glob, takes the files of that name and those in folders of that name."""
     reader = spark.readStream.schema(row_schema).format(fmt).option("maxFilesPerTrigger", files_per_batch)
-    if name_filter:
-        reader = reader.option("pathGlobFilter", name_filter)
-    return reader.load(path)
+    # braces make any name a pattern: a stream takes a plain path for a folder, and a table may be one file
+    return reader.load(f"{path}/{{{name_filter}}}" if name_filter else path)
 
 
 def read_upload_folder(spark: SparkSession, path: str) -> DataFrame:

@@ -239,3 +239,17 @@ def test_a_page_reads_its_partitions_only(spark, tmp_path):
     assert "PartitionFilters: [" in plan and "_part" in plan.split("PartitionFilters: [")[1].split("]")[0]
     L.write_listing(rows.limit(0), [F.asc("id")], str(tmp_path / "none"))
     assert L.listing_page(spark, str(tmp_path / "none"), "id bigint, key bigint").count() == 0
+
+
+def test_drop_folder_takes_a_table_of_one_file_and_of_many(spark, tmp_path):
+    from plumbline.streaming import intake as I
+    rows = spark.createDataFrame([(k, f"t{k}") for k in range(6)], "doc_id long, text string")
+    rows.repartition(3).write.parquet(f"{tmp_path}/many/documents.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/raw")
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "raw").glob("part-*.parquet")).rename(tmp_path / "one" / "documents.parquet")
+    for kind in ("many", "one"):
+        rows.write.parquet(f"{tmp_path}/{kind}/other.parquet")
+        docs = I.read_drop_folder(spark, f"{tmp_path}/{kind}", "doc_id bigint, text string", name_filter="documents.parquet")
+        I.append_stream(docs, f"{tmp_path}/{kind}-out", f"{tmp_path}/{kind}-check").awaitTermination()
+        assert sorted(r.doc_id for r in spark.read.parquet(f"{tmp_path}/{kind}-out").collect()) == list(range(6))
