@@ -242,7 +242,6 @@ def test_a_page_reads_its_partitions_only(spark, tmp_path):
 
 
 def test_drop_folder_takes_a_table_of_one_file_and_of_many(spark, tmp_path):
-    from plumbline.streaming import intake as I
     rows = spark.createDataFrame([(k, f"t{k}") for k in range(6)], "doc_id long, text string")
     rows.repartition(3).write.parquet(f"{tmp_path}/many/documents.parquet")
     rows.coalesce(1).write.parquet(f"{tmp_path}/raw")

@@ -83,3 +83,22 @@ def test_empty_stream(spark, tmp_path, make):
     spark.createDataFrame([], ENTRY).write.parquet(f"{tmp_path}/drop")
     stream = spark.readStream.schema(ENTRY).parquet(f"{tmp_path}/drop")
     T.write_batches(make(stream), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+
+
+def test_state_rows_do_not_grow_with_the_files(spark, tmp_path):
+    """Many files and logs share state rows; rows without a file are one, and ids stay whole beside them."""
+    n, big = T.BUCKETS + 500, (1 << 53) + 1
+    ids = [None, big, big + 1, *range(n)]
+    spark.createDataFrame([(k, 1, at(0), "timeout", True) for k in ids] + [(big, 2, at(1), None, None)], OUTCOME).coalesce(1).write.parquet(f"{tmp_path}/a/drop")
+    spark.createDataFrame([(k, "e", at(0), "Error: x") for k in ids] + [(big, "e", at(0), "Error: x")], ENTRY).coalesce(1).write.parquet(f"{tmp_path}/b/drop")
+    done = {}
+    for name, ddl, make in (("a", OUTCOME, lambda s: T.retry_states(s, 2, "5 minutes", "0 seconds")), ("b", ENTRY, lambda s: T.log_windows(s, "1 minute", "5 minutes"))):
+        stream = spark.readStream.schema(ddl).parquet(f"{tmp_path}/{name}/drop")
+        query = T.write_batches(make(stream), f"{tmp_path}/{name}/out", f"{tmp_path}/{name}/check")
+        query.awaitTermination()
+        done[name] = max(p["stateOperators"][0]["customMetrics"].get("numValueStateVars", 0) and p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress)
+    # a state row and a timer with its index, by bucket
+    assert 0 < done["a"] <= 3 * T.BUCKETS and 0 < done["b"] <= T.BUCKETS
+    states = {r.file_id: (r.status, r.attempts) for r in T.latest_states(spark, f"{tmp_path}/a/out").collect()}
+    assert len(states) == len(ids) and states[big] == ("done", 2) and states[big + 1] == states[None] == ("waiting", 1)
+    assert sorted((r.fileId is None, r.fileId or 0, r.total) for r in T.window_counts(spark, f"{tmp_path}/b/out").collect()) == sorted((k is None, k or 0, 1) for k in ids)
