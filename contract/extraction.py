@@ -319,7 +319,8 @@ def model_objects(spark, sf):
     return out
 
 
-def model_relations(spark, sf):
+def model_relations(spark, sf, dealt=None):
+    """Relations of the model. dealt: a supplier serves that many customers at most, so that a written model grows as its tables do."""
     c = S.read(spark, sf, "customer")
     key = F.col("c_custkey")
     space = F.concat(F.lit("C"), key.cast("string"))
@@ -330,9 +331,8 @@ def model_relations(spark, sf):
 
     zone = rel(c, "IfcRelAssignsToGroup", key * 2, F.concat(F.lit("Z"), F.col("c_mktsegment")), space)
     storey = rel(c.filter("c_custkey % 5 <> 0"), "IfcRelContainedInSpatialStructure", key, F.lit("ST"), space)
-    # fifteen customers are dealt to each supplier; it serves those of its own nation
-    served = S.read(spark, sf, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), "s_suppkey").join(
-        c.withColumn("s_suppkey", F.floor(key / 15)), ["c_nationkey", "s_suppkey"])
+    served = S.read(spark, sf, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), "s_suppkey")
+    served = served.join(c, "c_nationkey") if dealt is None else served.join(c.withColumn("s_suppkey", F.floor(key / dealt)), ["c_nationkey", "s_suppkey"])
     serves = rel(served, "IfcRelServicesBuildings", key, F.concat(F.lit("S"), F.col("s_suppkey").cast("string")), space)
     return zone.unionByName(storey).unionByName(serves).unionByName(serves.filter("rel_order % 2 = 0"))
 
@@ -360,7 +360,7 @@ def equipment_from_model(spark, sf):
     return EM.equipment_from_model(model_objects(spark, sf)).select("file_id", "id", "kind", "power_kw", "flow_m3h")
 
 
-@query("""SELECT c_nationkey::BIGINT AS file_id, 'ANL_S' || s_suppkey AS system_id, 'Raum_C' || c_custkey AS space_id FROM supplier JOIN customer ON c_nationkey = s_nationkey AND c_custkey // 15 = s_suppkey WHERE s_suppkey % 3 < 2""")
+@query("""SELECT c_nationkey::BIGINT AS file_id, 'ANL_S' || s_suppkey AS system_id, 'Raum_C' || c_custkey AS space_id FROM supplier JOIN customer ON c_nationkey = s_nationkey WHERE s_suppkey % 3 < 2""")
 def served_spaces(spark, sf):
     o, r = model_objects(spark, sf), model_relations(spark, sf)
     return EM.served_spaces(r, EM.systems_from_model(o), EM.spaces_from_model(o, r)).select("file_id", "system_id", "space_id")

@@ -34,7 +34,7 @@ def archives(spark, sf):
     """Each document zipped: its text, a folder, and an inner archive that holds it again."""
     def pack(batches):
         for batch in batches:
-            out = []
+            out, held = [], 0
             for k, text in zip(batch["doc_id"], batch["text"]):
                 inner = io.BytesIO()
                 with zipfile.ZipFile(inner, "w") as z:
@@ -46,8 +46,14 @@ def archives(spark, sf):
                     z.writestr("innen.zip", inner.getvalue())
                     z.writestr("defekt.gz", b"no archive")
                 out.append((f"a{k}.zip", outer.getvalue() if k % 9 else b"broken"))
-            yield pd.DataFrame(out, columns=["path", "content"])
-
+                held += len(out[-1][1])
+                if held >= SF.BATCH_BYTES:
+                    yield pd.DataFrame(out, columns=["path", "content"])
+                    out, held = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=["path", "content"])
+
+    SF.small_batches(spark)
     return S.read(spark, sf, "documents").select("doc_id", "text").mapInPandas(pack, "path string, content binary")
 
 

@@ -35,6 +35,18 @@ def inventory(files: DataFrame) -> DataFrame:
         F.when(~allowed, "extension").when(~fits, "size").alias("reason"))
 
 
+#: File contents that a Python worker takes or gives at once.
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of contents that fit a worker: their rows are of any size, so bytes and rows bound them."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)):
+        set_to = spark.conf.get(key, None)
+        if set_to is None or not 0 < int(set_to) <= most:
+            spark.conf.set(key, str(most))
+
+
 MEMBER = "archive string, member string, content binary, size bigint, error string"
 
 
@@ -61,11 +73,12 @@ def _members(content: bytes, depth: int) -> Iterator[tuple[str, bytes | None, st
                     yield name, None, str(e)
 
 
-def expand_archives(files: DataFrame, max_depth: int = V.ARCHIVE_MAX_DEPTH, batch_bytes: int = 16 << 20) -> DataFrame:
+def expand_archives(files: DataFrame, max_depth: int = V.ARCHIVE_MAX_DEPTH, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Members of zip archives (path, content); an archive or a member that cannot be read gives one error row.
 
     Members leave the worker in small batches, so it never holds all members of its archives.
     """
+    small_batches(files.sparkSession)
     names = ["archive", "member", "content", "size", "error"]
 
     def rows_of(path: str, content: bytes) -> Iterator[tuple]:
@@ -95,6 +108,8 @@ def expand_archives(files: DataFrame, max_depth: int = V.ARCHIVE_MAX_DEPTH, batc
 
 def archive_members(files: DataFrame) -> DataFrame:
     """Direct members of an archive from its directory, without reading their data."""
+    small_batches(files.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):

@@ -201,3 +201,11 @@ def test_rows_far_below_the_header_count(spark):
     rows, layout = parts(cells)
     assert ET.raw_rows(rows, layout).count() == 2 and ET.raw_rows(rows, layout, row_limit=V.SHEET_ROW_LIMIT - 1).count() == 1
     assert ET.loose_cells(cells, layout).count() == 0 and ET.loose_cells(cells, layout, row_limit=V.SHEET_ROW_LIMIT).count() == 1
+
+
+def test_each_supplier_serves_all_customers_of_its_nation(spark, tmp_path):
+    from contract import extraction as E
+    spark.createDataFrame([(k, f"Customer {k}", k % 2, "BUILDING") for k in range(40)], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k, k % 2) for k in range(3)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    served = E.model_relations(spark, str(tmp_path)).filter("rel_class = 'IfcRelServicesBuildings'").select("relating_guid", "related_guid").distinct()
+    assert {tuple(r) for r in served.collect()} == {(f"S{s}", f"C{c}") for s in range(3) for c in range(40) if s % 2 == c % 2}
