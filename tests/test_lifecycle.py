@@ -5,6 +5,7 @@ import json
 from datetime import datetime
 import zipfile
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from plumbline import schema
@@ -252,3 +253,21 @@ def test_drop_folder_takes_a_table_of_one_file_and_of_many(spark, tmp_path):
         docs = I.read_drop_folder(spark, f"{tmp_path}/{kind}", "doc_id bigint, text string", name_filter="documents.parquet")
         I.append_stream(docs, f"{tmp_path}/{kind}-out", f"{tmp_path}/{kind}-check").awaitTermination()
         assert sorted(r.doc_id for r in spark.read.parquet(f"{tmp_path}/{kind}-out").collect()) == list(range(6))
+
+
+def test_archives_reach_the_workers_in_batches_of_bounded_size(spark, tmp_path):
+    import random
+
+    from contract import streams
+    from plumbline.sources import files as SF
+    text = random.Random(1).randbytes(1 << 20).hex()
+    spark.createDataFrame([(k, text) for k in range(1, 25)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"n": [int(batch["content"].map(len).sum())]})
+
+    archives = streams.archives(spark, str(tmp_path))
+    most = archives.mapInPandas(sizes, "n long").agg(F.max("n")).first()[0]
+    assert 0 < most <= 2 * SF.BATCH_BYTES
+    assert SF.archive_members(archives).filter("error is null").count() == 3 * sum(k % 9 > 0 for k in range(1, 25))
