@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -138,10 +139,81 @@ def name_size_ratio(threshold: float) -> float:
     return threshold / (2 - threshold)
 
 
-def word_blocks(rows: DataFrame, scope: Sequence[str], item: str, bag: str) -> DataFrame:
-    """Blocks for shared words / larger word count > 0.8: one of the first n - floor(0.8n) words is shared."""
-    n = F.size(bag)
-    return rarest_tokens(rows, scope, item, F.col(bag), (n - F.floor(n * 4 / 5)).cast("int"))
+#: Words are counted in so many buckets of their hashes for the order of rarity; no result depends on it.
+ORDER_BUCKETS = 1 << 20
+#: Bits of the parity sketch of a bag, as 64-bit columns.
+SKETCH = tuple(f"_s{i}" for i in range(8))
+
+
+def _hashes(bag: str) -> Column:
+    return F.transform(bag, lambda w: F.xxhash64(w))
+
+
+def word_order(bags: DataFrame, bag: str) -> np.ndarray:
+    """How often the words of each hash bucket occur, as a logarithm in one byte: a table of fixed size."""
+    hashes = bags.select(F.explode(_hashes(bag)).alias("_h"))
+    counts = hashes.groupBy(F.pmod("_h", F.lit(ORDER_BUCKETS)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    found = counts.toArrow()
+    out = np.zeros(ORDER_BUCKETS, np.uint8)
+    out[found["b"].to_numpy()] = np.minimum(np.log2(found["n"].to_numpy()) * 8, 255).astype(np.uint8)
+    return out
+
+
+def word_blocks(rows: DataFrame, scope: Sequence[str], item: str, bag: str, order: np.ndarray) -> DataFrame:
+    """Blocks for shared words / larger word count > 0.8: (scope, item, size, token, SKETCH).
+
+    One of the first n - floor(0.8n) words in the order of rarity is shared. Tokens are hashes of words: equal hashes
+    only add candidates. The sketch has a bit for the parity of the words that fall on it, so two sketches differ in
+    no more bits than the bags differ in words.
+    """
+    names = [*scope, item]
+    bits = 64 * len(SKETCH)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("_h")
+            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            flat = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            ranked = np.lexsort((flat, order[flat & (ORDER_BUCKETS - 1)], row))
+            begin = np.cumsum(sizes) - sizes
+            keep = sizes - sizes * 4 // 5
+            taken = ranked[np.arange(len(flat)) - np.repeat(begin, sizes) < np.repeat(keep, sizes)]
+            tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(keep)].astype(np.int32)), pa.array(flat[taken]))
+            odd = np.zeros((len(sizes), bits), bool)
+            for low in range(0, len(sizes), 1000):  # counters of a few rows at a time
+                some = slice(begin[low], begin[low] + sizes[low:low + 1000].sum())
+                n = len(sizes[low:low + 1000])
+                at = (row[some] - low) * bits + ((flat[some] >> 24) & (bits - 1))
+                odd[low:low + n] = (np.bincount(at, minlength=n * bits) & 1).reshape(n, bits)
+            sketch = np.packbits(odd, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names), pa.array(sizes.astype(np.int32)), tokens, *(pa.array(sketch[:, i].copy()) for i in range(len(SKETCH)))],
+                names=[*names, "size", "_tokens", *SKETCH])
+
+    ready = rows.filter(F.size(bag) > 0).select(*names, _hashes(bag).alias("_h"))
+    shape = T.StructType([*(ready.schema[c] for c in names), T.StructField("size", T.IntegerType()),
+                          T.StructField("_tokens", T.ArrayType(T.LongType())), *(T.StructField(c, T.LongType()) for c in SKETCH)])
+    return ready.mapInArrow(run, shape).select(*names, "size", F.explode("_tokens").alias("token"), *SKETCH)
+
+
+def words_near(new: Callable[[str], Column], old: Callable[[str], Column]) -> Column:
+    """Whether two rows of word_blocks may share over 0.8 of the larger word count, by their sizes and sketches."""
+    differ = sum((F.bit_count(new(c).bitwiseXOR(old(c))) for c in SKETCH), F.lit(0))
+    return 5 * differ <= 5 * (new("size") + old("size")) - 8 * F.greatest(new("size"), old("size"))
+
+
+def may_match(blocks: DataFrame, scope: Sequence[str], pos: str,
+              near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column]) -> DataFrame:
+    """(scope, pos) of the rows that share a block with a row of another position that is `near`.
+
+    The join looks for one such row, so neither a large block nor a family of copies becomes pairs.
+    """
+    new, old = blocks, blocks.select(*[F.col(c).alias(f"_o{c}") for c in blocks.columns])
+    cond = (F.col(pos) != F.col(f"_o{pos}")) & near(F.col, lambda c: F.col(f"_o{c}"))
+    for c in (*scope, "token"):
+        cond = cond & (F.col(c) == F.col(f"_o{c}"))
+    return new.join(old, cond, "left_semi").select(*scope, pos).distinct()
 
 
 def word_overlap(x: Column, y: Column) -> Column:
@@ -162,6 +234,8 @@ def greedy_leaders(
     size_ratio: float = 0.0,
     heads: int = 32,
     most_heads: int = 1000,
+    near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
+    traits: Sequence[str] = (),
 ) -> DataFrame:
     """(scope, pos, leader): each item joins the earliest leader it matches, else it leads itself.
 
@@ -175,27 +249,31 @@ def greedy_leaders(
     matches(new, old) gets two accessors for the columns of the later and the earlier row.
     blocks: scope, token, pos, size. Rows of one block whose sizes differ by more than
     `size_ratio` cannot match and are not compared; no size fits every size.
+    near(new, old) gets accessors for `size` and the further columns `traits` of the blocks: what it rules out is not
+    compared either. It holds inside the blocks, before any pair is made.
     """
     scope = list(scope)
     key = [*scope, pos]
     rows = cut_lineage(items.select(*key, *fields))
-    blocks = blocks.select(*scope, "token", pos, F.col("size").cast("int").alias("size")).dropDuplicates([*scope, "token", pos])
+    blocks = blocks.select(*scope, "token", pos, F.col("size").cast("int").alias("size"), *traits).dropDuplicates([*scope, "token", pos])
     shared = blocks.groupBy(*scope, "token").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*scope, "token")
     blocks = cut_lineage(blocks.join(shared, [*scope, "token"], "left_semi"))
 
     def pairs(early: DataFrame, late: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
         """Distinct (old, new) positions with a common block that match."""
-        e = early.select(*scope, "token", F.col(pos).alias("_old"), F.col("size").alias("_osize"))
-        l = late.select(*scope, "token", F.col(pos).alias("_new"), F.col("size").alias("_nsize"), *extra)
+        e = early.select(*scope, "token", F.col(pos).alias("_old"), F.col("size").alias("_osize"), *[F.col(c).alias(f"_o{c}") for c in traits])
+        l = late.select(*scope, "token", F.col(pos).alias("_new"), F.col("size").alias("_nsize"), *[F.col(c).alias(f"_n{c}") for c in traits], *extra)
         fits = F.least("_osize", "_nsize") > F.lit(size_ratio) * F.greatest("_osize", "_nsize") - F.lit(1e-9)
         cond = (F.col("_old") < F.col("_new")) & (
             F.col("_osize").isNull() | F.col("_nsize").isNull() | fits)
+        if near is not None:
+            cond = cond & near(lambda c: F.col(f"_n{c}"), lambda c: F.col(f"_o{c}"))
         if extra:
             cond = cond & (F.col("_best").isNull() | (F.col("_old") < F.col("_best")))
-        near = e.join(l, [*scope, "token"]).filter(cond).select(*scope, "_old", "_new").distinct()
+        close = e.join(l, [*scope, "token"]).filter(cond).select(*scope, "_old", "_new").distinct()
         old = rows.select(*scope, F.col(pos).alias("_old"), F.struct(*fields).alias("_o"))
         new = rows.select(*scope, F.col(pos).alias("_new"), F.struct(*fields).alias("_n"))
-        both = near.join(old, [*scope, "_old"]).join(new, [*scope, "_new"])
+        both = close.join(old, [*scope, "_old"]).join(new, [*scope, "_new"])
         return both.filter(matches(lambda c: F.col("_n")[c], lambda c: F.col("_o")[c])).select(*scope, "_old", "_new")
 
     # rows without any block are leaders at once and take no part in the rounds

@@ -15,8 +15,8 @@ from plumbline.functions import vocabulary as V
 from plumbline.functions.predicates import has_text, matching_labels, or_null
 from plumbline.operators.containment import contained
 from plumbline.operators.ordered import islands, joined_text, newest, renumber
-from plumbline.operators.similarity import greedy_leaders, word_blocks, word_overlap, words
-from plumbline.session import cut_lineage
+from plumbline.operators.similarity import SKETCH, greedy_leaders, may_match, word_blocks, word_order, word_overlap, words, words_near
+from plumbline.session import cut_lineage, free
 
 # --- corpus -----------------------------------------------------------------------
 
@@ -227,14 +227,23 @@ def overall_assessment(answers: DataFrame, keys: list[str], order: str) -> DataF
 
 def distinct_findings(findings: DataFrame, scope: list[str], pos: str = "pos") -> DataFrame:
     """Drop findings whose quote equals, or shares over 0.8 of its words with, a kept one; renumber."""
-    rows = findings.withColumn("_q", F.lower(X.strip(F.coalesce("quote", F.lit("")))))
+    key = [*scope, pos]
+    known = findings.filter(" and ".join(f"`{c}` is not null" for c in key))
+    rows = known.withColumn("_q", F.lower(X.strip(F.coalesce("quote", F.lit("")))))
+    bags = cut_lineage(rows.select(*key, words(F.col("_q")).alias("_w")))
+    order = word_order(bags, "_w")
+    # most findings are near no other one and stay; empty quotes have no words to tell
+    open_keys = cut_lineage(may_match(word_blocks(bags, scope, pos, "_w", order), scope, pos, words_near).unionByName(
+        bags.filter(F.size("_w") == 0).select(*key)).distinct())
     # only keys and words go through the comparison, the findings themselves join at the end
-    first = rows.groupBy(*scope, "_q").agg(F.min(pos).alias(pos))
-    bags = cut_lineage(first.select(*scope, pos, words(F.col("_q")).alias("_w")))
-    led = greedy_leaders(bags, word_blocks(bags, scope, pos, "_w"), scope, pos, ["_w"],
-                         lambda new, old: word_overlap(new("_w"), old("_w")) > 0.8, size_ratio=0.8)
-    kept = led.filter(F.col(pos) == F.col("leader")).select(*scope, pos)
-    return renumber(rows.drop("_q", "number").join(kept, [*scope, pos], "left_semi"), scope, pos, "number")
+    free(bags)
+    first = rows.join(open_keys, key, "left_semi").groupBy(*scope, "_q").agg(F.min(pos).alias(pos))
+    bags = cut_lineage(first.select(*key, words(F.col("_q")).alias("_w")))
+    led = greedy_leaders(bags, word_blocks(bags, scope, pos, "_w", order), scope, pos, ["_w"],
+                         lambda new, old: word_overlap(new("_w"), old("_w")) > 0.8, size_ratio=0.8, near=words_near, traits=SKETCH)
+    kept = led.filter(F.col(pos) == F.col("leader")).select(*key)
+    lost = open_keys.join(kept, key, "left_anti")
+    return renumber(known.drop("number").join(lost, key, "left_anti"), scope, pos, "number")
 
 
 # --- attribution ----------------------------------------------------------------------

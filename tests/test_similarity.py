@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +183,52 @@ def test_contained_equals_brute_force(spark):
     t = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "text_id long, text string")
     got = {(r.needle_id, r.text_id) for r in contained(n, t).collect()}
     assert got == {(i, j) for i, a in enumerate(needles) for j, b in enumerate(texts) if a in b}
+
+
+def test_word_blocks_and_sketches_lose_no_pair(spark):
+    """Rows with a partner above 0.8 are found inside the blocks; bags that only share rare words are ruled out there."""
+    random.seed(5)
+    bags = []
+    for k in range(120):
+        words = random.sample([f"w{i}" for i in range(400)], random.randint(1, 60))
+        bags.append(words)
+        if k % 3 == 0:  # a near copy on either side of the threshold
+            gone = random.randint(0, max(1, len(words) // 4))
+            bags.append(words[gone:] + [f"n{k}_{i}" for i in range(random.randint(0, gone))] or ["n"])
+    bags += [["rare", *(f"{side}{i}" for i in range(40))] for side in "ab"]
+    rows = spark.createDataFrame([(k // 60, k, b) for k, b in enumerate(bags)] + [(0, 1000, [])], "g long, pos long, w array<string>")
+    order = Sim.word_order(rows, "w")
+    blocks = Sim.word_blocks(rows, ["g"], "pos", "w", order)
+    found = {r.pos for r in Sim.may_match(blocks, ["g"], "pos", Sim.words_near).collect()}
+
+    def overlap(x, y):
+        return len(set(x) & set(y)) / max(len(x), len(y))
+
+    wanted = {k for k, x in enumerate(bags) for j, y in enumerate(bags) if k != j and k // 60 == j // 60 and overlap(x, y) > 0.8}
+    assert wanted and wanted <= found
+    # the last two share a rare word, so a block, and nothing else
+    assert not {len(bags) - 1, len(bags) - 2} & found
+    other = np.zeros(Sim.ORDER_BUCKETS, np.uint8)  # no order loses a pair
+    assert wanted <= {r.pos for r in Sim.may_match(Sim.word_blocks(rows, ["g"], "pos", "w", other), ["g"], "pos", Sim.words_near).collect()}
+    assert blocks.filter(F.col("pos") == 1000).isEmpty()
+
+
+def test_distinct_findings_equal_the_sequential_pass(spark):
+    """Near copies, equal and empty quotes, and rows without a key, against a loop."""
+    random.seed(9)
+    quotes = []
+    for k in range(60):
+        words = random.sample([f"w{i}" for i in range(80)], random.randint(0, 25))
+        quotes += [" ".join(words)] + [" ".join([*words[random.randint(0, 4):], f"n{k}"]) for _ in range(k % 4)] + [" ".join(words).upper()] * (k % 5 == 0)
+    data = [(f"g{k % 2}", k, q) for k, q in enumerate(quotes)] + [("g0", 900, None), ("g1", 901, ""), ("g0", 902, " "), (None, 903, "a b"), ("g0", None, "a b")]
+    out = R.distinct_findings(spark.createDataFrame(data, "g string, pos long, quote string"), ["g"])
+    want = []
+    for g in ("g0", "g1"):
+        kept = []
+        for _, pos, q in sorted((r for r in data if r[0] == g and r[1] is not None), key=lambda r: r[1]):
+            q = (q or "").lower().strip()
+            bag = set(q.split())
+            if not any(q == p or (bag and other and len(bag & other) / max(len(bag), len(other)) > 0.8) for p, other in kept):
+                kept.append((q, bag))
+                want.append((g, pos, len(kept)))
+    assert sorted((r.g, r.pos, r.number) for r in out.collect()) == sorted(want)
