@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import io
+import itertools
 import mimetypes
+import os
 import posixpath
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -18,12 +21,51 @@ from plumbline.operators.ordered import newest
 
 
 def read_files(spark: SparkSession, path: str, with_content: bool = False) -> DataFrame:
-    """One row per file below the path. Without content only the listing is read."""
+    """One row per file below the path. Without content only the listing is read; folders that are mounted are listed in tasks."""
+    if not with_content and "*" not in path and (path.startswith("/") or re.match("file:/", path)):
+        return _listing(spark, re.sub("^file:/+", "/", path))
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     keep = ["path", "length", "modificationTime"] + (["content"] if with_content else [])
     return df.select(*keep)
 
 
+def _seen(name: str) -> bool:
+    """Whether Spark's readers see a file or folder of this name."""
+    return not (name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_"))
+
+
+def _listing(spark: SparkSession, root: str) -> DataFrame:
+    """The files below a mounted folder. Names of folders come to the driver, level by level; files stay in the tasks.
+
+    Empty and hidden files give no row, as with Spark's reader.
+    """
+    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder in batch["folder"]:
+                with os.scandir(folder) as entries:
+                    yield pd.DataFrame({"folder": [e.path for e in entries if e.is_dir() and _seen(e.name)]}, dtype="object")
+
+    def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder in batch["folder"]:
+                with os.scandir(folder) as entries:
+                    found = (e for e in entries if _seen(e.name) and not e.is_dir())
+                    while rows := [(f"file:{e.path}", e.stat().st_size, e.stat().st_mtime_ns // 1_000_000) for e in itertools.islice(found, 10_000)]:
+                        yield pd.DataFrame([r for r in rows if r[1]], columns=["path", "length", "at"])
+
+    def of(folders: list[str]) -> DataFrame:
+        return spark.createDataFrame([(f,) for f in folders], "folder string")
+
+    root = root.rstrip("/") or "/"
+    if not os.path.isdir(root):  # a single file, or none: the reader says so
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
+    level = folders = [root]
+    while level := [r[0] for r in of(level).mapInPandas(inside, "folder string").collect()]:
+        folders = folders + level
+    return of(folders).mapInPandas(files, "path string, length bigint, at bigint").select(
+        "path", "length", F.timestamp_millis("at").alias("modificationTime"))
+
+
 def inventory(files: DataFrame) -> DataFrame:
     """Name, extension, type, size and whether an upload would take the file."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)

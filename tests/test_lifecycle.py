@@ -271,3 +271,21 @@ def test_archives_reach_the_workers_in_batches_of_bounded_size(spark, tmp_path):
     most = archives.mapInPandas(sizes, "n long").agg(F.max("n")).first()[0]
     assert 0 < most <= 2 * SF.BATCH_BYTES
     assert SF.archive_members(archives).filter("error is null").count() == 3 * sum(k % 9 > 0 for k in range(1, 25))
+
+
+def test_listing_reads_folders_in_few_tasks(spark, tmp_path):
+    """Names, sizes and times as the reader gives them; tasks follow the folders, not 32 files each."""
+    for k in range(400):
+        folder = tmp_path / f"teil {k % 3}" / "innen" if k % 3 else tmp_path
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"Plan ä {k} 100%#.pdf").write_bytes(b"x" * k)
+    for name in (".hidden", "_draft", "_a=1", "halb._COPYING_"):
+        (tmp_path / name).write_bytes(b"x")
+    (tmp_path / "_temporary").mkdir()
+    (tmp_path / "_temporary" / "a.pdf").write_bytes(b"x")
+    listed = SF.read_files(spark, str(tmp_path))
+    known = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path)).select("path", "length", "modificationTime")
+    assert listed.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism < known.rdd.getNumPartitions()
+    assert sorted(listed.collect()) == sorted(known.collect())
+    assert 399 <= listed.count() < 405  # one is empty
+    assert SF.read_files(spark, f"file://{tmp_path}/teil 1").count() == 133
