@@ -232,7 +232,7 @@ def greedy_leaders(
     fields: Sequence[str],
     matches: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     size_ratio: float = 0.0,
-    heads: int = 32,
+    heads: int = 64,
     most_heads: int = 1000,
     near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
     traits: Sequence[str] = (),
@@ -244,7 +244,9 @@ def greedy_leaders(
     once all undecided items before it that share a block are among those heads:
     if it matches none of them it is a leader. New leaders then take, block by block,
     the later items that match them. So a family of like items costs one comparison
-    per item and block, not one per pair. `heads` doubles from round to round.
+    per item and block, not one per pair. `heads` doubles while a quarter of the compared items are leaders: items of one
+    family would be compared with each other in vain, since its few leaders take them. An item that has a leader is
+    compared again only with leaders before it.
 
     matches(new, old) gets two accessors for the columns of the later and the earlier row.
     blocks: scope, token, pos, size. Rows of one block whose sizes differ by more than
@@ -282,11 +284,10 @@ def greedy_leaders(
     # state: undecided rows have no leader; `_lead` marks rows that are leaders
     state = with_blocks.select(*key, F.lit(None).cast("long").alias("_best"), F.lit(False).alias("_lead"))
     state = cut_lineage(state)
+    undecided = F.col("_best").isNull() & ~F.col("_lead")
 
-    while True:
-        open_rows = state.filter(F.col("_best").isNull() & ~F.col("_lead"))
-        if open_rows.isEmpty():
-            break
+    while not state.filter(undecided).isEmpty():
+        open_rows = state.filter(undecided)
         open_blocks = blocks.join(open_rows.select(*key), key)
         w = Window.partitionBy(*scope, "token").orderBy(pos)
         top = open_blocks.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= heads).drop("_rank")
@@ -294,11 +295,15 @@ def greedy_leaders(
         found = top.groupBy(*key).agg(F.count(F.lit(1)).alias("_heads"))
         complete = needed.join(found, key).filter("_blocks = _heads").select(*key)
         ready = top.join(complete, key, "left_semi")
-        beaten = pairs(top, ready).select(*scope, F.col("_new").alias(pos)).distinct()
-        leaders = cut_lineage(complete.join(beaten, key, "left_anti"))
-
-        lead_blocks = blocks.join(leaders, key)
-        later = blocks.join(state.filter(~F.col("_lead")).join(leaders, key, "left_anti"), key)
+        beaten = pairs(top, ready).select(*scope, F.col("_new").alias(pos), F.lit(True).alias("_beaten")).distinct()
+        judged = cut_lineage(complete.join(beaten, key, "left").select(*key, F.col("_beaten").isNull().alias("_now")))
+        leaders = judged.filter("_now").select(*key)
+
+        lead_blocks = open_blocks.join(leaders, key)
+        first = leaders.groupBy(*scope).agg(F.min(pos).alias("_first"))
+        followers = state.filter(~F.col("_lead")).join(leaders, key, "left_anti").join(first, scope).filter(
+            (F.col(pos) > F.col("_first")) & (F.col("_best").isNull() | (F.col("_best") > F.col("_first")))).drop("_first")
+        later = blocks.join(followers, key)
         won = pairs(lead_blocks, later, extra=["_best"]).groupBy(*scope, F.col("_new").alias(pos)).agg(
             F.min("_old").alias("_won"))
         state = cut_lineage(
@@ -306,7 +311,9 @@ def greedy_leaders(
             .join(won, key, "left")
             .select(*key, F.least("_best", "_won").alias("_best"),
                     (F.col("_lead") | F.coalesce("_now", F.lit(False))).alias("_lead")))
-        heads = min(heads * 2, most_heads)
+        compared, led = judged.agg(F.count(F.lit(1)), F.count_if("_now")).first()
+        if 4 * led >= compared:
+            heads = min(heads * 2, most_heads)
 
     done = state.select(*key, F.when(F.col("_lead"), F.col(pos)).otherwise(F.col("_best")).alias("leader"))
     return done.unionByName(alone)

@@ -232,3 +232,20 @@ def test_distinct_findings_equal_the_sequential_pass(spark):
                 kept.append((q, bag))
                 want.append((g, pos, len(kept)))
     assert sorted((r.g, r.pos, r.number) for r in out.collect()) == sorted(want)
+
+
+def test_a_family_is_not_compared_pair_by_pair(spark):
+    """One block holds families that each have one leader: rows are compared with leaders, and with few others."""
+    compared = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def same(x, y):
+        compared.add(1)
+        return x == y
+
+    rows = [(1, i, (i + 1).bit_length()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "project_id long, pos long, family int")
+    blocks = df.select("project_id", "pos", F.lit(1).alias("size"), F.lit("all").alias("token"))
+    led = Sim.greedy_leaders(df, blocks, ["project_id"], "pos", ["family"], lambda n, o: same(n("family"), o("family")))
+    assert {r.pos: r.leader for r in led.collect()} == {i: (1 << f - 1) - 1 for _, i, f in rows}
+    assert compared.value < 20 * len(rows)
