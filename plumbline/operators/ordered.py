@@ -177,17 +177,20 @@ def keep_first(df: DataFrame, keys: Sequence[Column | str], pos: str) -> DataFra
     )
 
 
-def dense_ranks(df: DataFrame, order: Sequence[str], groups: Sequence[str], rank: str, total: Sequence[str] = ()) -> DataFrame:
+def dense_ranks(df: DataFrame, order: Sequence[str], groups: Sequence[str], rank: str, total: Sequence[str] = (),
+                adaptive: bool = False) -> DataFrame:
     """Gapless 0-based rank of each row within its group, in the given order, of which the groups are a prefix.
 
     The rows are range-partitioned and sorted once and written; what a partition holds of a group is one row of
     counts, and a running sum over those rows shifts the partition's own ranks. `total`: number columns for which
-    the sum over the rows before is returned as `before_<name>`, by the same two steps.
+    the sum over the rows before is returned as `before_<name>`, by the same two steps. `adaptive`: adaptive
+    execution joins neighbouring small partitions, so a small batch makes few files.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c).asc_nulls_first() for c in order]
-    laid = df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols)
+    dealt = df.repartitionByRange(*cols) if adaptive else df.repartitionByRange(parts, *cols)
+    laid = dealt.sortWithinPartitions(*cols)
     laid = cut_lineage(laid.withColumn("_row", F.monotonically_increasing_id()), "ranks")
     laid = laid.withColumn("_part", F.shiftrightunsigned("_row", 33)).withColumn("_at", F.col("_row").bitwiseAND((1 << 33) - 1))
     held = laid.groupBy("_part", *groups).agg(F.min("_at").alias("_low"), F.count("*").alias("_n"),

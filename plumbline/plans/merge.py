@@ -272,7 +272,7 @@ def in_arrival_order(active: DataFrame | None, batch: DataFrame, file_order: str
     The offset is the largest position of the project, so it is one row per project.
     Rows of a batch come in the order of their file, then their own position.
     """
-    spread = dense_ranks(batch, ["project_id", file_order, "pos"], ["project_id"], "_at").withColumn("pos", F.col("_at")).drop("_at")
+    spread = dense_ranks(batch, ["project_id", file_order, "pos"], ["project_id"], "_at", adaptive=True).withColumn("pos", F.col("_at")).drop("_at")
     if active is None:
         return spread
     top = active.groupBy("project_id").agg((F.max("pos") + 1).alias("_base"))

@@ -18,7 +18,9 @@ the projects that it touches and the blocks that it meets, not the model.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -219,15 +221,16 @@ def merge_batch(spark: SparkSession, out: str, batch_id: int, entities: Mapping[
 
     entities: kind -> rows with project_id, the column `file_order`, pos (order within the file) and the columns of
     the kind. Kinds without matching rules are appended. A batch without rows of a kind leaves that kind as it is.
-    Rows without project_id belong to no model and are left out.
+    Rows without project_id belong to no model and are left out. No kind reads another's tables, so their many small
+    jobs run side by side.
     """
-    for kind, rows in entities.items():
-        rows = cut_lineage(rows.filter("project_id is not null"), "batch")
+    def merge(kind: str) -> None:
+        rows = cut_lineage(entities[kind].filter("project_id is not null"), "batch")
         buckets = _buckets_of(rows)
         tables = _Tables(spark, out, kind, batch_id, buckets)
         if not buckets:
             free(rows)
-            continue
+            return
         placed = _positions(tables, rows, batch_id, file_order)
         if kind in MATCHING:
             _merge_kind(tables, placed, batch_id)
@@ -237,6 +240,12 @@ def merge_batch(spark: SparkSession, out: str, batch_id: int, entities: Mapping[
                 *ENTITY, F.col("pos").alias("member_pos"), F.posexplode("sources").alias("source_idx", "source")))
         free(rows, placed)
 
+    if not entities:
+        return
+    with ThreadPoolExecutor(len(entities)) as pool:
+        for done in [pool.submit(inheritable_thread_target(spark)(merge), kind) for kind in entities]:
+            done.result()
+
 
 def merged_model(spark: SparkSession, out: str, kind: str, upto: int | None = None) -> dict[str, DataFrame]:
     """The merged rows of one kind with lineage, clusters, links and conflicts, after batch `upto` or the last one."""

@@ -1,6 +1,7 @@
 """Incremental merge in batches equals one pass over all rows; a batch that is run again changes nothing."""
 
 import random
+import threading
 from collections import Counter
 
 import pytest
@@ -123,3 +124,12 @@ def test_model_stream(spark, batches, tmp_path):
         got = R.merged_model(spark, out, kind)
         assert rows_of(got["merged"]) == rows_of(want["merged"].select(*got["merged"].columns))
     assert {r.version for r in R.project_versions(spark, out, ("systems",)).collect()} == {3}
+
+
+def test_kinds_of_a_batch_are_merged_side_by_side(spark, batches, tmp_path, monkeypatch):
+    """Each kind waits for the other: one after the other they would never meet."""
+    meet, place = threading.Barrier(2, timeout=40), R._positions
+    monkeypatch.setattr(R, "_positions", lambda *given: (meet.wait(), place(*given))[1])
+    R.merge_batch(spark, str(tmp_path), 0, {kind: batches[kind][0] for kind in ("milestones", "requirements")})
+    assert R.merged_model(spark, str(tmp_path), "milestones")["clusters"].count() == 60
+    assert R.merged_model(spark, str(tmp_path), "requirements")["merged"].count() == 60
