@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.ratio import ratios
-from plumbline.session import cut_lineage
+from plumbline.session import cut_lineage, free
 
 
 @F.pandas_udf(T.DoubleType())
@@ -143,6 +143,8 @@ def name_size_ratio(threshold: float) -> float:
 ORDER_BUCKETS = 1 << 20
 #: Bits of the parity sketch of a bag, as 64-bit columns.
 SKETCH = tuple(f"_s{i}" for i in range(8))
+#: Its sketch in proportion to its size, an array of 64-bit words.
+WIDE = "_wide"
 
 
 def _hashes(bag: str) -> Column:
@@ -159,8 +161,26 @@ def word_order(bags: DataFrame, bag: str) -> np.ndarray:
     return out
 
 
-def word_blocks(rows: DataFrame, scope: Sequence[str], item: str, bag: str, order: np.ndarray) -> DataFrame:
-    """Blocks for shared words / larger word count > 0.8: (scope, item, size, token, SKETCH).
+def _wide_sketches(hashes: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """Parity sketches of 64 bits for each 32 words, rounded up to a power of two, as lists of 64-bit words."""
+    longs = np.left_shift(1, np.ceil(np.log2(np.maximum(sizes, 32) / 32)).astype(np.int64))
+    out = np.zeros(longs.sum(), np.int64)
+    place = np.cumsum(longs) - longs
+    for n in np.unique(longs).tolist():
+        on = np.flatnonzero(longs == n)
+        step = max(1, (1 << 22) // (64 * n))
+        for low in range(0, len(on), step):  # counters of a few rows at a time
+            some = on[low:low + step]
+            count = sizes[some]
+            at = np.arange(count.sum()) + np.repeat(begin[some] - np.cumsum(count) + count, count)
+            bit = np.repeat(np.arange(len(some)), count) * (64 * n) + ((hashes[at] >> 24) & (64 * n - 1))
+            odd = (np.bincount(bit, minlength=len(some) * 64 * n) & 1).astype(bool).reshape(len(some), 64 * n)
+            out[place[some][:, None] + np.arange(n)] = np.packbits(odd, axis=1).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(longs)].astype(np.int32)), pa.array(out))
+
+
+def word_signatures(rows: DataFrame, scope: Sequence[str], item: str, bag: str, order: np.ndarray) -> DataFrame:
+    """What shared words / larger word count > 0.8 is told by, a row for each bag with words: (scope, item, size, _tokens, SKETCH, WIDE).
 
     One of the first n - floor(0.8n) words in the order of rarity is shared. Tokens are hashes of words: equal hashes
     only add candidates. The sketch has a bit for the parity of the words that fall on it, so two sketches differ in
@@ -188,13 +208,19 @@ def word_blocks(rows: DataFrame, scope: Sequence[str], item: str, bag: str, orde
                 odd[low:low + n] = (np.bincount(at, minlength=n * bits) & 1).reshape(n, bits)
             sketch = np.packbits(odd, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(sizes.astype(np.int32)), tokens, *(pa.array(sketch[:, i].copy()) for i in range(len(SKETCH)))],
-                names=[*names, "size", "_tokens", *SKETCH])
+                [*(batch.column(c) for c in names), pa.array(sizes.astype(np.int32)), tokens, *(pa.array(sketch[:, i].copy()) for i in range(len(SKETCH))),
+                 _wide_sketches(flat, begin, sizes)], names=[*names, "size", "_tokens", *SKETCH, WIDE])
 
     ready = rows.filter(F.size(bag) > 0).select(*names, _hashes(bag).alias("_h"))
     shape = T.StructType([*(ready.schema[c] for c in names), T.StructField("size", T.IntegerType()),
-                          T.StructField("_tokens", T.ArrayType(T.LongType())), *(T.StructField(c, T.LongType()) for c in SKETCH)])
-    return ready.mapInArrow(run, shape).select(*names, "size", F.explode("_tokens").alias("token"), *SKETCH)
+                          T.StructField("_tokens", T.ArrayType(T.LongType())), *(T.StructField(c, T.LongType()) for c in SKETCH),
+                          T.StructField(WIDE, T.ArrayType(T.LongType()))])
+    return ready.mapInArrow(run, shape)
+
+
+def word_blocks(rows: DataFrame, scope: Sequence[str], item: str, bag: str, order: np.ndarray) -> DataFrame:
+    """Blocks for shared words / larger word count > 0.8: (scope, item, size, token, SKETCH), a row for each token of word_signatures."""
+    return word_signatures(rows, scope, item, bag, order).select(*scope, item, "size", F.explode("_tokens").alias("token"), *SKETCH)
 
 
 def words_near(new: Callable[[str], Column], old: Callable[[str], Column]) -> Column:
@@ -203,6 +229,18 @@ def words_near(new: Callable[[str], Column], old: Callable[[str], Column]) -> Co
     return 5 * differ <= 5 * (new("size") + old("size")) - 8 * F.greatest(new("size"), old("size"))
 
 
+def words_near_wide(new: Callable[[str], Column], old: Callable[[str], Column]) -> Column:
+    """words_near by the wide sketches: sizes that near bags may have differ by one step of the sketch at most, and the longer one is folded."""
+    n = F.least(F.size(new(WIDE)), F.size(old(WIDE)))
+
+    def folded(x: Column) -> Column:
+        return F.when(F.size(x) > n, F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda a, b: a.bitwiseXOR(b))).otherwise(x)
+
+    bits = F.zip_with(folded(new(WIDE)), folded(old(WIDE)), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    differ = F.aggregate(bits, F.lit(0), lambda total, x: total + x)
+    return 5 * differ <= 5 * (new("size") + old("size")) - 8 * F.greatest(new("size"), old("size"))
+
+
 def may_match(blocks: DataFrame, scope: Sequence[str], pos: str,
               near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column]) -> DataFrame:
     """(scope, pos) of the rows that share a block with a row of another position that is `near`.
@@ -216,6 +254,27 @@ def may_match(blocks: DataFrame, scope: Sequence[str], pos: str,
     return new.join(old, cond, "left_semi").select(*scope, pos).distinct()
 
 
+#: Rows of blocks that are brought together at once: about 100 bytes each on either side.
+BLOCK_ROWS = 3_000_000
+
+
+def signatures_match(signatures: DataFrame, scope: Sequence[str], pos: str) -> DataFrame:
+    """(scope, pos) of the rows of word_signatures that `may_match` finds in their blocks, by words_near; a row may come repeatedly.
+
+    The blocks are made in parts by the hash of their token, some BLOCK_ROWS rows in each: a block lies in one part,
+    and what one part has shuffled is gone before the next begins. signatures should be a written table.
+    """
+    rows = signatures.agg(F.sum(F.size("_tokens"))).first()[0] or 0
+    parts = max(1, -(-rows // BLOCK_ROWS))
+    out = None
+    for part in range(parts):
+        tokens = F.filter("_tokens", lambda t: F.pmod(F.xxhash64(t), F.lit(parts)) == part) if parts > 1 else F.col("_tokens")
+        blocks = signatures.select(*scope, pos, "size", F.explode(tokens).alias("token"), *SKETCH)
+        found = cut_lineage(may_match(blocks, scope, pos, words_near), "near")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def word_overlap(x: Column, y: Column) -> Column:
     """Shared words over the larger number of words, of two lists of distinct words."""
     return F.when((F.size(x) > 0) & (F.size(y) > 0),
@@ -236,6 +295,8 @@ def greedy_leaders(
     most_heads: int = 1000,
     near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
     traits: Sequence[str] = (),
+    screen: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
+    screened: Sequence[str] = (),
 ) -> DataFrame:
     """(scope, pos, leader): each item joins the earliest leader it matches, else it leads itself.
 
@@ -253,10 +314,12 @@ def greedy_leaders(
     `size_ratio` cannot match and are not compared; no size fits every size.
     near(new, old) gets accessors for `size` and the further columns `traits` of the blocks: what it rules out is not
     compared either. It holds inside the blocks, before any pair is made.
+    screen(new, old) gets accessors for the columns `screened` of the items: it rules out pairs before the columns `fields`,
+    which may be long, join them.
     """
     scope = list(scope)
     key = [*scope, pos]
-    rows = cut_lineage(items.select(*key, *fields))
+    rows = cut_lineage(items.select(*key, *fields, *screened))
     blocks = blocks.select(*scope, "token", pos, F.col("size").cast("int").alias("size"), *traits).dropDuplicates([*scope, "token", pos])
     shared = blocks.groupBy(*scope, "token").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*scope, "token")
     blocks = cut_lineage(blocks.join(shared, [*scope, "token"], "left_semi"))
@@ -273,10 +336,14 @@ def greedy_leaders(
         if extra:
             cond = cond & (F.col("_best").isNull() | (F.col("_old") < F.col("_best")))
         close = e.join(l, [*scope, "token"]).filter(cond).select(*scope, "_old", "_new").distinct()
-        old = rows.select(*scope, F.col(pos).alias("_old"), F.struct(*fields).alias("_o"))
-        new = rows.select(*scope, F.col(pos).alias("_new"), F.struct(*fields).alias("_n"))
-        both = close.join(old, [*scope, "_old"]).join(new, [*scope, "_new"])
-        return both.filter(matches(lambda c: F.col("_n")[c], lambda c: F.col("_o")[c])).select(*scope, "_old", "_new")
+
+        def holding(close: DataFrame, columns: Sequence[str], test: Callable) -> DataFrame:
+            old = rows.select(*scope, F.col(pos).alias("_old"), F.struct(*columns).alias("_o"))
+            new = rows.select(*scope, F.col(pos).alias("_new"), F.struct(*columns).alias("_n"))
+            both = close.join(old, [*scope, "_old"]).join(new, [*scope, "_new"])
+            return both.filter(test(lambda c: F.col("_n")[c], lambda c: F.col("_o")[c])).select(*scope, "_old", "_new")
+
+        return holding(close if screen is None else holding(close, screened, screen), fields, matches)
 
     # rows without any block are leaders at once and take no part in the rounds
     with_blocks = blocks.select(*key).distinct()
@@ -306,12 +373,13 @@ def greedy_leaders(
         later = blocks.join(followers, key)
         won = pairs(lead_blocks, later, extra=["_best"]).groupBy(*scope, F.col("_new").alias(pos)).agg(
             F.min("_old").alias("_won"))
-        state = cut_lineage(
+        before, state = state, cut_lineage(
             state.join(leaders.withColumn("_now", F.lit(True)), key, "left")
             .join(won, key, "left")
             .select(*key, F.least("_best", "_won").alias("_best"),
                     (F.col("_lead") | F.coalesce("_now", F.lit(False))).alias("_lead")))
         compared, led = judged.agg(F.count(F.lit(1)), F.count_if("_now")).first()
+        free(before, judged)
         if 4 * led >= compared:
             heads = min(heads * 2, most_heads)
 

@@ -15,7 +15,8 @@ from plumbline.functions import vocabulary as V
 from plumbline.functions.predicates import has_text, matching_labels, or_null
 from plumbline.operators.containment import contained
 from plumbline.operators.ordered import islands, joined_text, newest, renumber
-from plumbline.operators.similarity import SKETCH, greedy_leaders, may_match, word_blocks, word_order, word_overlap, words, words_near
+from plumbline.operators.similarity import (SKETCH, WIDE, greedy_leaders, signatures_match, word_order, word_overlap, word_signatures, words,
+                                            words_near, words_near_wide)
 from plumbline.session import cut_lineage, free
 
 # --- corpus -----------------------------------------------------------------------
@@ -232,15 +233,20 @@ def distinct_findings(findings: DataFrame, scope: list[str], pos: str = "pos") -
     rows = known.withColumn("_q", F.lower(X.strip(F.coalesce("quote", F.lit("")))))
     bags = cut_lineage(rows.select(*key, words(F.col("_q")).alias("_w")))
     order = word_order(bags, "_w")
+    signatures = cut_lineage(word_signatures(bags, scope, pos, "_w", order).drop(WIDE), "signatures")
+    empty = cut_lineage(bags.filter(F.size("_w") == 0).select(*key))
+    free(bags)
     # most findings are near no other one and stay; empty quotes have no words to tell
-    open_keys = cut_lineage(may_match(word_blocks(bags, scope, pos, "_w", order), scope, pos, words_near).unionByName(
-        bags.filter(F.size("_w") == 0).select(*key)).distinct())
+    open_keys = cut_lineage(signatures_match(signatures, scope, pos).unionByName(empty).distinct())
     # only keys and words go through the comparison, the findings themselves join at the end
-    free(bags)
+    free(signatures)
     first = rows.join(open_keys, key, "left_semi").groupBy(*scope, "_q").agg(F.min(pos).alias(pos))
     bags = cut_lineage(first.select(*key, words(F.col("_q")).alias("_w")))
-    led = greedy_leaders(bags, word_blocks(bags, scope, pos, "_w", order), scope, pos, ["_w"],
-                         lambda new, old: word_overlap(new("_w"), old("_w")) > 0.8, size_ratio=0.8, near=words_near, traits=SKETCH)
+    signatures = cut_lineage(word_signatures(bags, scope, pos, "_w", order), "signatures")
+    blocks = signatures.select(*key, "size", F.explode("_tokens").alias("token"), *SKETCH)
+    items = bags.join(signatures.select(*key, "size", WIDE), key, "left")
+    led = greedy_leaders(items, blocks, scope, pos, ["_w"], lambda new, old: word_overlap(new("_w"), old("_w")) > 0.8, size_ratio=0.8,
+                         near=words_near, traits=SKETCH, screen=words_near_wide, screened=["size", WIDE])
     kept = led.filter(F.col(pos) == F.col("leader")).select(*key)
     lost = open_keys.join(kept, key, "left_anti")
     return renumber(known.drop("number").join(lost, key, "left_anti"), scope, pos, "number")

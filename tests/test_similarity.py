@@ -213,6 +213,53 @@ def test_word_blocks_and_sketches_lose_no_pair(spark):
     assert blocks.filter(F.col("pos") == 1000).isEmpty()
 
 
+def test_wide_sketches_and_parts_lose_no_pair(spark, monkeypatch):
+    """Large bags, whose short sketches are full, are told apart by the wide ones; blocks made in parts find what one part finds."""
+    random.seed(6)
+    bags = []
+    for k in range(30):
+        words = random.sample([f"w{i}" for i in range(9000)], random.choice([20, 33, 60, 260, 1500, 2100]))
+        gone = random.randint(0, len(words) // 6)
+        bags += [words, words[gone:] + [f"n{k}_{i}" for i in range(random.randint(0, gone))]]
+    bags += [["rare", *(f"{side}{i}" for i in range(3000))] for side in "ab"]
+    rows = spark.createDataFrame([(1, k, b) for k, b in enumerate(bags)], "g long, pos long, w array<string>")
+    signed = Sim.word_signatures(rows, ["g"], "pos", "w", Sim.word_order(rows, "w")).persist()
+    assert {1, 2, 64, 128} <= {len(r._wide) for r in signed.collect()}
+    old = signed.select(*[F.col(c).alias(f"_o{c}") for c in signed.columns])
+    both = signed.join(old, F.col("pos") < F.col("_opos"))
+    wide = {(r.pos, r._opos) for r in both.filter(Sim.words_near_wide(F.col, lambda c: F.col(f"_o{c}"))).collect()}
+    short = {(r.pos, r._opos) for r in both.filter(Sim.words_near(F.col, lambda c: F.col(f"_o{c}"))).collect()}
+    wanted = {(k, j) for j, y in enumerate(bags) for k, x in enumerate(bags[:j]) if len(set(x) & set(y)) > 0.8 * max(len(x), len(y))}
+    assert wanted and wanted <= wide
+    assert (60, 61) in short and (60, 61) not in wide
+    blocks = signed.select("g", "pos", "size", F.explode("_tokens").alias("token"), *Sim.SKETCH)
+    one = {r.pos for r in Sim.may_match(blocks, ["g"], "pos", Sim.words_near).collect()}
+    monkeypatch.setattr(Sim, "BLOCK_ROWS", signed.agg(F.sum(F.size("_tokens"))).first()[0] // 3)
+    assert {r.pos for r in Sim.signatures_match(signed, ["g"], "pos").collect()} == one
+    signed.unpersist()
+
+
+def test_shuffles_of_a_step_go_with_it(spark):
+    """A written step leaves no shuffle files, and the session's setting is as before."""
+    from plumbline.session import SHUFFLE_CLEANUP, cut_lineage
+
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    asked = []
+    table = cut_lineage(spark.range(50).mapInArrow(lambda batches: batches, "id long"))
+    write = type(table.write).parquet
+
+    def seen(self, path):
+        asked.append(spark.conf.get(SHUFFLE_CLEANUP))
+        return write(self, path)
+
+    type(table.write).parquet = seen
+    try:
+        assert cut_lineage(table.groupBy("id").count()).count() == 50
+    finally:
+        type(table.write).parquet = write
+    assert asked == ["true"] and spark.conf.get(SHUFFLE_CLEANUP) == before
+
+
 def test_distinct_findings_equal_the_sequential_pass(spark):
     """Near copies, equal and empty quotes, and rows without a key, against a loop."""
     random.seed(9)
