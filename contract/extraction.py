@@ -319,6 +319,10 @@ def model_objects(spark, sf):
     return out
 
 
+#: Pairs of system and space that one task makes, about.
+RELATIONS_DEALT = 500_000
+
+
 def model_relations(spark, sf, dealt=None):
     """Relations of the model. dealt: a supplier serves that many customers at most, so that a written model grows as its tables do."""
     c = S.read(spark, sf, "customer")
@@ -332,9 +336,18 @@ def model_relations(spark, sf, dealt=None):
     zone = rel(c, "IfcRelAssignsToGroup", key * 2, F.concat(F.lit("Z"), F.col("c_mktsegment")), space)
     storey = rel(c.filter("c_custkey % 5 <> 0"), "IfcRelContainedInSpatialStructure", key, F.lit("ST"), space)
     served = S.read(spark, sf, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), "s_suppkey")
-    served = served.join(c, "c_nationkey") if dealt is None else served.join(c.withColumn("s_suppkey", F.floor(key / dealt)), ["c_nationkey", "s_suppkey"])
-    serves = rel(served, "IfcRelServicesBuildings", key, F.concat(F.lit("S"), F.col("s_suppkey").cast("string")), space)
-    return zone.unionByName(storey).unionByName(serves).unionByName(serves.filter("rel_order % 2 = 0"))
+    system = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))
+    if dealt is not None:
+        serves = rel(served.join(c.withColumn("s_suppkey", F.floor(key / dealt)), ["c_nationkey", "s_suppkey"]), "IfcRelServicesBuildings", key, system, space)
+        return zone.unionByName(storey).unionByName(serves).unionByName(serves.filter("rel_order % 2 = 0"))
+    # the relations of a space lie together, some RELATIONS_DEALT of them in a task
+    tasks = max(1, c.count() * served.count() // 25 // RELATIONS_DEALT)
+    spaces = c.select(F.col("c_nationkey").cast("long").alias("file_id"), key.cast("int").alias("rel_order"), space.alias("related_guid")).repartition(
+        tasks, "file_id", "related_guid")
+    pairs = spaces.join(F.broadcast(served.select(F.col("c_nationkey").cast("long").alias("file_id"), system.alias("relating_guid"))), "file_id")
+    # every other relation is there twice
+    serves = pairs.withColumn("_twice", F.explode(F.when(F.col("rel_order") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    return zone.unionByName(storey).unionByName(serves.select("file_id", "rel_order", F.lit("IfcRelServicesBuildings").alias("rel_class"), "relating_guid", "related_guid"))
 
 
 @query("""SELECT c_nationkey::BIGINT AS file_id, 'Raum_C' || c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'Zimmer ' || c_custkey ELSE c_name END AS name, c_name AS number, c_mktsegment AS usage,

@@ -103,11 +103,23 @@ def equipment_from_model(objects: DataFrame) -> DataFrame:
 
 
 def served_spaces(relations: DataFrame, systems: DataFrame, spaces: DataFrame) -> DataFrame:
-    """Distinct (system, space) pairs of the service relations; read it from either side."""
+    """Distinct (system, space) pairs of the service relations; read it from either side.
+
+    The systems of all models are sent to all tasks. Relations that are dealt by file_id and related_guid are not shuffled:
+    what a space is served by is collapsed where they lie, and only spaces that share their id with others meet again.
+    """
     s = systems.groupBy(*FILE, F.col("guid").alias("relating_guid")).agg(F.min("id").alias("system_id"))
     r = spaces.groupBy(*FILE, F.col("guid").alias("related_guid")).agg(F.min("id").alias("space_id"))
-    return (
+    shared = r.groupBy(F.col("file_id").alias("_file"), F.col("space_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    same_id = (F.col("file_id") == F.col("_file")) & F.col("space_id").eqNullSafe(F.col("_id"))
+    serves = (
         relations.filter(F.col("rel_class") == "IfcRelServicesBuildings")
-        .join(s, [*FILE, "relating_guid"]).join(r, [*FILE, "related_guid"])
-        .groupBy(*FILE, "system_id", "space_id").agg(F.min("rel_order").alias("rel_order"))
+        .join(F.broadcast(s), [*FILE, "relating_guid"])
+        .groupBy(*FILE, "related_guid", "system_id").agg(F.min("rel_order").alias("rel_order"))
     )
+
+    def of(some: DataFrame) -> DataFrame:
+        return serves.join(some.hint("shuffle_hash"), [*FILE, "related_guid"]).select(*FILE, "system_id", "space_id", "rel_order")
+
+    again = of(r.join(shared, same_id, "left_semi")).groupBy(*FILE, "system_id", "space_id").agg(F.min("rel_order").alias("rel_order"))
+    return of(r.join(shared, same_id, "left_anti")).unionByName(again)

@@ -209,3 +209,27 @@ def test_each_supplier_serves_all_customers_of_its_nation(spark, tmp_path):
     spark.createDataFrame([(k, k % 2) for k in range(3)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
     served = E.model_relations(spark, str(tmp_path)).filter("rel_class = 'IfcRelServicesBuildings'").select("relating_guid", "related_guid").distinct()
     assert {tuple(r) for r in served.collect()} == {(f"S{s}", f"C{c}") for s in range(3) for c in range(40) if s % 2 == c % 2}
+
+
+def test_served_spaces_are_collapsed_where_the_relations_lie(spark, tmp_path):
+    """Ids that several objects share, null ids and repeated relations count once, and no relation is sorted or shuffled for a join."""
+    import re
+    from contract import extraction as E
+    rel = spark.createDataFrame([(1, n, "IfcRelServicesBuildings", a, b) for n, (a, b) in enumerate(
+        [("y1", "s1"), ("y1", "s1"), ("y2", "s1"), ("y1", "s2"), ("y3", "s3"), ("y3", "s4"), ("y3", "s5"), (None, "s1"), ("y1", None), ("y9", "s1")])],
+        "file_id long, rel_order int, rel_class string, relating_guid string, related_guid string")
+    systems = spark.createDataFrame([(1, "Y", "y1"), (1, "Y", "y2"), (1, "Z", "y3"), (1, "N", None)], "file_id long, id string, guid string")
+    spaces = spark.createDataFrame([(1, "S", "s1"), (1, "S", "s2"), (1, None, "s3"), (1, None, "s4"), (1, "T", "s5"), (2, "S", "s1")], "file_id long, id string, guid string")
+    served = EM.served_spaces(rel, systems, spaces).collect()
+    assert {(x.file_id, x.system_id, x.space_id, x.rel_order) for x in served} == {(1, "Y", "S", 0), (1, "Z", None, 4), (1, "Z", "T", 6)} and len(served) == 3
+    spark.createDataFrame([(k, f"Customer {k}", k % 2, "BUILDING") for k in range(40)], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k, k % 2) for k in range(3)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    relations = E.model_relations(spark, str(tmp_path))
+    assert relations.filter("rel_class = 'IfcRelServicesBuildings'").count() == 60 + 40
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = EM.served_spaces(relations, systems, spaces)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert not re.search(r"SortMergeJoin \[file_id#\d+L?, rela(ting|ted)_guid", plan)
